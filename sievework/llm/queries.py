@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from sievework.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from sievework.llm.langid import op2_language_id
 from sievework.llm.line_dedup import OP7_SQL, op7_line_dedup
 from sievework.llm.packing import op1_best_fit_packing
+from sievework.llm.secrets import op3_secret_scan
 from sievework.llm.simhash import op6_simhash
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_id": op2_language_id,
+    "op3_secret_scan": op3_secret_scan,
+    "op6_simhash": op6_simhash,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 ORACLES = {"op7_line_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL}
