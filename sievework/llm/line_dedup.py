@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import documents
+from sievework.llm.common import documents, stored
 
 MIN_KEY = 20
 MIN_DOCS = 3
@@ -93,7 +93,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = df.select(ident.alias("id"), F.col(text_col)).mapInArrow(_explode(min_key), "h1 long, h2 long, id long")
     pairs = lines.distinct()
-    common = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
+    # Stored, so that the join below has an exchange of its own on either side: only then is a hot line's part split.
+    common = stored(pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n"), "common-lines")
     drops = (
         lines.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("h"))
