@@ -5,6 +5,7 @@ from __future__ import annotations
 from sievework.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from sievework.llm.langid import op2_language_id
 from sievework.llm.line_dedup import OP7_SQL, op7_line_dedup
+from sievework.llm.lm_scoring import op5_lm_score
 from sievework.llm.packing import op1_best_fit_packing
 from sievework.llm.secrets import op3_secret_scan
 from sievework.llm.simhash import op6_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op5_lm_score": op5_lm_score,
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
