@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sievework.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from sievework.llm.langid import op2_language_id
+from sievework.llm.lattice import OP10_SQL, op10_embedding_dedup
 from sievework.llm.line_dedup import OP7_SQL, op7_line_dedup
 from sievework.llm.lm_scoring import op5_lm_score
 from sievework.llm.packing import op1_best_fit_packing
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLES = {"op7_line_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES = {"op7_line_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_embedding_dedup": OP10_SQL}

@@ -13,22 +13,24 @@ from pyspark.sql import functions as F
 TILE = 512
 
 
-def into_tiles(members: DataFrame, *, tile: int = TILE) -> DataFrame:
-    """`members` (key long, node long, ...) with tile_a, tile_b: every two members of a bucket meet in some tile.
+def into_tiles(members: DataFrame, *, tile: int = TILE, deal: bool = True) -> DataFrame:
+    """`members` (key long, node long, ...) with chunk, tile_a, tile_b: every two members of a bucket meet in some tile.
 
     A bucket of up to `tile` members is one tile. A larger one is dealt by hash into chunks, and each two chunks make a
-    tile, so that no task sees a whole bucket and no pair is lost. The rows are shuffled by tile and sorted.
+    tile, so that no task sees a whole bucket and no pair is lost. With `deal` the rows are shuffled by tile and sorted.
     """
     large = members.groupBy("key").count().where(F.col("count") > tile).select(F.col("key").alias("_key"), F.ceil(F.col("count") / tile).cast("int").alias("_m"))
     cut = members.join(large, F.col("key") == F.col("_key"), "left").drop("_key")
-    cut = cut.withColumn("_c", F.when(F.col("_m") > 1, F.pmod(F.xxhash64("node", F.lit("tile")), F.col("_m"))).cast("int"))
+    cut = cut.withColumn("chunk", F.when(F.col("_m") > 1, F.pmod(F.xxhash64("node", F.lit("tile")), F.col("_m"))).otherwise(0).cast("int"))
     one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
 
     def tile_of(k: Column) -> Column:
-        return F.struct(F.least("_c", k).alias("a"), F.greatest("_c", k).alias("b"))
+        return F.struct(F.least("chunk", k).alias("a"), F.greatest("chunk", k).alias("b"))
 
     every = F.when(F.col("_m") > 1, F.transform(F.sequence(F.lit(0), F.col("_m") - 1), tile_of)).otherwise(one)
-    dealt = cut.withColumn("_t", F.explode(every)).withColumn("tile_a", F.col("_t.a")).withColumn("tile_b", F.col("_t.b")).drop("_t", "_c", "_m")
+    dealt = cut.withColumn("_t", F.explode(every)).withColumn("tile_a", F.col("_t.a")).withColumn("tile_b", F.col("_t.b")).drop("_t", "_m")
+    if not deal:
+        return dealt
     return dealt.repartition("key", "tile_a", "tile_b").sortWithinPartitions("key", "tile_a", "tile_b")
 
 
