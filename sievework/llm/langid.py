@@ -82,13 +82,16 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if has_letter(text):
                 counts = np.bincount(subwords(text), minlength=1 << BITS)
                 at = np.flatnonzero(counts)
-                rows.append((lang, order, at.astype(np.int32), (counts[at] / counts.sum()).astype(np.float32)))
+                rows.append((lang, order, at.astype("<u2").tobytes(), (counts[at] / counts.sum()).astype("<f4").tobytes()))
         columns = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())))], ["lang", "order", "at", "share"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "order", "at", "share"])
 
 
 def labelled_sample(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> list:
-    """At most `max_rows` labelled rows, dealt evenly to the languages, chosen by a hash of the identifier."""
+    """At most `max_rows` labelled rows, dealt evenly to the languages, chosen by a hash of the identifier.
+
+    A row is (language, buckets, shares): the two arrays stay packed, 6 bytes for each bucket that a text has.
+    """
     known = df.where(F.col(lang_col).isNotNull())
     counts = {r["l"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
     if not counts:
@@ -97,28 +100,33 @@ def labelled_sample(df: DataFrame, *, id_col: str, text_col: str, lang_col: str,
     order = F.xxhash64(F.col(id_col), F.lit("language sample"))
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (1.2 * each + 20) / n)))])
     taken = known.where(F.pmod(order, F.lit(1 << 30)) < F.try_element_at(share, F.col(lang_col)) * (1 << 30))
-    rows = taken.select(F.col(lang_col), order, F.col(text_col)).mapInArrow(_sampled, "lang string, order long, at array<int>, share array<float>").collect()
+    rows = taken.select(F.col(lang_col), order, F.col(text_col)).mapInArrow(_sampled, "lang string, order long, at binary, share binary").toArrow()
     chosen, seen = [], dict.fromkeys(counts, 0)
-    for row in sorted(rows, key=lambda r: (r["lang"], r["order"])):
-        seen[row["lang"]] += 1
-        if seen[row["lang"]] <= each:
-            chosen.append(row)
-    return sorted(chosen, key=lambda r: r["order"])
+    langs, orders = rows.column("lang").to_pylist(), rows.column("order").to_pylist()
+    for i in sorted(range(len(langs)), key=lambda i: (orders[i], langs[i])):
+        seen[langs[i]] += 1
+        if seen[langs[i]] <= each:
+            chosen.append((langs[i], np.frombuffer(rows.column("at")[i].as_py(), "<u2"), np.frombuffer(rows.column("share")[i].as_py(), "<f4")))
+    return chosen
 
 
 def train(rows: list, *, dim: int = 16, epochs: int = 40, batch: int = 32, rate: float = 2.0, held: int = 5, reject: float = 0.001, seed: int = 7) -> LanguageModel:
-    """Fit on (lang, at, share) rows; every `held`-th one calibrates.
+    """Fit on the rows of labelled_sample(); every `held`-th one calibrates.
 
     The temperature has the least log loss on the calibration rows. The threshold lies below the scores of all but
     `reject` of those that are predicted rightly, and never above one half.
     """
-    langs = sorted({r["lang"] for r in rows})
+    langs = sorted({lang for lang, _, _ in rows})
     if not langs:
         return LanguageModel([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, 0.0)
-    x = np.zeros((len(rows), 1 << BITS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = r["share"]
-    y = np.array([langs.index(r["lang"]) for r in rows])
+    y = np.array([langs.index(lang) for lang, _, _ in rows])
+
+    def dense(which: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(which), 1 << BITS), np.float32)
+        for k, i in enumerate(which):
+            x[k, rows[i][1]] = rows[i][2]
+        return x
+
     calibrate = np.arange(len(rows)) % held == held - 1 if len(rows) >= 4 * held else np.zeros(len(rows), bool)
     fit = np.flatnonzero(~calibrate)
     rng = np.random.default_rng(seed)
@@ -130,7 +138,8 @@ def train(rows: list, *, dim: int = 16, epochs: int = 40, batch: int = 32, rate:
         order = rng.permutation(fit)
         for lo in range(0, len(order), batch):
             i = order[lo : lo + batch]
-            mean = x[i] @ embed * scale
+            x = dense(i)
+            mean = x @ embed * scale
             logits = mean @ weights + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -139,10 +148,10 @@ def train(rows: list, *, dim: int = 16, epochs: int = 40, batch: int = 32, rate:
             back = p @ weights.T
             weights -= step * 0.2 * (mean.T @ p)
             bias -= step * 0.2 * p.sum(0)
-            embed -= step * scale * (x[i].T @ back)
+            embed -= step * scale * (x.T @ back)
     scores = (embed @ weights * scale).astype(np.float64)
     test = np.flatnonzero(calibrate) if calibrate.any() else fit
-    logits = x[test] @ scores + bias
+    logits = np.concatenate([dense(test[lo : lo + batch]) @ scores for lo in range(0, len(test), batch)]) + bias
 
     def probabilities(t: float) -> np.ndarray:
         z = logits / t
