@@ -7,17 +7,21 @@ from sievework.llm.langid import op2_language_id
 from sievework.llm.lattice import OP10_SQL, op10_embedding_dedup
 from sievework.llm.line_dedup import OP7_SQL, op7_line_dedup
 from sievework.llm.lm_scoring import op5_lm_score
+from sievework.llm.mixing import op8_source_mix
 from sievework.llm.packing import op1_best_fit_packing
 from sievework.llm.secrets import op3_secret_scan
 from sievework.llm.simhash import op6_simhash
+from sievework.llm.token_counts import op4_token_counts
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_token_counts": op4_token_counts,
     "op5_lm_score": op5_lm_score,
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
+    "op8_source_mix": op8_source_mix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
