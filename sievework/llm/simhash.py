@@ -50,15 +50,17 @@ def _fingerprints(words: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                found = np.array([fingerprint(t.as_py() or b"", words) for t in part.column(1).cast(pa.binary())], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+                found = np.array([fingerprint(t.as_py() or b"", words) for t in part.column("text").cast(pa.binary())], np.uint64)
+                yield part.drop_columns(["text"]).append_column("fp", pa.array(found.view(np.int64)))
 
     return run
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS) -> DataFrame:
-    """(id, fp) for every row, fp as a signed long. A null text is empty."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_fingerprints(words), "id long, fp long")
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, carry: bool = False) -> DataFrame:
+    """(uid, id, fp) for every row, fp as a signed long; with `carry` also `row`, all columns. A null text is empty."""
+    own = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), *([F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")] if carry else []), F.col(text_col).alias("text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
+    return own.mapInArrow(_fingerprints(words), f"{kinds}, fp long")
 
 
 def block_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
@@ -86,6 +88,16 @@ def fingerprint_components(fps: DataFrame, *, distance: int = DISTANCE, blocks:
     return connected_components(link_in_tiles(members, _close(distance), tile=tile))
 
 
+def _components_of(marked: DataFrame, distance: int) -> DataFrame:
+    """(fp, best) for every fingerprint: best is the (no_id, id, uid) of its component that comes first."""
+    mine = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
+    fps = stored(marked.groupBy("fp").agg(F.min(mine).alias("first")), "distinct-fingerprints")
+    linked = fingerprint_components(fps.select("fp"), distance=distance)
+    rooted = fps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    return rooted.join(least, "root").select("fp", "best")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """One row per input row: id, fp (signed long), component_id: the smallest id reachable over links, its own included.
 
@@ -95,13 +107,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty result.
     """
     marked = stored(fingerprints(df, id_col, text_col, words=words), "fingerprints")
-    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    linked = fingerprint_components(fps.select("fp"), distance=distance)
-    rooted = fps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
+    found = _components_of(marked, distance).select(F.col("fp").alias("_fp"), F.col("best.id").alias("component_id"))
     return marked.join(found, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """The rows of `df` that stay when one row of each component does: that with the smallest identifier; see near_duplicates().
+
+    Of rows that share it, the first as read. Columns are those of `df`, whatever their names.
+    """
+    marked = stored(fingerprints(df, id_col, text_col, words=words, carry=True), "fingerprints")
+    best = _components_of(marked.select("uid", "id", "fp"), distance).select(F.col("best.uid").alias("uid")).distinct()
+    return marked.join(best, "uid", "left_semi").select("row.*")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
