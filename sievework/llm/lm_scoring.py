@@ -71,43 +71,52 @@ def count_at(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 0.75 * np.exp2(levels) - 0.5 * (levels > 1), 0.0)
 
 
-class Slice:
-    """A Bloom filter over one range of hashes."""
+def filled_slice(hashes: np.ndarray, levels: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> bytes:
+    """A Bloom filter over one range of hashes: each in once for every level up to its own."""
+    words = int(-(-max(64, int(levels.sum()) * bits_per_entry) // 64))
+    bits = np.zeros(words * 64, bool)
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        first, step = _start_and_step(hashes[levels >= q], q)
+        for k in range(PROBES):
+            bits[(first + np.uint64(k) * step) % np.uint64(words * 64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _start_and_step(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    first = mixed(hashes + np.uint64(level * int(_MIX) % (1 << 64)))
+    return first, mixed(first) | np.uint64(1)
+
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+class Filter:
+    """Slices laid end to end; a slice that is not held has size 0, and its n-grams read as level 0."""
 
-    @staticmethod
-    def filled(hashes: np.ndarray, levels: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> Slice:
-        size = int(-(-max(64, int(levels.sum()) * bits_per_entry) // 64))
-        bits = np.zeros(size * 64, bool)
-        for q in range(1, int(levels.max(initial=0)) + 1):
-            for at in _places(hashes[levels >= q], q, size * 64):
-                bits[at] = True
-        return Slice(np.packbits(bits, bitorder="little").view("<u8"))
+    def __init__(self, slices: dict[int, bytes], shards: int):
+        self.shards = shards
+        self.size, self.offset = np.zeros(shards, np.uint64), np.zeros(shards, np.uint64)
+        at = 0
+        for shard, raw in slices.items():
+            self.size[shard], self.offset[shard] = 8 * len(raw), at
+            at += 8 * len(raw)
+        self.words = np.frombuffer(b"".join(slices.values()), "<u8")
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each hash: one more than it was put in at most by chance, never fewer."""
-        found = np.zeros(len(hashes), np.int64)
-        left = np.arange(len(hashes))
+        """The level of each hash: never less than it was put in with, more by chance only."""
+        shard = shard_of(hashes, self.shards)
+        size, offset = self.size[shard], self.offset[shard]
+        found = np.zeros(len(hashes), np.uint8)
+        left = np.flatnonzero(size)
         for q in range(1, MAX_LEVEL + 1):
-            held = np.ones(len(left), bool)
-            for at in _places(hashes[left], q, len(self.words) * 64):
-                held &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-            left = left[held]
             if not len(left):
                 break
+            first, step = _start_and_step(hashes[left], q)
+            for k in range(PROBES):
+                at = offset[left] + (first + np.uint64(k) * step) % size[left]
+                held = (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                left, first, step = left[held], first[held], step[held]
             found[left] = q
         return found
 
 
-def _places(hashes: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    first = mixed(hashes + np.uint64(level * int(_MIX) % (1 << 64)))
-    step = mixed(first) | np.uint64(1)
-    for k in range(PROBES):
-        yield (first + np.uint64(k) * step) % np.uint64(bits)
-
-
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     """By the high half of a mixed hash, so that a shard says nothing about places in its filter."""
     return ((mixed(hashes ^ _PAIR) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -164,8 +173,8 @@ def _merge(min_count: int, bits_per_entry: int):
         words, counts = merged(parts.get(0, []))
         pairs, pair_counts = merged(parts.get(1, []))
         kept = counts >= min_count, pair_counts >= min_count
-        filled = Slice.filled(np.concatenate([words[kept[0]], pairs[kept[1]]]), level_of(np.concatenate([counts[kept[0]], pair_counts[kept[1]]])), bits_per_entry)
-        return {"shard": shard, "words": len(words), "tokens": int(counts.sum()), "held_tokens": int(pair_counts[kept[1]].sum()), "filter": filled.words.tobytes(), "hashes": words.astype("<u8").tobytes(), "counts": counts.astype("<i8").tobytes()}
+        filled = filled_slice(np.concatenate([words[kept[0]], pairs[kept[1]]]), level_of(np.concatenate([counts[kept[0]], pair_counts[kept[1]]])), bits_per_entry)
+        return {"shard": shard, "words": len(words), "tokens": int(counts.sum()), "held_tokens": int(pair_counts[kept[1]].sum()), "filter": filled, "hashes": words.astype("<u8").tobytes(), "counts": counts.astype("<i8").tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, {}
@@ -241,31 +250,38 @@ def count_grams(train: DataFrame, text_col: str = "text", *, shards: int | None
     return Counts(stored(merged, "gram-counts"), shards)
 
 
-def _probe(filters, shards: int, first: bool, last: bool):
-    """Adds the levels of the n-grams whose slices are held: two bytes a token, word and bigram."""
+_TOGETHER = 1 << 19
+
+
+def _together(texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(from, to, their tokens) for stretches of texts with about so many tokens."""
+    lo, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(token_hashes(text.as_py()))
+        size += len(held[-1])
+        if size >= _TOGETHER:
+            yield lo, i + 1, held
+            lo, held, size = i + 1, [], 0
+    if held:
+        yield lo, len(texts), held
+
+
+def _probe(filters, shards: int, first: bool):
+    """Adds the levels of the n-grams whose slices are held: two bytes a token, its word's and its bigram's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {s: Slice(np.frombuffer(raw, "<u8")) for s, raw in filters.value.items()}
+        held = Filter(filters.value, shards)
         for batch in batches:
-            texts, rows = batch.column("text"), []
-            before = [None] * batch.num_rows if first else batch.column("levels").to_pylist()
-            for text, old in zip(texts, before):
-                tokens = token_hashes(text.as_py())
-                grams = np.concatenate([tokens, bigram_hashes(tokens)])
-                levels = np.zeros(len(grams), np.uint8) if old is None else np.frombuffer(old, np.uint8).copy()
+            for lo, hi, tokens in _together(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                grams = np.concatenate([np.concatenate([t, bigram_hashes(t)]) for t in tokens])
                 once, back = np.unique(grams, return_inverse=True)
-                shard = shard_of(once, shards)
-                own = np.zeros(len(once), np.uint8)
-                order = np.argsort(shard, kind="stable")
-                at = np.flatnonzero(np.diff(shard[order], prepend=-1))
-                for lo, hi in zip(at, [*at[1:], len(order)]):
-                    i = order[lo:hi]
-                    if (s := held.get(int(shard[i[0]]))) is not None:
-                        own[i] = s.levels(once[i])
-                levels |= own[back]
-                rows.append(levels.tobytes())
-            out = batch.drop_columns([c for c in (["levels"] if not first else []) + (["text"] if last else [])])
-            yield out.append_column("levels", pa.array(rows, pa.binary()))
+                levels = held.levels(once)[back]
+                if not first:
+                    levels |= np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8)
+                    part = part.drop_columns(["levels"])
+                ends = np.cumsum([2 * len(t) for t in tokens])
+                yield part.append_column("levels", pa.array([levels[b - 2 * len(t) : b].tobytes() for t, b in zip(tokens, ends)], pa.binary()))
 
     return run
 
@@ -332,7 +348,7 @@ def score_texts(df: DataFrame, counts: Counts, id_col: str = "doc_id", text_col:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     for k, group in enumerate(groups):
         held = {r["shard"]: bytes(r["filter"]) for r in counts.table.where(F.col("shard").between(min(group), max(group))).select("shard", "filter").toLocalIterator()} if group else {}
-        rows = rows.mapInArrow(_probe(spark.sparkContext.broadcast(held), counts.shards, k == 0, False), "id long, text string, levels binary")
+        rows = rows.mapInArrow(_probe(spark.sparkContext.broadcast(held), counts.shards, k == 0), "id long, text string, levels binary")
         if k < len(groups) - 1:
             rows = stored(rows, "levels")
     least, hashes, numbers = counts.heavy(heavy_words)
