@@ -219,7 +219,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         "vector-classes",
     )
     visits = stored(classes.select("node", "label", "vector").mapInArrow(_visits(settings), "key long, node long, home boolean"), "cells")
-    crowded = visits.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("homely")).where("n > 1 and homely").select("key")
+    crowded = stored(visits.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("homely")).where("n > 1 and homely").select("key"), "crowded-keys")
     members = stored(visits.join(crowded, "key", "left_semi").select("key", "node"), "crowded-cells")
     tiled = into_tiles(members, tile=tile, deal=False).join(classes.select("node", "label", "copies", "vector"), "node")
     dealt = tiled.repartition("key", "tile_a", "tile_b").sortWithinPartitions("key", "tile_a", "tile_b")

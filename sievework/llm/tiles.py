@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm.common import stored
+
 #: A bucket is dealt into chunks of about so many members.
 TILE = 512
 
@@ -19,7 +21,8 @@ def into_tiles(members: DataFrame, *, tile: int = TILE, deal: bool = True) -> Da
     A bucket of up to `tile` members is one tile. A larger one is dealt by hash into chunks, and each two chunks make a
     tile, so that no task sees a whole bucket and no pair is lost. With `deal` the rows are shuffled by tile and sorted.
     """
-    large = members.groupBy("key").count().where(F.col("count") > tile).select(F.col("key").alias("_key"), F.ceil(F.col("count") / tile).cast("int").alias("_m"))
+    # Stored, so that few large buckets are broadcast by their known size, and many meet their members in a join that can be split.
+    large = stored(members.groupBy("key").count().where(F.col("count") > tile).select(F.col("key").alias("_key"), F.ceil(F.col("count") / tile).cast("int").alias("_m")), "large-buckets")
     cut = members.join(large, F.col("key") == F.col("_key"), "left").drop("_key")
     cut = cut.withColumn("chunk", F.when(F.col("_m") > 1, F.pmod(F.xxhash64("node", F.lit("tile")), F.col("_m"))).otherwise(0).cast("int"))
     one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
