@@ -250,7 +250,7 @@ def count_grams(train: DataFrame, text_col: str = "text", *, shards: int | None
     return Counts(stored(merged, "gram-counts"), shards)
 
 
-_TOGETHER = 1 << 19
+_TOGETHER = 1 << 18
 
 
 def _together(texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -266,22 +266,24 @@ def _together(texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         yield lo, len(texts), held
 
 
+def _levels(held: Filter, part: pa.RecordBatch, tokens: list[np.ndarray], first: bool) -> np.ndarray:
+    """A byte for each token's word and then for each of its bigrams, text by text; joined with those of earlier passes."""
+    once, back = np.unique(np.concatenate([g for t in tokens for g in (t, bigram_hashes(t))]), return_inverse=True)
+    levels = held.levels(once)[back]
+    return levels if first else levels | np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8)
+
+
 def _probe(filters, shards: int, first: bool):
-    """Adds the levels of the n-grams whose slices are held: two bytes a token, its word's and its bigram's."""
+    """A pass that is not the last: the levels of the n-grams whose slices are held, beside the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Filter(filters.value, shards)
         for batch in batches:
             for lo, hi, tokens in _together(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
-                grams = np.concatenate([np.concatenate([t, bigram_hashes(t)]) for t in tokens])
-                once, back = np.unique(grams, return_inverse=True)
-                levels = held.levels(once)[back]
-                if not first:
-                    levels |= np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8)
-                    part = part.drop_columns(["levels"])
+                levels = _levels(held, part, tokens, first)
                 ends = np.cumsum([2 * len(t) for t in tokens])
-                yield part.append_column("levels", pa.array([levels[b - 2 * len(t) : b].tobytes() for t, b in zip(tokens, ends)], pa.binary()))
+                yield part.select(["id", "text"]).append_column("levels", pa.array([levels[b - 2 * len(t) : b].tobytes() for t, b in zip(tokens, ends)], pa.binary()))
 
     return run
 
@@ -298,29 +300,31 @@ def probability(words: np.ndarray, pairs: np.ndarray, tokens: int, vocabulary: i
     return float(np.log10(WEIGHT * relative + (1 - WEIGHT * held_share) * single).sum())
 
 
-def _finish(heavy, tokens: int, vocabulary: int, held_share: float):
+def _score(filters, shards: int, first: bool, heavy, tokens: int, vocabulary: int, held_share: float):
+    """The last pass: scores, the exact unigram sum over heavy words, and the other words for the join."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        held = Filter(filters.value, shards)
         known, counts = heavy.value
         floor = tokens + DELTA * (vocabulary + 1)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = []
-            for ident, text, raw in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("levels").to_pylist()):
-                hashes = token_hashes(text.as_py())
-                levels = np.frombuffer(raw, np.uint8).astype(np.int64)
-                n = len(hashes)
-                # The start stands for the end of an earlier text: both are read as the same token.
-                score = probability(count_at(levels[:n]), count_at(levels[n:]), tokens, vocabulary, held_share)
-                once, times = np.unique(hashes, return_counts=True)
-                at = np.minimum(np.searchsorted(known, once), max(0, len(known) - 1))
-                hit = known[at] == once if len(known) else np.zeros(len(once), bool)
-                base = float((times[hit] * np.log10((counts[at[hit]] + DELTA) / floor)).sum())
-                rows.append((uid, ident, n, int(times[hit].sum()), base, score, once[~hit].view(np.int64), times[~hit].astype(np.int32)))
-                uid += 1
-            columns = list(zip(*rows)) or [()] * len(_SCORED)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _SCORED)], schema=_SCORED)
+            for lo, hi, texts in _together(batch.column("text")):
+                part, rows, at = batch.slice(lo, hi - lo), [], 0
+                levels = count_at(np.arange(MAX_LEVEL + 1))[_levels(held, part, texts, first)]
+                for ident, hashes in zip(part.column("id").to_pylist(), texts):
+                    n = len(hashes)
+                    score = probability(levels[at : at + n], levels[at + n : at + 2 * n], tokens, vocabulary, held_share)
+                    at += 2 * n
+                    once, times = np.unique(hashes, return_counts=True)
+                    place = np.minimum(np.searchsorted(known, once), max(0, len(known) - 1))
+                    hit = known[place] == once if len(known) else np.zeros(len(once), bool)
+                    base = float((times[hit] * np.log10((counts[place[hit]] + DELTA) / floor)).sum())
+                    rows.append((uid, ident, n, int(times[hit].sum()), base, score, once[~hit].view(np.int64), times[~hit].astype(np.int32)))
+                    uid += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCORED)], schema=_SCORED)
 
     return run
 
@@ -344,16 +348,18 @@ def score_texts(df: DataFrame, counts: Counts, id_col: str = "doc_id", text_col:
             room = max_filter_bytes
         groups[-1].append(r["shard"])
         room -= r["n"]
+    least, hashes, numbers = counts.heavy(heavy_words)
+    heavy = spark.sparkContext.broadcast((hashes, numbers))
     # One pass as long as the filter fits its bound; each further pass holds the next slices and adds their levels.
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     for k, group in enumerate(groups):
         held = {r["shard"]: bytes(r["filter"]) for r in counts.table.where(F.col("shard").between(min(group), max(group))).select("shard", "filter").toLocalIterator()} if group else {}
-        rows = rows.mapInArrow(_probe(spark.sparkContext.broadcast(held), counts.shards, k == 0), "id long, text string, levels binary")
+        shared = spark.sparkContext.broadcast(held)
         if k < len(groups) - 1:
-            rows = stored(rows, "levels")
-    least, hashes, numbers = counts.heavy(heavy_words)
-    heavy = spark.sparkContext.broadcast((hashes, numbers))
-    scored = stored(rows.mapInArrow(_finish(heavy, counts.tokens, counts.words, counts.held_share), "uid long, id long, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"), "scored")
+            rows = stored(rows.mapInArrow(_probe(shared, counts.shards, k == 0), "id long, text string, levels binary"), "levels")
+        else:
+            run = _score(shared, counts.shards, k == 0, heavy, counts.tokens, counts.words, counts.held_share)
+            scored = stored(rows.mapInArrow(run, "uid long, id long, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"), "scored")
 
     unseen = float(np.log10(DELTA / (counts.tokens + DELTA * (counts.words + 1))))
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("uid", F.col("t.rare").alias("hash"), F.col("t.times").alias("times"))
