@@ -29,7 +29,7 @@ def stripped(x: Column | str) -> Column:
 
 def emails(text: Column | str, most: int = 10) -> Column:
     """Different addresses in order of appearance."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(_col(text), F.lit("(?U)" + V.EMAIL.replace(r"\.[A-Za-z]", r"\.[A-Za-z]")), F.lit(0))), 1, most)
+    return F.slice(F.array_distinct(F.regexp_extract_all(_col(text), F.lit("(?U)" + V.EMAIL), F.lit(0))), 1, most)
 
 
 def without_contacts(x: Column) -> Column:

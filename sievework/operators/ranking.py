@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,10 +21,18 @@ def current_assessments(records: DataFrame, groups: DataFrame, assessments: Data
     return eligible.join(scored, (eligible.id == scored.application_id) & (eligible.version == scored.version) & (eligible.rubric_id == scored.rubric_id)).drop(scored.application_id).drop(scored.version).drop(scored.rubric_id)
 
 
-def ranked(df: DataFrame, partition: list[str], score: str, ident: str) -> DataFrame:
-    """Competition rank (1, 1, 3) by falling score and whether the score is shared. `ident` only orders the output."""
-    own = Window.partitionBy(*partition)
-    return df.withColumn("rank", F.rank().over(own.orderBy(F.col(score).desc_nulls_last())).cast("long")).withColumn("tie", F.count(F.lit(1)).over(Window.partitionBy(*partition, score)) > 1)
+def ranked(df: DataFrame, partition: list[str], score: str) -> DataFrame:
+    """Competition rank (1, 1, 3) by falling score, and whether the score is shared. No score comes last.
+
+    Scores are counted first, combining before the shuffle, and only different scores are put in order; so a group may
+    hold any share of the rows. The counts come back by a join on group and score.
+    """
+    keys = [*partition, score]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    above = Window.partitionBy(*partition).orderBy(F.col(score).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("long").alias("rank"), (F.col("_n") > 1).alias("tie"))
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(placed[f"_{k}"]) for k in keys])
+    return df.join(placed, same).drop(*[f"_{k}" for k in keys])
 
 
 def latest(df: DataFrame, partition: list[str], order: str) -> DataFrame:
@@ -38,11 +48,8 @@ def with_canonical(df: DataFrame, partition: list[str], ident: str) -> DataFrame
     window would bring a hot key to one task.
     """
     first = df.groupBy(*partition).agg(F.min(ident).alias("canonical_id"))
-    same = None
     named = first.select(*[F.col(c).alias(f"_{c}") for c in partition], "canonical_id")
-    for c in partition:
-        test = df[c].eqNullSafe(named[f"_{c}"])
-        same = test if same is None else same & test
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(named[f"_{c}"]) for c in partition])
     return df.join(named, same).drop(*[f"_{c}" for c in partition]).withColumn("is_duplicate", F.col("canonical_id") != F.col(ident))
 
 

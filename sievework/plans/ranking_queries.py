@@ -31,7 +31,7 @@ SELECT p_brand, p_partkey, p_size, rank() OVER (PARTITION BY p_brand ORDER BY p_
        count(*) OVER (PARTITION BY p_brand, p_size) > 1 AS tie FROM e""")
 def rank_current(spark: SparkSession, sf: str) -> DataFrame:
     """J1, W1, L1."""
-    return R.ranked(_eligible(spark, sf).select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size", "p_partkey").orderBy("p_brand", F.desc("p_size"), "p_partkey")
+    return R.ranked(_eligible(spark, sf).select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size").orderBy("p_brand", F.desc("p_size"), "p_partkey")
 
 
 @query("""
@@ -39,7 +39,7 @@ WITH r AS (SELECT p_brand, p_partkey, p_size, rank() OVER (PARTITION BY p_brand
 SELECT p_brand, p_partkey, p_size FROM r WHERE rank = 2""")
 def rank_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     """All that are second; empty for brands with two firsts."""
-    return R.at_rank(R.ranked(table(spark, sf, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size", "p_partkey"), 2).select("p_brand", "p_partkey", "p_size")
+    return R.at_rank(R.ranked(table(spark, sf, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_size"), 2).select("p_brand", "p_partkey", "p_size")
 
 
 @query("""
