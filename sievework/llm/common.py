@@ -42,7 +42,7 @@ def with_rank(df: DataFrame, key: str, order: list[str], *, buckets: int = 512,
 
     A key may hold any share of the rows: rows are ranked within (key, hash bucket), and buckets start where the
     counts of the buckets before them end, so no task sees a whole key. Rows alike in all of `order` are ranked in
-    any order among themselves. `df` is read twice; it should be stored.
+    any order among themselves. A key must not be null. `df` is read twice; it should be a table.
     """
     hashed = F.xxhash64(*order)
     dealt = df.withColumn("_hash", hashed).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(buckets)).cast("int"))
@@ -56,7 +56,7 @@ def with_rank(df: DataFrame, key: str, order: list[str], *, buckets: int = 512,
     within = Window.partitionBy(key, "_bucket").orderBy("_hash", *order)
     ranked = dealt.withColumn("_row", F.row_number().over(within))
     return (
-        ranked.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
+        ranked.join(starts, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_b")))
         .withColumn(name, F.col("_start") + F.col("_row") - 1)
         .drop("_hash", "_bucket", "_row", "_key", "_b", "_start")
     )

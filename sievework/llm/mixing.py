@@ -121,6 +121,20 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, *, source_col: s
     )
 
 
+def in_mix_order(df: DataFrame, *args, **settings) -> DataFrame:
+    """All columns of `df`, a table, with rows and partitions in the order of mix().
+
+    Slots are dense, so their number and the number of partitions tell where a row goes; nothing has to be sampled.
+    """
+    placed = mix(df, *args, **settings)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block_rows = settings.get("block_rows", BLOCK_ROWS)
+    source = F.col(settings.get("source_col", "source"))
+    slots = df.groupBy(source).count().agg(F.sum(F.ceil(F.col("count") / block_rows))).first()[0] or 1
+    to = F.floor(F.col("mix_block") * n / F.lit(int(slots))).cast("int")
+    return placed.repartitionById(n, F.least(to, F.lit(n - 1))).sortWithinPartitions("mix_block", "mix_position").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stored(documents(spark, sf_dir).select("doc_id", "source"), "sources")
     return mix(docs)

@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievework.llm.common import documents, stored
 from sievework.llm.components import connected_components
@@ -56,11 +57,16 @@ def _fingerprints(words: int):
     return run
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, carry: bool = False) -> DataFrame:
-    """(uid, id, fp) for every row, fp as a signed long; with `carry` also `row`, all columns. A null text is empty."""
-    own = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), *([F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")] if carry else []), F.col(text_col).alias("text"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    return own.mapInArrow(_fingerprints(words), f"{kinds}, fp long")
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, row_hash: bool = False) -> DataFrame:
+    """(id, h1, h2, fp) for every row: h1 and h2 are 128 bits of all its columns, if asked, and fp a signed long. A null text is empty."""
+    hashed = _row_hash(df) if row_hash else [F.lit(0).cast("long")] * 2
+    own = df.select(F.col(id_col).cast("long"), *hashed, F.col(text_col)).toDF("id", "h1", "h2", "text")
+    return own.mapInArrow(_fingerprints(words), "id long, h1 long, h2 long, fp long")
+
+
+def _row_hash(df: DataFrame) -> list[Column]:
+    columns = [F.array_sort(F.map_entries(df[f"`{f.name}`"])) if f.dataType.typeName() == "map" else df[f"`{f.name}`"] for f in df.schema]  # a map has no hash
+    return [F.xxhash64(*columns).alias("_h1"), F.xxhash64(F.lit(1), *columns).alias("_h2")]
 
 
 def block_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
@@ -89,8 +95,8 @@ def fingerprint_components(fps: DataFrame, *, distance: int = DISTANCE, blocks:
 
 
 def _components_of(marked: DataFrame, distance: int) -> DataFrame:
-    """(fp, best) for every fingerprint: best is the (no_id, id, uid) of its component that comes first."""
-    mine = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
+    """(fp, best) for every fingerprint: best is the (no_id, id, h1, h2) of its component that comes first."""
+    mine = F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")
     fps = stored(marked.groupBy("fp").agg(F.min(mine).alias("first")), "distinct-fingerprints")
     linked = fingerprint_components(fps.select("fp"), distance=distance)
     rooted = fps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -114,11 +120,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """The rows of `df` that stay when one row of each component does: that with the smallest identifier; see near_duplicates().
 
-    Of rows that share it, the first as read. Columns are those of `df`, whatever their names.
+    Rows that are alike in every column are one row. Columns are those of `df`, whatever their names.
     """
-    marked = stored(fingerprints(df, id_col, text_col, words=words, carry=True), "fingerprints")
-    best = _components_of(marked.select("uid", "id", "fp"), distance).select(F.col("best.uid").alias("uid")).distinct()
-    return marked.join(best, "uid", "left_semi").select("row.*")
+    marked = stored(fingerprints(df, id_col, text_col, words=words, row_hash=True), "fingerprints")
+    best = _components_of(marked, distance).select("best.h1", "best.h2").distinct()
+    rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *_row_hash(df))
+    left = rows.join(best, (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")), "left_semi")
+    once = left.withColumn("_n", F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("_h1")))
+    return once.where("_n = 1").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
