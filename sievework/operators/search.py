@@ -90,7 +90,7 @@ def compared(records: DataFrame, question: str) -> DataFrame:
     whole = named.where(F.contains(low, F.col("n"))).select("id")
     lone = named.groupBy("first").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).where("k = 1")
     quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("first"), F.lit(r"\E(?!\w)"))
-    by_first = lone.where(low.rlike(quoted)).select("id")
+    by_first = lone.where(F.rlike(low, quoted)).select("id")
     none = whole.agg((F.count(F.lit(1)) == 0).alias("none"))  # one row
     return whole.union(by_first.join(none, F.col("none")).select("id"))
 
