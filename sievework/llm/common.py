@@ -29,14 +29,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder once and read it back.
 
     A reliable copy, so a lost executor costs only the tasks it was running; columns that a later step
-    does not need are not read again.
+    does not need are not read again. It stays until drop_since(), as the result may be read at any time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many tables stored() has written so far; a mark for drop_since()."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, mark: int) -> None:
+    """Delete what stored() has written since a mark, once nothing reads it any more."""
+    for path in _written[mark:]:
+        delete(spark, path)
+    del _written[mark:]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def with_rank(df: DataFrame, key: str, order: list[str], *, buckets: int = 512, name: str = "rank") -> DataFrame:
     """0-based rank of each row within `key`, gapless, in the order of a hash of `order` and then `order`.
 
