@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import stored
 from sievework.llm.components import connected_components
-from sievework.llm.tiles import TILE, forest, into_tiles, whole_groups
+from sievework.llm.tiles import forest, into_tiles, whole_groups
 
 THRESHOLD = 0.93
 TABLES = 8
@@ -35,6 +35,8 @@ PROBES = 4
 #: Cells are as fine as the vectors are stretched. A pair at cosine 0.93 meets in one table of these with a chance of about 0.48.
 STRETCH = 3.5
 SEED = 20240
+#: Rows with vectors are wide and a crowded cell has all its pairs compared: chunks are small, so that tiles are many and even.
+TILE = 256
 
 
 def decode_d8(x: np.ndarray) -> np.ndarray:
