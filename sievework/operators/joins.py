@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORDS = 3
@@ -33,6 +35,26 @@ def quotes_in(texts: DataFrame, quotes: DataFrame, text_id: str, text: str, quot
     return found.select(F.col("_t").alias(text_id), F.col("_q").alias(quote_id))
 
 
+def join_counted(df: DataFrame, counted: DataFrame, keys: list[str], n: str, hot: int = 1000) -> DataFrame:
+    """Every row of `df` with the row of `counted` that has its keys; null keys are equal. `counted` has unique keys, and
+    in `n` how many rows of `df` each has.
+
+    Keys that hold at least one in `hot` of all rows are at most `hot` many by that definition: they are broadcast, and
+    their rows stay where they are. The others meet in a shuffle in which no key is large.
+    """
+    rest = [c for c in counted.columns if c not in keys]
+    total = counted.agg(F.sum(n).alias("_total"))  # one row
+    named = counted.join(F.broadcast(total)).select(*[F.col(k).alias(f"_{k}") for k in keys], *rest, (F.col(n) * hot >= F.col("_total")).alias("_hot"))
+    large, small = named.where("_hot").drop("_hot"), named.where("NOT _hot").drop("_hot")
+
+    def same(other: DataFrame) -> Column:
+        return reduce(lambda a, b: a & b, [df[k].eqNullSafe(other[f"_{k}"]) for k in keys])
+
+    few = df.join(F.broadcast(large), same(large))
+    many = df.join(F.broadcast(large), same(large), "left_anti").join(small, same(small))
+    return few.unionByName(many).drop(*[f"_{k}" for k in keys])
+
+
 def missing(known: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `known` whose keys are not in `current`."""
     return known.join(current.select(*keys), keys, "left_anti")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.operators.joins import join_counted
+
 
 def current_assessments(records: DataFrame, groups: DataFrame, assessments: DataFrame) -> DataFrame:
     """Records with the assessment that counts: of the record's version and its group's rubric.
@@ -25,14 +25,13 @@ def ranked(df: DataFrame, partition: list[str], score: str) -> DataFrame:
     """Competition rank (1, 1, 3) by falling score, and whether the score is shared. No score comes last.
 
     Scores are counted first, combining before the shuffle, and only different scores are put in order; so a group may
-    hold any share of the rows. The counts come back by a join on group and score.
+    hold any share of the rows. The counts come back by join_counted(), as one score may do so too.
     """
     keys = [*partition, score]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     above = Window.partitionBy(*partition).orderBy(F.col(score).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("long").alias("rank"), (F.col("_n") > 1).alias("tie"))
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(placed[f"_{k}"]) for k in keys])
-    return df.join(placed, same).drop(*[f"_{k}" for k in keys])
+    placed = counts.select(*keys, "_n", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("long").alias("rank"), (F.col("_n") > 1).alias("tie"))
+    return join_counted(df, placed, keys, "_n").drop("_n")
 
 
 def latest(df: DataFrame, partition: list[str], order: str) -> DataFrame:
@@ -44,13 +43,10 @@ def latest(df: DataFrame, partition: list[str], order: str) -> DataFrame:
 def with_canonical(df: DataFrame, partition: list[str], ident: str) -> DataFrame:
     """The smallest identifier of each key beside every row; also R4, deduplication by content.
 
-    The smallest is an aggregate and comes back by a join, which adaptive execution can split where a key is hot; a
-    window would bring a hot key to one task.
+    The smallest is an aggregate and comes back by join_counted(); a window would bring a hot key to one task.
     """
-    first = df.groupBy(*partition).agg(F.min(ident).alias("canonical_id"))
-    named = first.select(*[F.col(c).alias(f"_{c}") for c in partition], "canonical_id")
-    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(named[f"_{c}"]) for c in partition])
-    return df.join(named, same).drop(*[f"_{c}" for c in partition]).withColumn("is_duplicate", F.col("canonical_id") != F.col(ident))
+    first = df.groupBy(*partition).agg(F.min(ident).alias("canonical_id"), F.count(F.lit(1)).alias("_n"))
+    return join_counted(df, first, partition, "_n").drop("_n").withColumn("is_duplicate", F.col("canonical_id") != F.col(ident))
 
 
 def at_rank(df: DataFrame, rank: int) -> DataFrame:
