@@ -35,24 +35,26 @@ def quotes_in(texts: DataFrame, quotes: DataFrame, text_id: str, text: str, quot
     return found.select(F.col("_t").alias(text_id), F.col("_q").alias(quote_id))
 
 
-def join_counted(df: DataFrame, counted: DataFrame, keys: list[str], n: str, hot: int = 1000) -> DataFrame:
+_SALTS = 64
+
+
+def join_counted(df: DataFrame, counted: DataFrame, keys: list[str], n: str, spread: str, hot: int = 1000) -> DataFrame:
     """Every row of `df` with the row of `counted` that has its keys; null keys are equal. `counted` has unique keys, and
     in `n` how many rows of `df` each has.
 
-    Keys that hold at least one in `hot` of all rows are at most `hot` many by that definition: they are broadcast, and
-    their rows stay where they are. The others meet in a shuffle in which no key is large.
+    Keys that hold at least one in `hot` of all rows are at most `hot` many by that definition. They are broadcast to mark
+    their rows, which are then dealt out by a hash of `spread` over copies of the counted row; other keys meet as they are.
     """
     rest = [c for c in counted.columns if c not in keys]
     total = counted.agg(F.sum(n).alias("_total"))  # one row
-    named = counted.join(F.broadcast(total)).select(*[F.col(k).alias(f"_{k}") for k in keys], *rest, (F.col(n) * hot >= F.col("_total")).alias("_hot"))
-    large, small = named.where("_hot").drop("_hot"), named.where("NOT _hot").drop("_hot")
-
-    def same(other: DataFrame) -> Column:
-        return reduce(lambda a, b: a & b, [df[k].eqNullSafe(other[f"_{k}"]) for k in keys])
-
-    few = df.join(F.broadcast(large), same(large))
-    many = df.join(F.broadcast(large), same(large), "left_anti").join(small, same(small))
-    return few.unionByName(many).drop(*[f"_{k}" for k in keys])
+    salts = F.when(F.col(n) * hot >= F.col("_total"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    named = counted.join(F.broadcast(total)).select(*[F.col(k).alias(f"_{k}") for k in keys], *rest, salts.alias("_salts"))
+    large = named.where(F.size("_salts") > 1).select(*[F.col(f"_{k}").alias(f"_h{k}") for k in keys], F.lit(True).alias("_hot"))
+    marked = df.join(F.broadcast(large), reduce(lambda a, b: a & b, [df[k].eqNullSafe(large[f"_h{k}"]) for k in keys]), "left")
+    dealt = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(_SALTS))).otherwise(0).cast("int"))
+    copies = named.withColumn("_copy", F.explode("_salts"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return dealt.join(copies, same & (F.col("_salt") == F.col("_copy"))).select(*df.columns, *rest)
 
 
 def missing(known: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:

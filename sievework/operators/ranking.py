@@ -21,8 +21,8 @@ def current_assessments(records: DataFrame, groups: DataFrame, assessments: Data
     return eligible.join(scored, (eligible.id == scored.application_id) & (eligible.version == scored.version) & (eligible.rubric_id == scored.rubric_id)).drop(scored.application_id).drop(scored.version).drop(scored.rubric_id)
 
 
-def ranked(df: DataFrame, partition: list[str], score: str) -> DataFrame:
-    """Competition rank (1, 1, 3) by falling score, and whether the score is shared. No score comes last.
+def ranked(df: DataFrame, partition: list[str], score: str, ident: str) -> DataFrame:
+    """Competition rank (1, 1, 3) by falling score, and whether the score is shared. No score comes last. `ident` tells rows apart.
 
     Scores are counted first, combining before the shuffle, and only different scores are put in order; so a group may
     hold any share of the rows. The counts come back by join_counted(), as one score may do so too.
@@ -31,7 +31,7 @@ def ranked(df: DataFrame, partition: list[str], score: str) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     above = Window.partitionBy(*partition).orderBy(F.col(score).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.select(*keys, "_n", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("long").alias("rank"), (F.col("_n") > 1).alias("tie"))
-    return join_counted(df, placed, keys, "_n").drop("_n")
+    return join_counted(df, placed, keys, "_n", ident).drop("_n")
 
 
 def latest(df: DataFrame, partition: list[str], order: str) -> DataFrame:
@@ -46,7 +46,7 @@ def with_canonical(df: DataFrame, partition: list[str], ident: str) -> DataFrame
     The smallest is an aggregate and comes back by join_counted(); a window would bring a hot key to one task.
     """
     first = df.groupBy(*partition).agg(F.min(ident).alias("canonical_id"), F.count(F.lit(1)).alias("_n"))
-    return join_counted(df, first, partition, "_n").drop("_n").withColumn("is_duplicate", F.col("canonical_id") != F.col(ident))
+    return join_counted(df, first, partition, "_n", ident).drop("_n").withColumn("is_duplicate", F.col("canonical_id") != F.col(ident))
 
 
 def at_rank(df: DataFrame, rank: int) -> DataFrame:

@@ -324,7 +324,7 @@ def _frames(spark: SparkSession, sf: str) -> S.Frames:
     records = rows.select(F.col("doc_id").alias("id"), F.concat(F.lit("Name "), F.col("doc_id").cast("string")).alias("name"), status.alias("status"), F.when(F.col("doc_id") % 9 == 0, F.lit(1).cast("long")).alias("duplicate_of"), F.col("doc_id").cast("string").alias("file_id"), F.lit("done").alias("job_state"))
     sections = docs.select(F.col("doc_id").alias("record_id"), F.lit("p1-0").alias("section_id"), F.lit("page/part 1").alias("location"), "text")
     scored = records.where("status = 'completed' AND duplicate_of IS NULL").select("id", (F.col("id") % 50).alias("score"), F.lit(0).alias("_g"))
-    return S.Frames(records, sections, ranked(scored, ["_g"], "score").drop("_g"))
+    return S.Frames(records, sections, ranked(scored, ["_g"], "score", "id").drop("_g"))
 
 
 _CARDS = """
@@ -399,7 +399,7 @@ SELECT rank() OVER (ORDER BY floor(o_totalprice) DESC) AS "Rank", CASE WHEN coun
 def report_ranked(spark: SparkSession, sf: str) -> DataFrame:
     """S11, S12, T18."""
     rows = _report(spark, sf).withColumn("criteria", F.create_map(F.lit("open"), F.lit("open orders"), F.lit("final"), F.lit("final orders"))).withColumn("_g", F.lit(0))
-    return REP.safe_sheet(REP.ranked_sheet(ranked(rows, ["_g"], "score")))
+    return REP.safe_sheet(REP.ranked_sheet(ranked(rows, ["_g"], "score", "id")))
 
 
 @query(f"""

@@ -20,11 +20,19 @@ def rows(df, *order):
 
 def test_ranks_and_ties(spark):
     df = spark.createDataFrame([(1, "a", 5.0), (2, "a", 5.0), (3, "a", 1.0), (4, "b", None), (5, "b", 2.0), (6, None, 1.0)], "id int, g string, s double")
-    assert rows(R.ranked(df, ["g"], "s").select("id", "rank", "tie"), "id") == [(1, 1, True), (2, 1, True), (3, 3, False), (4, 2, False), (5, 1, False), (6, 1, False)]
-    assert R.at_rank(R.ranked(df.where("g = 'a'"), ["g"], "s"), 2).count() == 0
+    assert rows(R.ranked(df, ["g"], "s", "id").select("id", "rank", "tie"), "id") == [(1, 1, True), (2, 1, True), (3, 3, False), (4, 2, False), (5, 1, False), (6, 1, False)]
+    assert R.at_rank(R.ranked(df.where("g = 'a'"), ["g"], "s", "id"), 2).count() == 0
     assert rows(R.top_with_ties(df.where("g = 'a'"), ["g"], "s", "id", 1)) == [("a", 1, True)]
 
 
+def test_hot_keys_join(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"))
+    counted = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    got = {r.id: (r.k, r.least, r.n) for r in J.join_counted(df, counted, ["k"], "n", "id").collect()}
+    assert len(got) == 4000 and got[3] == ("hot", 0, 1334) and got[5] == (None, 2, 1333) and got[4] == ("4", 4, 1)
+    assert J.join_counted(df.limit(0), counted.limit(0), ["k"], "n", "id").count() == 0
+
+
 def test_current_assessments(spark):
     records = spark.createDataFrame([(1, "r", "v2", "completed", True, None), (2, "r", "v1", "completed", True, 1), (3, "r", "v1", "review", True, None), (4, "p", "v1", "completed", True, None)], "id int, role_id string, version string, status string, active boolean, duplicate_of int")
     groups = spark.createDataFrame([("r", 9, True, False), ("p", 9, True, True)], "id string, rubric_id int, active boolean, paused boolean")
