@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from sievework.operators import changes as C
 from sievework.operators import joins as J
 from sievework.operators import quality as Q
 from sievework.plans.registry import query
-from sievework.plans.session import table, tables
+from sievework.plans.session import table, tables, workspace
 
 
 @query("""
@@ -340,16 +342,11 @@ SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CAST(count(*) FILTER (WHER
 FROM events GROUP BY 1""")
 def daily_window_stream(spark: SparkSession, sf: str) -> DataFrame:
     """A stream over the events' file, run to its end."""
-    import tempfile
-    import uuid
-
     from sievework.streaming import jobs
 
     events = table(spark, sf, "events")
     stream = jobs.watched(spark, f"{sf}/events.parquet*", events.schema)
     kind = F.col("event_type")
     name = f"daily_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    checkpoint = f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix="sievework-")
-    jobs.run_to_end(jobs.daily_counts(stream, "ts", {"assessments": kind == "purchase", "views": kind == "view"}), name, checkpoint)
+    jobs.run_to_end(jobs.daily_counts(stream, "ts", {"assessments": kind == "purchase", "views": kind == "view"}), name, workspace(spark, name))
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "assessments", "views")

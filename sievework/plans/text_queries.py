@@ -215,7 +215,17 @@ def _titled(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.alias("text"), F.lit(1).alias("page"))
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 8 = 3 THEN 'Skills:' || chr(10) || x ELSE x END), chr(10)) AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM t),
+o AS (SELECT doc_id, line = 'Skills:' AS h, p, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS pos FROM l),
+b AS (SELECT doc_id, pos, h FROM o WHERE h OR p = 1),
+s AS (SELECT b.doc_id, b.pos, lead(b.pos, 1, length(t.text)) OVER (PARTITION BY b.doc_id ORDER BY b.pos) AS stop, CASE WHEN b.h THEN 'Skills' END AS heading, t.text FROM b JOIN t ON t.doc_id = b.doc_id),
+c AS (
+  SELECT doc_id, heading, text, stop, pos AS "start", CASE WHEN stop - pos <= 1600 THEN stop WHEN strpos(reverse(substr(text, pos + 2, 1599)), chr(10)) > 0 THEN pos + 1601 - strpos(reverse(substr(text, pos + 2, 1599)), chr(10)) ELSE pos + 1600 END AS "end" FROM s WHERE pos < stop
+  UNION ALL
+  SELECT doc_id, heading, text, stop, "end", CASE WHEN stop - "end" <= 1600 THEN stop WHEN strpos(reverse(substr(text, "end" + 2, 1599)), chr(10)) > 0 THEN "end" + 1601 - strpos(reverse(substr(text, "end" + 2, 1599)), chr(10)) ELSE "end" + 1600 END FROM c WHERE "end" < stop)
+SELECT doc_id, 'p1-' || "start" AS chunk_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", heading, sha256(substr(text, "start" + 1, "end" - "start")) AS hash FROM c""")
 def chunks_structure(spark: SparkSession, sf: str) -> DataFrame:
     """C2."""
     return K.chunked(_titled(spark, sf)).select("doc_id", "chunk_id", "start", "end", "heading", F.sha2("chunk_text", 256).alias("hash"))
@@ -363,7 +373,9 @@ def answer_compare(spark: SparkSession, sf: str) -> DataFrame:
     return S.plan(S.parse_question("compare 12 and 13", selected=(12, 13)), _frames(spark, sf))
 
 
-@query()
+@query(_CARDS.replace(" FROM r LEFT JOIN k", ", 'semantic excerpt suggestions' AS mode FROM r LEFT JOIN k") + """
+JOIN (SELECT vec_id FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
+      ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, 'v' || vec_id LIMIT 8) n ON n.vec_id = r.id""")
 def answer_semantic(spark: SparkSession, sf: str) -> DataFrame:
     """Words find nothing, so the nearest vectors answer."""
     frames = _frames(spark, sf)
