@@ -22,11 +22,11 @@ def quotes_in(texts: DataFrame, quotes: DataFrame, text_id: str, text: str, quot
     n_short = short.count()
     if n_short > 10_000:
         raise ValueError(f"{n_short} quotes are too short to be found by their words")
-    keyed = q.where(F.size("_w") >= _WORDS + 2).withColumn("_key", F.xxhash64(F.slice("_w", 2, _WORDS)))
+    keyed = q.where(F.size("_w") >= _WORDS + 2).withColumn("_key", F.xxhash64(*[F.get("_w", F.lit(1 + k)) for k in range(_WORDS)]))
     words = F.split(F.col(text), " ", -1)
     grams = texts.select(F.col(text_id).alias("_t"), words.alias("_w")).where(F.size("_w") >= _WORDS)
-    # Keys of a text, each once; then the pairs that share one, each once; only these fetch their text.
-    keys = grams.select("_t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - _WORDS + 1), lambda i: F.xxhash64(F.slice("_w", i, _WORDS))))).alias("_key"))
+    # Keys of a text; then the pairs that share one, each once; only these fetch their text.
+    keys = grams.select("_t", F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - _WORDS), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(_WORDS)]))).alias("_key"))
     pairs = keys.join(keyed.select("_key", "_q", "_quote"), "_key").select("_t", "_q", "_quote").distinct()
     body = texts.select(F.col(text_id).alias("_t"), F.col(text).alias("_text"))
     found = pairs.join(body, "_t").where(F.contains("_text", F.col("_quote"))).select("_t", "_q")
