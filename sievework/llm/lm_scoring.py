@@ -7,7 +7,7 @@ and is broadcast; a bigram's probability interpolates its own count with its wor
 Words are 64-bit hashes. A training pass counts each partition's unigrams and bigrams in numpy and deals them by hash
 range; a range is merged by one task, which also fills its own slice of the filter, so nothing is counted twice and hot
 words are ordinary rows. The filter's size follows the corpus: when it would exceed a bound, texts are scored in several
-passes that each hold some of the slices, with the same result.
+passes that each hold some of the slices, with the same result: two bytes a token and pass, not texts, are kept between.
 
 The exact unigram score needs every token's exact count. Words of at least one in HEAVY of all tokens are at most HEAVY
 many, and go to the workers as two arrays; rarer ones are joined by hash, where none can be hot.
@@ -16,6 +16,7 @@ many, and go to the workers as two arrays; rarer ones are joined by hash, where
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -266,24 +267,22 @@ def _together(texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         yield lo, len(texts), held
 
 
-def _levels(held: Filter, part: pa.RecordBatch, tokens: list[np.ndarray], first: bool) -> np.ndarray:
-    """A byte for each token's word and then for each of its bigrams, text by text; joined with those of earlier passes."""
+def _levels(held: Filter, tokens: list[np.ndarray]) -> np.ndarray:
+    """A byte for each token's word and then for each of its bigrams, text by text."""
     once, back = np.unique(np.concatenate([g for t in tokens for g in (t, bigram_hashes(t))]), return_inverse=True)
-    levels = held.levels(once)[back]
-    return levels if first else levels | np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8)
+    return held.levels(once)[back]
 
 
-def _probe(filters, shards: int, first: bool):
-    """A pass that is not the last: the levels of the n-grams whose slices are held, beside the text."""
+def _probe(filters, shards: int):
+    """One of several passes: the levels of the n-grams whose slices are held, by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Filter(filters.value, shards)
         for batch in batches:
             for lo, hi, tokens in _together(batch.column("text")):
-                part = batch.slice(lo, hi - lo)
-                levels = _levels(held, part, tokens, first)
+                levels = _levels(held, tokens)
                 ends = np.cumsum([2 * len(t) for t in tokens])
-                yield part.select(["id", "text"]).append_column("levels", pa.array([levels[b - 2 * len(t) : b].tobytes() for t, b in zip(tokens, ends)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column("uid").slice(lo, hi - lo), pa.array([levels[b - 2 * len(t) : b].tobytes() for t, b in zip(tokens, ends)], pa.binary())], ["uid", "levels"])
 
     return run
 
@@ -300,8 +299,9 @@ def probability(words: np.ndarray, pairs: np.ndarray, tokens: int, vocabulary: i
     return float(np.log10(WEIGHT * relative + (1 - WEIGHT * held_share) * single).sum())
 
 
-def _score(filters, shards: int, first: bool, heavy, tokens: int, vocabulary: int, held_share: float):
-    """The last pass: scores, the exact unigram sum over heavy words, and the other words for the join."""
+def _score(filters, shards: int, heavy, tokens: int, vocabulary: int, held_share: float):
+    """Scores, the exact unigram sum over heavy words, and the other words for the join. Levels come from the filter or,
+    after several passes, from the column `levels`: what each of them found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -313,7 +313,11 @@ def _score(filters, shards: int, first: bool, heavy, tokens: int, vocabulary: in
         for batch in batches:
             for lo, hi, texts in _together(batch.column("text")):
                 part, rows, at = batch.slice(lo, hi - lo), [], 0
-                levels = count_at(np.arange(MAX_LEVEL + 1))[_levels(held, part, texts, first)]
+                if "levels" in part.schema.names:
+                    found = np.concatenate([np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in row]) for row in part.column("levels").to_pylist()])
+                else:
+                    found = _levels(held, texts)
+                levels = count_at(np.arange(MAX_LEVEL + 1))[found]
                 for ident, hashes in zip(part.column("id").to_pylist(), texts):
                     n = len(hashes)
                     score = probability(levels[at : at + n], levels[at + n : at + 2 * n], tokens, vocabulary, held_share)
@@ -350,16 +354,22 @@ def score_texts(df: DataFrame, counts: Counts, id_col: str = "doc_id", text_col:
         room -= r["n"]
     least, hashes, numbers = counts.heavy(heavy_words)
     heavy = spark.sparkContext.broadcast((hashes, numbers))
-    # One pass as long as the filter fits its bound; each further pass holds the next slices and adds their levels.
+
+    def slices(group: list[int]):
+        rows = counts.table.where(F.col("shard").between(min(group), max(group))).select("shard", "filter").toLocalIterator() if group else ()
+        return spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in rows})
+
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    for k, group in enumerate(groups):
-        held = {r["shard"]: bytes(r["filter"]) for r in counts.table.where(F.col("shard").between(min(group), max(group))).select("shard", "filter").toLocalIterator()} if group else {}
-        shared = spark.sparkContext.broadcast(held)
-        if k < len(groups) - 1:
-            rows = stored(rows.mapInArrow(_probe(shared, counts.shards, k == 0), "id long, text string, levels binary"), "levels")
-        else:
-            run = _score(shared, counts.shards, k == 0, heavy, counts.tokens, counts.words, counts.held_share)
-            scored = stored(rows.mapInArrow(run, "uid long, id long, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"), "scored")
+    shared = slices(groups[0] if len(groups) == 1 else [])
+    if len(groups) > 1:
+        # The filter exceeds its bound: each pass holds some slices and leaves two bytes a token, mostly zeros; these
+        # meet by row. Texts are written once and shuffled once, however many passes there are.
+        rows = stored(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text"), "texts")
+        passes = [stored(rows.select("uid", "text").mapInArrow(_probe(slices(g), counts.shards), "uid long, levels binary"), "levels") for g in groups]
+        found = reduce(DataFrame.union, passes).groupBy("uid").agg(F.collect_list("levels").alias("levels"))
+        rows = rows.join(found, "uid").select("id", "text", "levels")
+    run = _score(shared, counts.shards, heavy, counts.tokens, counts.words, counts.held_share)
+    scored = stored(rows.mapInArrow(run, "uid long, id long, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"), "scored")
 
     unseen = float(np.log10(DELTA / (counts.tokens + DELTA * (counts.words + 1))))
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("uid", F.col("t.rare").alias("hash"), F.col("t.times").alias("times"))
