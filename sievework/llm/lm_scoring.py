@@ -33,7 +33,8 @@ MIN_COUNT = 2
 BITS_PER_ENTRY = 10
 PROBES = 5
 MAX_LEVEL = 40
-MAX_FILTER_BYTES = 256 << 20
+#: Two copies of a slice are in each Python worker while it probes.
+MAX_FILTER_BYTES = 128 << 20
 WEIGHT = 0.6
 DELTA = 0.1
 
