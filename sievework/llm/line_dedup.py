@@ -78,8 +78,8 @@ def _reassemble(least: int):
     return run
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, carry: list[str] = (), min_key: int = MIN_KEY, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per input row: id, the columns of `carry`, n_lines, n_dropped, kept_text.
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, carry: bool = False, min_key: int = MIN_KEY, min_docs: int = MIN_DOCS) -> DataFrame:
+    """One row per input row: id, n_lines, n_dropped, kept_text; with `carry` also `row`, all columns but the text.
 
     Keys of at least `min_key` code points that are in at least `min_docs` different documents lose all their lines
     except in the document with the largest identifier. A null or empty text is one empty line. Rows with one
@@ -100,11 +100,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         .groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("h"))
         .select(F.col("id").alias("_id"), F.col("h.h1").alias("_h1"), F.col("h.h2").alias("_h2"))
     )
-    names = [id_col, *carry]
-    whole = df.select(*names, text.alias("_text"))
-    joined = whole.join(drops, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.select(*names).schema)
-    return joined.mapInArrow(_reassemble(min_key), f"{schema}, n_lines long, n_dropped long, kept_text string")
+    rest = [F.struct(*[df[f"`{c}`"] for c in df.columns if c != text_col]).alias("row")] if carry else []
+    whole = df.select(F.col(id_col).alias("id"), *rest, text.alias("_text"))
+    joined = whole.join(drops, F.col("id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema if f.name != "_text")
+    return joined.mapInArrow(_reassemble(min_key), f"{kinds}, n_lines long, n_dropped long, kept_text string").withColumnRenamed("id", id_col)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,52 +87,51 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERI
     return found
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, *, source_col: str = "source", id_col: str = "doc_id", order_cols: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
-    """Every row of `df` (stored; it is read three times) with mix_block and mix_position: its slot, and its place in it.
-
-    `weights` are target weights by source, of any scale; a source that is missing there, the null source too, gets its
-    number of rows to the power `exponent`, on the scale of the given ones' rows. Within a source rows are in the order
-    of a hash of the identifier. Blocks have `block_rows` rows, a source's last block fewer. The number of sources is
-    bounded by what a driver can hold; a source's rows are not: they are ranked in hash buckets. Columns of the result's
-    names are replaced. An empty table gives an empty result.
-    """
+def _placed(df: DataFrame, weights: dict[str, float] | None, source_col: str, id_col: str, order_cols: tuple[str, ...], block_rows: int, period: int, exponent: float) -> tuple[DataFrame, int]:
+    """(row, mix_block, mix_position) for every row, `row` holding all its columns; and the number of slots."""
     spark = df.sparkSession
-    plain = df.drop("mix_block", "mix_position").withColumn("_source", F.concat(F.lit("s"), F.col(source_col).cast("string"))).withColumn("_source", F.coalesce("_source", F.lit("")))
+    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))
+    order = [F.col(c).alias(f"_o{i}") for i, c in enumerate((id_col, *order_cols))]
+    plain = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), source.alias("_source"), *order)
     rows = {r["_source"]: r["count"] for r in plain.groupBy("_source").count().collect()}
     given = {f"s{s}": w for s, w in (weights or {}).items() if f"s{s}" in rows and w > 0}
     scale = sum(given.values()) / sum(rows[s] ** exponent for s in given) if given else 1.0
     target = {s: given.get(s, n**exponent * scale) for s, n in rows.items()}
     planned = phases({s: -(-n // block_rows) for s, n in rows.items()}, target, period)
     # A row for each source and phase, and for each slot of a period: at most sources x phases + period x phases.
-    windows = [(s, p, ph["first"][s], ph["slot"], ph["shares"][s], ph["length"]) for p, ph in enumerate(planned) for s in ph["first"]]
-    ends = {}
-    for s, p, first, *_ in reversed(windows):
-        ends[s, p] = next((w[2] for w in windows if w[0] == s and w[1] == p + 1), 1 << 62)
-    windows = [(*w, ends[w[0], w[1]]) for w in windows]
-    slots = [(s, p, k, at) for p, ph in enumerate(planned) for s, own in ph["slots"].items() for k, at in enumerate(own)]
-    window = spark.createDataFrame(windows, "_s string, _phase int, _first long, _slot long, _share long, _length long, _end long")
-    slot = spark.createDataFrame(slots, "_s2 string, _phase2 int, _k long, _at long")
-    ranked = with_rank(plain, "_source", [id_col, *order_cols], name="_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    placed = ranked.join(F.broadcast(window), (F.col("_source") == F.col("_s")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end")))
-    placed = placed.withColumn("_n", F.col("_block") - F.col("_first"))
+    begins = [(s, p, ph["first"][s], ph["slot"], ph["shares"][s], ph["length"]) for p, ph in enumerate(planned) for s in ph["first"]]
+    first = {(s, p): at for s, p, at, *_ in begins}
+    window = spark.createDataFrame([(*w, first.get((w[0], w[1] + 1), 1 << 62)) for w in begins], "_s string, _phase int, _first long, _slot long, _share long, _length long, _end long")
+    slot = spark.createDataFrame([(s, p, k, at) for p, ph in enumerate(planned) for s, own in ph["slots"].items() for k, at in enumerate(own)], "_s2 string, _phase2 int, _k long, _at long")
+    ranked = with_rank(plain, "_source", [f"_o{i}" for i in range(len(order))], name="_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
+    placed = ranked.join(F.broadcast(window), (F.col("_source") == F.col("_s")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end"))).withColumn("_n", F.col("_block") - F.col("_first"))
     placed = placed.join(F.broadcast(slot), (F.col("_s") == F.col("_s2")) & (F.col("_phase") == F.col("_phase2")) & (F.pmod("_n", "_share") == F.col("_k")))
-    return placed.withColumn("mix_block", F.col("_slot") + F.floor(F.col("_n") / F.col("_share")) * F.col("_length") + F.col("_at")).withColumn("mix_position", F.pmod("_rank", F.lit(block_rows))).drop(
-        "_source", "_rank", "_block", "_s", "_phase", "_first", "_slot", "_share", "_length", "_end", "_n", "_s2", "_phase2", "_k", "_at"
-    )
+    block = F.col("_slot") + F.floor(F.col("_n") / F.col("_share")) * F.col("_length") + F.col("_at")
+    return placed.select("row", block.alias("mix_block"), F.pmod("_rank", F.lit(block_rows)).alias("mix_position")), sum(-(-n // block_rows) for n in rows.values())
+
+
+def mix(df: DataFrame, weights: dict[str, float] | None = None, *, source_col: str = "source", id_col: str = "doc_id", order_cols: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
+    """Every row of `df` (a table; it is read three times) with mix_block and mix_position: its slot, and its place in it.
+
+    `weights` are target weights by source, of any scale; a source that is missing there, the null source too, gets its
+    number of rows to the power `exponent`, on the scale of the given ones' rows. Within a source rows are in the order
+    of a hash of the identifier. Blocks have `block_rows` rows, a source's last block fewer. The number of sources is
+    bounded by what a driver can hold; a source's rows are not: they are ranked in hash buckets. Repeated rows are rows
+    like others; texts are not looked at. Columns of the result's names are replaced. An empty table gives an empty result.
+    """
+    placed, _ = _placed(df, weights, source_col, id_col, order_cols, block_rows, period, exponent)
+    return placed.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in ("mix_block", "mix_position")], "mix_block", "mix_position")
 
 
-def in_mix_order(df: DataFrame, *args, **settings) -> DataFrame:
+def in_mix_order(df: DataFrame, weights: dict[str, float] | None = None, *, source_col: str = "source", id_col: str = "doc_id", order_cols: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
     """All columns of `df`, a table, with rows and partitions in the order of mix().
 
     Slots are dense, so their number and the number of partitions tell where a row goes; nothing has to be sampled.
     """
-    placed = mix(df, *args, **settings)
+    placed, slots = _placed(df, weights, source_col, id_col, order_cols, block_rows, period, exponent)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block_rows = settings.get("block_rows", BLOCK_ROWS)
-    source = F.col(settings.get("source_col", "source"))
-    slots = df.groupBy(source).count().agg(F.sum(F.ceil(F.col("count") / block_rows))).first()[0] or 1
-    to = F.floor(F.col("mix_block") * n / F.lit(int(slots))).cast("int")
-    return placed.repartitionById(n, F.least(to, F.lit(n - 1))).sortWithinPartitions("mix_block", "mix_position").select(*[F.col(f"`{c}`") for c in df.columns])
+    to = F.floor(F.col("mix_block") * n / F.lit(max(1, slots))).cast("int")
+    return placed.repartitionById(n, F.least(to, F.lit(n - 1))).sortWithinPartitions("mix_block", "mix_position").select("row.*")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,13 +22,13 @@ from sievework.llm.exact_dedup import exact_groups
 from sievework.llm.queries import ORACLES, QUERIES
 from sievework.llm.tiles import forest, link_in_tiles
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, run long, fp long, _text string, mix_block string, row string, score string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, run long, fp long, _text string, mix_block string, row string, score string, kept_text string, id string, _source string, _rank string, text_sha256 string, m map<string,int>"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 
 def frame(spark, rows):
     """Documents with more columns, whose names clash with those that operators use."""
-    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), 1, 2, "x", "y", "z", None) for i, t, lang, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), 1, 2, "x", "y", "z", None, "k", "i", "s", "r", "h", {"a": 1}) for i, t, lang, s in rows], SCHEMA)
 
 
 def awkward():
@@ -390,7 +390,7 @@ def test_forest_and_tiles(spark):
 
 
 def test_lines(spark, docs, nothing):
-    got = {(r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs, carry=["lang"]).collect()}
+    got = {(r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs, carry=True).collect()}
     rows = awkward()
     holders: dict = {}
     for i, t, *_ in rows:
@@ -446,7 +446,7 @@ def test_mix(spark, tmp_path, nothing):
     sizes = Counter(s for _, _, _, s in rows)
     assert Counter(b[0].source for b in blocks.values()) == {s: -(-n // 8) for s, n in sizes.items()}
     ordered = mixing.in_mix_order(df, {"big": 0.5}, block_rows=8, period=100)
-    assert ordered.columns == df.columns and ordered.count() == len(rows)
+    assert ordered.columns == df.columns and ordered.count() == len(rows) and {r.mix_block for r in ordered.collect()} == {"y"}
     frame(spark, []).write.parquet(str(tmp_path / "none"))
     assert mixing.in_mix_order(spark.read.parquet(str(tmp_path / "none"))).count() == 0
 
