@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,24 +170,28 @@ def fit_language_model(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return train(labelled_sample(df, id_col=id_col, text_col=text_col, lang_col=lang_col, max_rows=max_rows))
 
 
-def identify(df: DataFrame, model: LanguageModel, text: Column | str = "text") -> DataFrame:
+def identify(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """(row, lang_pred, score, rejected) for every row; `row` holds all columns, whatever their names.
 
     A null text and one without a letter are `und` with score 0 and rejected. Only the text is looked at. Other rows
-    are rejected when their calibrated score is below the model's threshold.
+    are rejected when their calibrated score is below the model's threshold. Repeated rows and an empty table are no
+    special cases.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most 2^14 buckets x MAX_LANGS classes
-    held = df.select((F.col(text) if isinstance(text, str) else text).alias("text"), F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
+    held = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
+    place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == UNKNOWN or s < m.threshold for x, s in found], pa.bool_())],
-                ["row", "lang_pred", "score", "rejected"],
-            )
+            for lo in range(0, batch.num_rows, 1024):
+                rows = batch.column(0).slice(lo, 1024)
+                found = [m.predict(t.as_py()) for t in pc.struct_field(rows, [place])]
+                yield pa.RecordBatch.from_arrays(
+                    [rows, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array([x == UNKNOWN or s < m.threshold for x, s in found], pa.bool_())],
+                    ["row", "lang_pred", "score", "rejected"],
+                )
 
     schema = f"row {held.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean"
     return held.mapInArrow(run, schema)
