@@ -341,7 +341,7 @@ def request_budget(spark: SparkSession, sf: str) -> DataFrame:
 SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS assessments, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS views
 FROM events GROUP BY 1""")
 def daily_window_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream over the events' file, run to its end."""
+    """A stream over the events' file, run to its end."""
     from sievework.streaming import jobs
 
     events = table(spark, sf, "events")

@@ -349,19 +349,19 @@ SELECT r.id, 'Name ' || r.id AS name, r.status, k.score, k.rank, coalesce(k.tie,
 
 @query(f"{_CARDS} WHERE NOT r.dup AND ({_term_sql('then', 'onal', op='OR')})")
 def answer_lexical(spark: SparkSession, sf: str) -> DataFrame:
-    """A plain question: exact terms."""
+    """A plain question: exact terms."""
     return S.plan(S.parse_question('Who has "then" or "onal"?'), _frames(spark, sf))
 
 
 @query(f"{_CARDS} WHERE k.rank = 2")
 def answer_ordinal(spark: SparkSession, sf: str) -> DataFrame:
-    """An ordinal of the ranking: all that share it."""
+    """An ordinal of the ranking: all that share it."""
     return S.plan(S.parse_question("Which is the second in rank?"), _frames(spark, sf))
 
 
 @query(f"{_CARDS} WHERE r.status = 'review'")
 def answer_status(spark: SparkSession, sf: str) -> DataFrame:
-    """A list by status, duplicates too."""
+    """A list by status, duplicates too."""
     return S.plan(S.parse_question("List all applicants in review"), _frames(spark, sf))
 
 
