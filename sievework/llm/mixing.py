@@ -4,16 +4,21 @@ Each source's rows are cut into blocks. Block k of a source of weight w is relea
 ceil((k + 1) / w); in every slot the released block that is due first goes out. With weights that add up to one this
 meets every deadline, so after any number t of slots each source has had w * t blocks give or take less than one.
 
-Weights are rounded to whole shares of a period, after which the schedule repeats. So one period is scheduled on the
-driver, whatever the corpus holds, and each block finds its slot by arithmetic. When a source runs out, the others go
-on with their weights scaled up: a new phase, with a schedule of its own. No row is dropped, repeated or sampled.
+Releases and deadlines are exact fractions of the weights, which are read as their shortest decimals; nothing is
+rounded. Each slot is scheduled on the driver, which keeps a number for each block of `block_rows` rows.
+Weights that are whole shares of a period have a schedule that repeats, and only one period of it is computed; so has a
+source that is left alone. When a source runs out, the others go on with their weights scaled up: a new phase, with a
+schedule of its own. No row is dropped, repeated or sampled.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ from sievework.llm.common import documents, stored, with_rank
 
 PERIOD = 1000
 BLOCK_ROWS = 16
+#: Slots of a source's blocks go to the workers in rows of so many.
+_CHUNK = 1024
 #: The target of a source without a given weight grows with this power of its rows.
 EXPONENT = 0.7
 
@@ -36,51 +43,71 @@ def shares_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]
     return shares
 
 
-def pfair_period(shares: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, its block) for each slot of one period; every block lies in its window from release to deadline."""
+def pfair_slots(shares: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, its block) for each slot, without end; every block lies in its window from release to deadline."""
     period = sum(shares.values())
     waiting = [(0, s) for s in sorted(shares)]  # by release
     ready: list[tuple[int, Fraction, str]] = []
     given = dict.fromkeys(shares, 0)
-    order = []
     heapq.heapify(waiting)
-    for slot in range(period):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             _, s = heapq.heappop(waiting)
             due = -(-(given[s] + 1) * period // shares[s])
-            heapq.heappush(ready, (due, Fraction(-shares[s], period), s))
+            heapq.heappush(ready, (due, -shares[s], s))
         due, _, s = heapq.heappop(ready)
         if slot >= due:
             raise AssertionError("a deadline was missed")
-        order.append((s, given[s]))
+        yield s, given[s]
         given[s] += 1
-        if given[s] < shares[s]:
-            heapq.heappush(waiting, (given[s] * period // shares[s], s))
-    return order
+        heapq.heappush(waiting, (given[s] * period // shares[s], s))
+        slot += 1
+
+
+def pfair_period(shares: dict[str, int]) -> list[tuple[str, int]]:
+    """The slots of one period, after which they repeat."""
+    return [slot for slot, _ in zip(pfair_slots(shares), range(sum(shares.values())))]
+
+
+def exact_shares(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the proportion of the weights, each the shortest decimal that it prints as."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    whole = lcm(*(v.denominator for v in exact.values()))
+    shares = {s: int(v * whole) for s, v in exact.items()}
+    common = np.gcd.reduce(np.array(list(shares.values()), object))
+    return {s: n // int(common) for s, n in shares.items()}
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """The phases of a mix: first slot, first block of each source, its shares and its schedule.
+    """The phases of a mix: first slot, first block of each source, and the slots of its blocks in the phase.
 
     A phase ends after the slot that takes some source's last block; that source then leaves. There is a phase for each
-    source at most.
+    source at most. A schedule that repeats within `period` slots is computed once; that does not change it.
     """
     left, slot, found = {s: n for s, n in blocks.items() if n}, 0, []
     taken = dict.fromkeys(left, 0)
     while left:
-        shares = shares_of({s: weights[s] for s in left}, period)
-        order = pfair_period(shares)
-        length = len(order)
-        slot_of: dict[str, list[int]] = {s: [] for s in left}
-        for at, (s, _) in enumerate(order):
-            slot_of[s].append(at)
-        last = min((n - 1) // shares[s] * length + slot_of[s][(n - 1) % shares[s]] for s, n in left.items())
-        whole, rest = divmod(last + 1, length)
-        found.append({"slot": slot, "first": {s: taken[s] for s in left}, "shares": shares, "slots": slot_of, "length": length})
+        shares = exact_shares({s: weights[s] for s in left})
+        length = sum(shares.values())
+        if length <= period:
+            order = pfair_period(shares)
+            once = {s: np.array([at for at, (x, _) in enumerate(order) if x == s]) for s in left}
+            last = min((n - 1) // shares[s] * length + int(once[s][(n - 1) % shares[s]]) for s, n in left.items())
+            repeats = np.arange(last // length + 1) * length
+            slots = {s: (at := (repeats[:, None] + once[s]).ravel())[at <= last] for s in left}
+        else:
+            held: dict[str, list[int]] = {s: [] for s in left}
+            for at, (s, _) in enumerate(pfair_slots(shares)):
+                held[s].append(at)
+                if len(held[s]) == left[s]:
+                    last = at
+                    break
+            slots = {s: np.array(v, np.int64) for s, v in held.items()}
+        found.append({"slot": slot, "first": {s: taken[s] for s in left}, "slots": slots})
         for s in list(left):
-            n = whole * shares[s] + sum(at < rest for at in slot_of[s])
-            taken[s] += n
-            left[s] -= n
+            taken[s] += len(slots[s])
+            left[s] -= len(slots[s])
             if not left[s]:
                 del left[s]
         slot += last + 1
@@ -98,15 +125,13 @@ def _placed(df: DataFrame, weights: dict[str, float] | None, source_col: str, id
     scale = sum(given.values()) / sum(rows[s] ** exponent for s in given) if given else 1.0
     target = {s: given.get(s, n**exponent * scale) for s, n in rows.items()}
     planned = phases({s: -(-n // block_rows) for s, n in rows.items()}, target, period)
-    # A row for each source and phase, and for each slot of a period: at most sources x phases + period x phases.
-    begins = [(s, p, ph["first"][s], ph["slot"], ph["shares"][s], ph["length"]) for p, ph in enumerate(planned) for s in ph["first"]]
-    first = {(s, p): at for s, p, at, *_ in begins}
-    window = spark.createDataFrame([(*w, first.get((w[0], w[1] + 1), 1 << 62)) for w in begins], "_s string, _phase int, _first long, _slot long, _share long, _length long, _end long")
-    slot = spark.createDataFrame([(s, p, k, at) for p, ph in enumerate(planned) for s, own in ph["slots"].items() for k, at in enumerate(own)], "_s2 string, _phase2 int, _k long, _at long")
+    # A row for each _CHUNK blocks of a source, with their slots.
+    parts = {s: [ph["slots"][s] + ph["slot"] for ph in planned if s in ph["slots"]] for s in rows}
+    every = [(s, k // _CHUNK, at[k : k + _CHUNK].tolist()) for s, held in parts.items() for at in [np.concatenate(held)] for k in range(0, len(at), _CHUNK)]
+    slots = spark.createDataFrame(every, "_s string, _chunk long, _slots array<int>")
     ranked = with_rank(plain, "_source", [f"_o{i}" for i in range(len(order))], name="_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    placed = ranked.join(F.broadcast(window), (F.col("_source") == F.col("_s")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end"))).withColumn("_n", F.col("_block") - F.col("_first"))
-    placed = placed.join(F.broadcast(slot), (F.col("_s") == F.col("_s2")) & (F.col("_phase") == F.col("_phase2")) & (F.pmod("_n", "_share") == F.col("_k")))
-    block = F.col("_slot") + F.floor(F.col("_n") / F.col("_share")) * F.col("_length") + F.col("_at")
+    placed = ranked.join(F.broadcast(slots), (F.col("_source") == F.col("_s")) & (F.floor(F.col("_block") / _CHUNK) == F.col("_chunk")))
+    block = F.get("_slots", F.pmod(F.col("_block"), F.lit(_CHUNK)).cast("int")).cast("long")
     return placed.select("row", block.alias("mix_block"), F.pmod("_rank", F.lit(block_rows)).alias("mix_position")), sum(-(-n // block_rows) for n in rows.values())
 
 
