@@ -29,7 +29,7 @@ from sievework.llm.langid import remainder
 
 END = b" "  # no word has a blank in it
 HEAVY = 2_000_000
-MIN_COUNT = 2
+MIN_COUNT = 1
 BITS_PER_ENTRY = 10
 PROBES = 5
 MAX_LEVEL = 40
@@ -70,7 +70,7 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 def count_at(levels: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the middle of its range; 0 for level 0."""
-    return np.where(levels > 0, 0.75 * np.exp2(levels) - 0.5 * (levels > 1), 0.0)
+    return np.where(levels > 0, 0.75 * np.exp2(levels) - 0.5, 0.0)
 
 
 def filled_slice(hashes: np.ndarray, levels: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> bytes:
