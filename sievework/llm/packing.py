@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievework.llm.common import documents, stored, with_rank
 
@@ -54,20 +55,23 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def _tokenise(ranks_path: str, capacity: int, with_ids: bool):
+def _tokenise(ranks_path: str, capacity: int, with_ids: bool, with_place: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = byte_bpe(ranks_path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows: list[tuple] = []
+                places = iter(part.column(2).to_pylist() if with_place else [None] * part.num_rows)
                 for ident, text in zip(part.column(0).to_pylist(), part.column(1)):
                     ids = document_ids(encoding, text.as_py())
+                    place = next(places)
                     for k, (at, n) in enumerate(cuts(len(ids), capacity)):
                         own = ids[at : at + n]
-                        rows.append((ident, k, at, n, zlib.crc32(own), *([own] if with_ids else [])))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(rows[0])])
+                        rows.append((ident, k, at, n, zlib.crc32(own), *([own] if with_ids else []), *([place] if with_place else [])))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *([pa.list_(pa.int64())] if with_ids else []), *([pa.int64()] if with_place else [])]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), *(["place"] if with_place else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return run
 
@@ -161,6 +165,35 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return pack(stored(token_pieces(df, id_col, text_col, capacity=capacity, ranks_path=ranks_path, with_ids=with_ids), "pieces"), capacity=capacity)
 
 
+#: Places are ranked in ranges of so many, so that no task sees all pieces of a length.
+_RANGE = 13
+
+
+def _rank_by_place(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """0-based rank within `key`, gapless, by `order`, which starts with the long `place`: ranks start where the counts of the ranges before end."""
+    dealt = df.withColumn("_range", F.shiftright("place", _RANGE))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(key, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col(key).alias("_key"), F.col("_range").alias("_r"), "_start")
+    ranked = dealt.withColumn("_row", F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)))
+    return ranked.join(starts, (F.col(key) == F.col("_key")) & (F.col("_range") == F.col("_r"))).withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_range", "_row", "_key", "_r", "_start")
+
+
+def pack_in_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
+    """pack_documents() of a Parquet table in the order of its files and rows: pieces of a length take the plan's slots
+    in that order, and sequences are numbered by the first piece in each."""
+    place = F.shiftleft(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), 40) + F.col("_metadata.row_index")
+    own = df.select(F.col(id_col).cast("long"), F.col(text_col), place.alias("place"))
+    pieces = stored(own.mapInArrow(_tokenise(ranks_path or default_ranks(), capacity, False, True), _PIECES + ", place long"), "pieces")
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    plan = df.sparkSession.createDataFrame(best_fit_plan(histogram, capacity)[0], "_length int, _first long, _number long, _bin long, _offset long")
+    ranked = _rank_by_place(pieces, "length", ["place", "piece"], "_rank")
+    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_number")))
+    placed = stored(placed.withColumn("_sequence", F.col("_bin") + F.col("_rank") - F.col("_first")).withColumn("offset", F.col("_offset")).drop("_length", "_first", "_number", "_bin", "_offset", "_rank"), "placed")
+    first = placed.groupBy("_sequence").agg(F.min(F.struct("place", "piece")).alias("_f")).select(F.col("_sequence").alias("_s"), F.lit(0).alias("_all"), "_f.place", F.col("_f.piece").alias("_piece"))
+    numbers = _rank_by_place(stored(first, "sequences"), "_all", ["place", "_piece"], "sequence_id").select("_s", "sequence_id")
+    return placed.join(numbers, F.col("_sequence") == F.col("_s")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(documents(spark, sf_dir))
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
