@@ -38,15 +38,19 @@ NAME_STOP_WORDS = (
     "to", "and", "or", "of", "for", "with", "built", "worked", "years",
     "not", "provided", "unknown", "anonymous",
 )
-#: Words that mark a line as a title or a field, not a name; \s+ stands between words.
-NAME_NOISE = (
-    "resume", "curriculum vitae", "curriculum", "vitae", "cv", "profile", "email", "e-mail", "phone", "tel", "mobile", "linkedin", "github",
-    "personal details", "contact details", "skills", "experience", "education", "summary",
-)
-NAME_LABELS = r"full\s+name|candidate(?:\s+name)?|applicant(?:\s+name)?|name"
-CONTACT_LABELS = "email|e-mail|phone|tel|mobile|linkedin|github"
 WITHHELD_NAMES = ("not provided", "unknown", "anonymous")
 
+#: Patterns of names, whole as they must match: a label with its value, a label alone, what is no name, where a name
+#: ends, and what is left out of a file's name.
+NAME_LABEL = r"^\s*(?:full\s+name|candidate(?:\s+name)?|applicant(?:\s+name)?|name)\s*[:\-–—]\s*(.*?)\s*$"
+NAME_LABEL_ALONE = r"^\s*(?:full\s+name|candidate(?:\s+name)?|applicant(?:\s+name)?|name)\s*[:\-–—]?\s*$"
+NAME_FIELD = r"^(?:name|candidate|applicant)\s*:"
+NAME_NOISE = r"\b(?:resume|curriculum\s+vitae|curriculum|vitae|cv|profile|email|e-mail|phone|tel|mobile|linkedin|github|personal\s+details|contact\s+details|skills|experience|education|summary)\b"
+NAME_END = r"\s+(?:email|e-mail|phone|tel|mobile|linkedin|github)\s*[:|\-]?\s*"
+TITLE_START = r"\s+[|•·–—-]\s+"
+FILE_NOISE = r"\b(?:resume|curriculum\s+vitae|cv|cover\s+letter)\b"
+FILE_NUMBER = r"^\s*[A-Za-z]*\d[\w-]*\s*[-–—]\s*"
+
 EMAIL = r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?<!\w)(?:\+?\d[\d ()/.\-]{6,}\d)(?!\w)"
 

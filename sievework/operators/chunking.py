@@ -1,103 +1,98 @@
 """Passages of documents, with exact offsets.
 
-`fixed` is native. `structure` and `hybrid` cut as they go along a text, so they run as one Arrow UDF over whole texts
-that returns all passages of a page; nothing is shuffled.
+`fixed` is native. For `structure` and `hybrid` native expressions describe a page's lines: how long each is, whether it
+is a heading, whether it is blank. Where passages begin follows from these numbers alone, in an Arrow UDF over arrays;
+only an embedder sees text there. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from itertools import accumulate, pairwise
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import vocabulary as V
-from sievework.functions.text import location_label
+from sievework.functions.text import heading_of, location_label
 
 PASSAGE = "array<struct<start:int,end:int,heading:string>>"
-Span = tuple[int, int]
 Embedder = Callable[[str], list[float]]
 
-_TITLES = frozenset(V.SECTION_TITLES)
 
+def line_facts(text: Column) -> Column:
+    """Of each line of a text its code points with the line end, its heading (T11) if it is one, and whether it is blank."""
+    lines = F.split(text, "\n", -1)
+    last = F.size(lines) - 1
+    return F.transform(lines, lambda x, i: F.struct((F.length(x) + (i < last).cast("int")).alias("size"), heading_of(x).alias("title"), (~x.rlike(r"(?U)\S")).alias("blank")))
 
-def heading(line: str) -> str | None:
-    """The heading that a line is, if it is one. heading_of() is the same as a column."""
-    core = re.sub(r":+$", "", line.strip()).strip()
-    low = core.lower()
-    if not core or len(core) > 60:
+
+def sized(stops: np.ndarray, start: int, end: int, most: int = V.MAX_CHARS) -> list[int]:
+    """Where pieces of at most `most` code points begin between two offsets; each is as long as whole lines allow.
+
+    `stops` are the offsets at which lines end. A lone line end is no piece.
+    """
+    begins = [start]
+    while end - begins[-1] > most:
+        reach = begins[-1] + most
+        stop = int(stops[np.searchsorted(stops, reach, "right") - 1]) if stops[0] <= reach else 0
+        begins.append(stop if stop > begins[-1] + 1 else reach)
+    return begins
+
+
+def likeness(vectors: list[list[float] | None]) -> np.ndarray:
+    """V1 of each vector with the one before it; 0 where one is missing, of another size, or without length."""
+    found = np.zeros(len(vectors))
+    for i, (a, b) in enumerate(pairwise(vectors), 1):
+        if a and b and len(a) == len(b):
+            x, y = np.asarray(a, float), np.asarray(b, float)
+            found[i] = x @ y / max(np.sqrt((x @ x) * (y @ y)), 1e-300)
+    return found
+
+
+def _embedded(embed: Embedder, part: str) -> list[float] | None:
+    try:
+        return embed(part)
+    except Exception:  # whatever an embedder raises: its part is like no other
         return None
-    if low in _TITLES:
-        return core
-    words = re.findall("[a-z]+", low)
-    shouted = core.upper() == core and 1 <= len(words) <= 5 and re.search("[A-Za-z]", core)
-    return core if shouted and not _TITLES.isdisjoint(words) else None
-
-
-def sections(text: str) -> list[tuple[int, int, str | None]]:
-    """(start, end, heading): the text cut before every heading line."""
-    at = [(m.start(), found) for m in re.finditer(r"[^\n]*\n|[^\n]+$", text) if (found := heading(m[0].rstrip("\n").rstrip("\r")))]
-    if text and (not at or at[0][0]):
-        at.insert(0, (0, None))
-    return [(start, end, title) for (start, title), end in zip(at, [p for p, _ in at[1:]] + [len(text)])]
-
-
-def sized(text: str, start: int, end: int, most: int = V.MAX_CHARS) -> Iterator[Span]:
-    """Pieces of at most `most` code points, each as long as whole lines allow."""
-    while end - start > most:
-        line_end = text.rfind("\n", start + 1, start + most) + 1
-        stop = line_end or start + most
-        yield start, stop
-        start = stop
-    if start < end:
-        yield start, end
-
-
-def paragraphs(text: str, start: int, end: int) -> list[Span]:
-    """C4: spans that end with a blank line, or with the text."""
-    found, begin = [], start
-    for m in re.finditer(r"[^\n]*\n|[^\n]+$", text[start:end]):
-        if not m[0].strip():
-            found.append((begin, start + m.end()))
-            begin = start + m.end()
-    return found + [(begin, end)] if begin < end else found or [(start, end)]
-
-
-def similarity(a: list[float], b: list[float]) -> float:
-    if not a or not b or len(a) != len(b):
-        return 0.0
-    length = math.sqrt(math.fsum(x * x for x in a) * math.fsum(y * y for y in b))
-    return math.fsum(x * y for x, y in zip(a, b)) / length if length else 0.0
-
-
-def related(text: str, start: int, end: int, embed: Embedder) -> list[Span]:
-    """Paragraphs that follow each other, put together while they fit and are alike, or what is there is still short."""
-    blocks = paragraphs(text, start, end)
-    vectors = []
-    for a, b in blocks:
-        try:
-            vectors.append(embed(text[a:b]) or [])
-        except Exception:  # whatever an embedder raises: its block is like no other
-            vectors.append([])
-    groups = [blocks[0]]
-    for before, own, (a, b) in zip(vectors, vectors[1:], blocks[1:]):
-        first, last = groups[-1]
-        if b - first <= V.MAX_CHARS and (similarity(before, own) >= V.SIMILAR or last - first < V.MIN_CHARS):
-            groups[-1] = (first, b)
-        else:
-            groups.append((a, b))
-    return groups
-
-
-def passages(text: str, embed: Embedder | None = None) -> list[tuple[int, int, str | None]]:
-    """C2, and with an embedder C3: (start, end, heading) of the passages of one page; together they are the page."""
+
+
+def related(ends: np.ndarray, start: int, alike: np.ndarray) -> list[int]:
+    """Where groups of paragraphs begin. A paragraph stays with the ones before it while they fit together and it is
+    like the last of them, or they are short."""
+
+    def begin(group: int, i: int) -> int:
+        before = int(ends[i - 1])
+        stays = ends[i] - group <= V.MAX_CHARS and (alike[i] or before - group < V.MIN_CHARS)
+        return group if stays else before
+
+    return sorted(set(accumulate(range(1, len(ends)), begin, initial=start)))
+
+
+def passages(sizes: list[int], titles: list[str | None], blank: list[bool], text: str | None = None, embed: Embedder | None = None) -> list[tuple[int, int, str | None]]:
+    """C2, and with an embedder C3: (start, end, heading) of the passages of one page; together they are the page.
+
+    A section begins with each heading; long ones are split into C4's paragraphs, which end with a blank line, if there
+    is an embedder; what is still too long is cut at line ends.
+    """
+    stops = np.cumsum(np.asarray(sizes, np.int64))
+    whole = int(stops[-1]) if len(stops) else 0
+    starts = stops - np.asarray(sizes, np.int64)
+    heads = [(int(at), title) for at, title, size in zip(starts, titles, sizes) if title is not None and size]
+    if whole and (not heads or heads[0][0]):
+        heads.insert(0, (0, None))
+    edges = stops[np.asarray(blank, bool)] if embed else stops[:0]
     out = []
-    for start, end, title in sections(text):
-        spans = related(text, start, end, embed) if embed and end - start > V.TARGET_CHARS else [(start, end)]
-        out += [(a, b, title) for span in spans for a, b in sized(text, *span)]
+    for (start, title), (end, _) in pairwise([*heads, (whole, None)]):
+        groups = [start]
+        if embed and end - start > V.TARGET_CHARS:
+            ends = np.unique(np.append(edges[(edges > start) & (edges < end)], end))
+            parts = [_embedded(embed, text[a:b]) for a, b in pairwise([start, *ends.tolist()])]
+            groups = related(ends, start, likeness(parts) >= V.SIMILAR)
+        begins = [at for a, b in pairwise([*groups, end]) for at in sized(stops, a, b)]
+        out += [(a, b, title) for a, b in pairwise([*begins, end])]
     return out
 
 
@@ -117,13 +112,14 @@ def fixed_chunks(df: DataFrame, text: str = "text", page: str = "page", size: in
 
 def structure_chunks(df: DataFrame, text: str = "text", page: str = "page", embed: Embedder | None = None) -> DataFrame:
     """One row for each passage. Blank ones stay, so that passages put together are the page."""
+    t = F.coalesce(F.col(text), F.lit(""))
 
     @F.pandas_udf(PASSAGE)
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": a, "end": b, "heading": h} for a, b, h in passages(t or "", embed)])
+    def cut(sizes: pd.Series, titles: pd.Series, blank: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b, "heading": h} for a, b, h in passages(*row, embed)] for row in zip(sizes, titles, blank, texts)], dtype=object)
 
-    cuts = df.withColumn("_p", F.explode(cut(F.col(text))))
-    t = F.col(text)
+    facts = df.withColumn("_f", line_facts(t))
+    cuts = facts.withColumn("_p", F.explode(cut("_f.size", "_f.title", "_f.blank", t if embed else F.lit(None).cast("string")))).drop("_f")
     rows = cuts.select("*", F.col("_p.start").alias("start"), F.col("_p.end").alias("end"), F.col("_p.heading").alias("heading")).withColumn("chunk_text", F.substring(t, F.col("start") + 1, F.col("end") - F.col("start")))
     return _with_labels(rows.drop("_p"), page).drop(text)
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,31 +53,83 @@ def test_usage_of_nothing(spark):
     assert rows(A.usage_summary(empty)) == [(0, 0, 0, None, None, [])]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab \n\r:SkilsÉ ", max_size=400).map(lambda t: t.replace("ab", "Skills\n")), st.booleans())
+_TITLES = ("skills", "summary")
+
+
+def cut(text, embed=None):
+    lines = text.split("\n")
+    titles = [x.strip().rstrip(":").strip() if x.strip().rstrip(":").strip().lower() in _TITLES else None for x in lines]
+    return K.passages([len(x) + (i < len(lines) - 1) for i, x in enumerate(lines)], titles, [not x.strip() for x in lines], text, embed)
+
+
+def plain_passages(text, embed=None):
+    """Line by line, as the survey's rules read."""
+    out, sections, at = [], [], 0
+    for line in re.findall(r"[^\n]*\n|[^\n]+$", text):
+        core = line.strip().rstrip(":").strip()
+        if core.lower() in _TITLES or not sections:
+            sections.append([at, at, core if core.lower() in _TITLES else None])
+        at += len(line)
+        sections[-1][1] = at
+    for start, end, title in sections:
+        spans = [[start, end]]
+        if embed and end - start > 1200:
+            blocks, at, new = [], start, True
+            for line in re.findall(r"[^\n]*\n|[^\n]+$", text[start:end]):
+                if new:
+                    blocks.append([at, at])
+                at += len(line)
+                blocks[-1][1], new = at, not line.strip()
+            spans, last = [blocks[0]], embed(text[blocks[0][0] : blocks[0][1]])
+            for a, b in blocks[1:]:
+                now = embed(text[a:b])
+                alike = sum(x * y for x, y in zip(last, now)) >= 0.6 * (sum(x * x for x in last) * sum(y * y for y in now)) ** 0.5
+                if b - spans[-1][0] <= 1600 and (alike or spans[-1][1] - spans[-1][0] < 200):
+                    spans[-1] = [spans[-1][0], b]
+                else:
+                    spans.append([a, b])
+                last = now
+        for a, b in spans:
+            while b - a > 1600:
+                at = text.rfind("\n", a + 1, a + 1600)
+                stop = a + 1600 if at < 0 else at + 1
+                out.append((a, stop, title))
+                a = stop
+            out.append((a, b, title))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["Skills\n", "summary:\n", "\n", " \n", "alpha " * 30 + "\n", "beta " * 20, "x" * 1700, "é" * 90 + "\n", "\n\n", "beta alpha\n"]), max_size=40).map("".join), st.booleans())
 def test_passages_are_the_text(text, alike):
-    made = K.passages(text, (lambda t: [1.0, float(len(t) % 3)]) if alike else None)
+    embed = (lambda t: [1.0 + t.count("alpha"), 1.0 + 3 * t.count("beta")]) if alike else None
+    made = cut(text, embed)
+    assert made == plain_passages(text, embed)
     assert "".join(text[a:b] for a, b, _ in made) == text
     assert all(0 < b - a <= 1600 for a, b, _ in made)
 
 
 def test_passage_shapes():
     flat = "first line 14c\n" + "x" * 10201
-    assert [b - a for a, b, _ in K.passages(flat)] == [15] + [1600] * 6 + [601]
-    assert K.passages("") == []
-    assert len(K.passages("x" * 300_000)) > 160
-    text = "Jane\nSummary\na\n\nb\nSKILLS:\nc"
-    assert [h for *_, h in K.passages(text)] == [None, "Summary", "SKILLS"]
+    assert [b - a for a, b, _ in cut(flat)] == [15] + [1600] * 6 + [601]
+    assert cut("") == []
+    assert len(cut("x" * 300_000)) > 160
 
 
 def test_hybrid_merges_what_is_alike():
     text = "Skills\n" + "".join(("alpha " if i % 2 else "beta ") * 60 + "\n\n" for i in range(8))
-    assert K.passages(text) != K.passages(text, lambda t: [float("alpha" in t), float("beta" in t)])
+    assert cut(text) != cut(text, lambda t: [float("alpha" in t), float("beta" in t)])
 
     def broken(_):
         raise RuntimeError
 
-    assert "".join(text[a:b] for a, b, _ in K.passages(text, broken)) == text
+    assert "".join(text[a:b] for a, b, _ in cut(text, broken)) == text
+
+
+def test_headings_in_frames(spark):
+    text = "Jane\nSummary\na\n\nb\nSKILLS:\nc"
+    df = spark.createDataFrame([(1, 1, text)], "doc_id int, page int, text string")
+    assert [r.heading for r in K.chunked(df).orderBy("start").collect()] == [None, "Summary", "SKILLS"]
 
 
 def test_chunks_as_frames(spark):

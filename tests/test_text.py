@@ -22,9 +22,6 @@ def value(spark, column, **literals):
     [("Summary", "Summary"), ("  Skills: ", "Skills"), ("WORK EXPERIENCE", "WORK EXPERIENCE"), ("Project", None), ("PROJECT", None), ("x" * 61, None), ("", None), ("SOME VERY LONG BANNER WITH SKILLS", None), ("Skills and more", None)],
 )
 def test_heading(spark, line, found):
-    from sievework.operators.chunking import heading
-
-    assert heading(line) == found
     assert value(spark, T.heading_of("x"), x=line) == found
 
 
@@ -139,8 +136,9 @@ def test_parsed_and_grounded(spark):
         ("Experience: 5 years\nSkills", "123 - Jane_Doe CV.pdf", "Jane Doe"), ("", "report2024.pdf", None), ("Jane Doe - Engineer", None, "Jane Doe"), ("Name: =SUM(1)", None, "=SUM(1)"),
     ],
 )
-def test_names(text, filename, name):
-    assert contacts.name_in(text, filename) == name
+def test_names(spark, text, filename, name):
+    df = spark.createDataFrame([(text, filename)], "text string, file string")
+    assert df.select(contacts.name_of(F.col("text"), F.col("file"))).first()[0] == name
 
 
 def test_contacts_column(spark):
