@@ -6,6 +6,7 @@ Classes such as \\w and \\s are Unicode ones, by (?U), as texts are of many lang
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,14 +23,26 @@ def java_quote(literal: str) -> str:
     return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def stripped(x: Column | str) -> Column:
-    """Without white space at both ends, of any kind (trim() knows blanks only)."""
-    return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
+#: White space of any kind; trim() by itself knows blanks only.
+WHITE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def emails(text: Column | str, most: int = 10) -> Column:
-    """Different addresses in order of appearance."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(_col(text), F.lit("(?U)" + V.EMAIL), F.lit(0))), 1, most)
+def stripped(x: Column | str, characters: str = WHITE) -> Column:
+    """Without white space, or other characters, at both ends."""
+    return F.trim(_col(x), F.lit(characters))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it; lambdas share no subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def emails(text: Column | str, most: int | None = 10) -> Column:
+    """Different addresses in order of appearance, the first `most` or all."""
+    text = _col(text)
+    every = F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + V.EMAIL), F.lit(0)))
+    found = F.when(F.contains(text, F.lit("@")), every).when(text.isNotNull(), F.array().cast("array<string>"))  # most texts have none
+    return F.slice(found, 1, most) if most else found
 
 
 def without_contacts(x: Column) -> Column:
@@ -54,12 +67,17 @@ def terms_of(question: Column | str, extra_stop_words: list[str] | tuple = (), m
 
 def heading_of(line: Column | str) -> Column:
     """The heading that a line is, or null: a known title, or capitals with at most five words, one of them a title."""
-    core = stripped(F.regexp_replace(stripped(line), r":+$", ""))
-    low = F.lower(core)
     titles = F.array(*[F.lit(t) for t in V.SECTION_TITLES])
-    words = F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))
-    banner = (core == F.upper(core)) & core.rlike("[A-Za-z]") & F.size(words).between(1, 5) & F.arrays_overlap(words, titles)
-    return F.when((core != "") & (F.length(core) <= 60) & (F.array_contains(titles, low) | banner), core)
+
+    def banner(low: Column) -> Column:
+        return let(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)), lambda words: F.size(words).between(1, 5) & F.arrays_overlap(words, titles))
+
+    def told(core: Column) -> Column:
+        low = F.lower(core)
+        shouted = (core == F.upper(core)) & core.rlike("[A-Za-z]")
+        return F.when(F.length(core).between(1, 60), F.when(F.array_contains(titles, low), core).when(shouted, F.when(banner(low), core)))
+
+    return let(stripped(F.rtrim(stripped(line), F.lit(":"))), told)
 
 
 def sheet_safe(x: Column | str) -> Column:
@@ -98,7 +116,7 @@ def content_version(md5: Column, modified: Column, version: Column) -> Column:
 
 def initials(name: Column | str, most: int = 2) -> Column:
     """First letters of the first words, in capitals."""
-    words = F.filter(F.split(stripped(name), r"(?U)\s+"), lambda w: w != "")
+    words = F.filter(F.split(_col(name), r"(?U)\s+"), lambda w: w != "")
     return F.upper(F.array_join(F.transform(F.slice(words, 1, most), lambda w: F.substring(w, 1, 1)), ""))
 
 
@@ -108,10 +126,11 @@ def is_identifier(x: Column | str, longest: int = 40) -> Column:
 
 
 def equal_parts(text: Column | str, size: int = 900, most: int = 15) -> Column:
-    """Up to `most` parts of `size` code points, with weights that add up to 100."""
+    """All of a text in parts of `size` code points, with weights that add up to 100; no parts if it needs more than `most`."""
     t = _col(text)
-    n = F.least(F.lit(most), F.ceil(F.length(t) / size).cast("int"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("part"), F.substring(t, (i - 1) * size + 1, F.lit(size)).alias("text"), (F.lit(100.0) / n).alias("weight")))).otherwise(F.array().cast("array<struct<part:int,text:string,weight:double>>"))
+    none = F.array().cast("array<struct<part:int,text:string,weight:double>>")
+    n = F.ceil(F.length(t) / size).cast("int")
+    return F.when(n.between(1, most), F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("part"), F.substring(t, (i - 1) * size + 1, F.lit(size)).alias("text"), (F.lit(100.0) / n).alias("weight")))).otherwise(none)
 
 
 def suffix_of(name: Column | str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import vocabulary as V
-from sievework.functions.text import heading_of, location_label
+from sievework.functions.text import heading_of, let, location_label, stripped
 
 PASSAGE = "array<struct<start:int,end:int,heading:string>>"
 Embedder = Callable[[str], list[float]]
@@ -24,9 +24,10 @@ Embedder = Callable[[str], list[float]]
 
 def line_facts(text: Column) -> Column:
     """Of each line of a text its code points with the line end, its heading (T11) if it is one, and whether it is blank."""
-    lines = F.split(text, "\n", -1)
-    last = F.size(lines) - 1
-    return F.transform(lines, lambda x, i: F.struct((F.length(x) + (i < last).cast("int")).alias("size"), heading_of(x).alias("title"), (~x.rlike(r"(?U)\S")).alias("blank")))
+    def facts(lines: Column) -> Column:
+        return F.transform(lines, lambda x, i: F.struct((F.length(x) + (i < F.size(lines) - 1).cast("int")).alias("size"), heading_of(x).alias("title"), (stripped(x) == "").alias("blank")))
+
+    return let(F.split(text, "\n", -1), facts)
 
 
 def sized(stops: np.ndarray, start: int, end: int, most: int = V.MAX_CHARS) -> list[int]:

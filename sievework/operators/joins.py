@@ -8,33 +8,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORDS = 3
+#: Keys of quotes that may go to every task, 8 bytes each; and short quotes that are compared with all texts at once.
+_MOST_KEYS, _BLOCK = 1 << 20, 4096
 
 
 def quotes_in(texts: DataFrame, quotes: DataFrame, text_id: str, text: str, quote_id: str, quote: str) -> DataFrame:
     """(text_id, quote_id) where the quote is a substring of the text, case and all. An empty quote is in every text.
 
     A quote of five or more blank-separated words holds its second to fourth as whole words, so those are joined on,
-    and `contains` only checks what meets there: no text is compared with every quote. The few shorter quotes that a
-    set may have are compared with all texts; they are counted first, and a set of many is refused.
+    and `contains` only checks what meets there: no text is compared with every quote. Where the quotes are few enough
+    by their count, tasks know their keys and drop all other word triples before the shuffle. Shorter quotes are
+    compared with all texts, in blocks of a bounded number, however many there are.
     """
     q = quotes.select(F.col(quote_id).alias("_q"), F.col(quote).alias("_quote"), F.split(quote, " ", -1).alias("_w"))
-    short = q.where(F.size("_w") < _WORDS + 2)
-    n_short = short.count()
-    if n_short > 10_000:
-        raise ValueError(f"{n_short} quotes are too short to be found by their words")
-    keyed = q.where(F.size("_w") >= _WORDS + 2).withColumn("_key", F.xxhash64(*[F.get("_w", F.lit(1 + k)) for k in range(_WORDS)]))
+    short, long = F.size("_w") < _WORDS + 2, F.size("_w") >= _WORDS + 2
+    n = q.agg(F.count_if(short).alias("short"), F.count_if(long).alias("long")).first()
+    keyed = q.where(long).withColumn("_key", F.xxhash64(*[F.get("_w", F.lit(1 + k)) for k in range(_WORDS)]))
     words = F.split(F.col(text), " ", -1)
     grams = texts.select(F.col(text_id).alias("_t"), words.alias("_w")).where(F.size("_w") >= _WORDS)
     # Keys of a text; then the pairs that share one, each once; only these fetch their text.
     keys = grams.select("_t", F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - _WORDS), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(_WORDS)]))).alias("_key"))
+    if n["long"] <= _MOST_KEYS:
+        keys = keys.join(F.broadcast(keyed.select("_key").distinct()), "_key", "left_semi")
     pairs = keys.join(keyed.select("_key", "_q", "_quote"), "_key").select("_t", "_q", "_quote").distinct()
     body = texts.select(F.col(text_id).alias("_t"), F.col(text).alias("_text"))
     found = pairs.join(body, "_t").where(F.contains("_text", F.col("_quote"))).select("_t", "_q")
-    if n_short:
-        found = found.unionByName(body.join(F.broadcast(short.select("_q", "_quote")), F.contains("_text", F.col("_quote"))).select("_t", "_q"))
+    blocks = -(-n["short"] // _BLOCK)
+    for k in range(blocks):
+        block = q.where(short & (F.pmod(F.xxhash64("_q"), F.lit(blocks)) == k)).select("_q", "_quote")
+        found = found.unionByName(body.join(F.broadcast(block), F.contains("_text", F.col("_quote"))).select("_t", "_q"))
     return found.select(F.col("_t").alias(text_id), F.col("_q").alias(quote_id))
 
 
+def in_blocks(queries: DataFrame, df: DataFrame, query_id: str, ident: str, block: int = 512, chunk: int = 4096) -> DataFrame:
+    """Every row of a stated set of queries beside every row of `df`, in tiles of about `block` and `chunk` rows.
+
+    What follows should aggregate: tiles are spread over all tasks, and no side is sent whole to any of them.
+    """
+    n, m = max(1, -(-queries.count() // block)), max(1, -(-df.count() // chunk))
+
+    def dealt(x: DataFrame, key: str, own: str, of: int, other: str, copies: int) -> DataFrame:
+        return x.withColumn(own, F.pmod(F.xxhash64(key), F.lit(of)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    return dealt(queries, query_id, "_block", n, "_chunk", m).join(dealt(df, ident, "_chunk", m, "_block", n), ["_block", "_chunk"]).drop("_block", "_chunk")
+
+
 _SALTS = 64
 
 

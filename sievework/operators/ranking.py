@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,11 +57,31 @@ def at_rank(df: DataFrame, rank: int) -> DataFrame:
 
 
 def top_with_ties(df: DataFrame, partition: list[str], score: str, ident: str, most: int = 3) -> DataFrame:
-    """For each key, how many rows a cut at `most` shows and whether it parts rows of one rank."""
-    order = Window.partitionBy(*partition).orderBy(F.col(score).desc_nulls_last(), ident)
-    placed = df.withColumn("_n", F.row_number().over(order)).withColumn("_rank", F.rank().over(Window.partitionBy(*partition).orderBy(F.col(score).desc_nulls_last()))).where(F.col("_n") <= most + 1)
-    last, beyond = (F.max(F.when(F.col("_n") == n, F.col("_rank"))) for n in (most, most + 1))
-    return placed.groupBy(*partition).agg(F.count(F.when(F.col("_n") <= most, 1)).alias("shown"), F.coalesce(last == beyond, F.lit(False)).alias("tie_beyond_limit"))
+    """For each key, how many rows a cut at `most` shows and whether it parts rows of one rank.
+
+    Only counts of scores are put in order, as in ranked(). The cut parts a score that has rows on both sides of it.
+    """
+    counts = df.groupBy(*partition, score).agg(F.count(ident).alias("_n"))
+    above = Window.partitionBy(*partition).orderBy(F.col(score).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+    parted = (F.col("_above") < most) & (F.col("_above") + F.col("_n") > most)
+    return placed.groupBy(*partition).agg(F.least(F.lit(most), F.sum("_n")).cast("long").alias("shown"), F.max(parted).alias("tie_beyond_limit"))
+
+
+def with_previous(df: DataFrame, partition: list[str], order: str, value: str, width: int = 4096) -> DataFrame:
+    """Each row with the `value` of the row before it in its key, as `previous`; `order` is a whole number, unique in a key.
+
+    Rows look back within ranges of `width` numbers; the first of a range gets the last value of the range before, from
+    a table with a row for each range. So a key may hold any share of the rows.
+    """
+    keys = [*partition, "_range"]
+    dealt = df.withColumn("_range", F.floor(F.col(order) / width))
+    last = dealt.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("_last"))
+    edges = last.select(*[F.col(k).alias(f"_e{k}") for k in keys], F.lag("_last").over(Window.partitionBy(*partition).orderBy("_range")).alias("_edge"))
+    within = Window.partitionBy(*keys).orderBy(order)
+    looked = dealt.withColumn("_n", F.row_number().over(within)).withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(within))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_e{k}")) for k in keys])
+    return looked.join(edges, same & (F.col("_n") == 1), "left").select(*df.columns, F.coalesce("_before", "_edge")["v"].alias("previous"))
 
 
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievework.functions import predicates as P
 from sievework.operators import aggregates as A
@@ -128,8 +127,8 @@ SELECT b.p_brand, round(avg(p.p_size), 1) AS average FROM (SELECT DISTINCT p_bra
 LEFT JOIN (SELECT * FROM part WHERE p_size > 48 AND p_type = 'ECONOMY') p ON p.p_brand = b.p_brand GROUP BY b.p_brand""")
 def avg_or_null(spark: SparkSession, sf: str) -> DataFrame:
     """Null for brands with nothing to average."""
-    part = table(spark, sf, "part").select("p_brand", "p_size", "p_type")
-    return part.groupBy("p_brand").agg(F.round(F.avg(F.when((F.col("p_size") > 48) & (F.col("p_type") == "ECONOMY"), F.col("p_size"))), 1).alias("average"))
+    wanted = F.when((F.col("p_size") > 48) & (F.col("p_type") == "ECONOMY"), F.col("p_size"))
+    return table(spark, sf, "part").select("p_brand", wanted.alias("size")).groupBy("p_brand").agg(A.average_or_null("size").alias("average"))
 
 
 @query("""
@@ -229,11 +228,13 @@ def eval_expected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, round(sum(round(l_discount * 100) * l_quantity) / nullif(sum(l_quantity), 0), 9) AS confidence FROM lineitem WHERE l_tax > 0 GROUP BY 1""")
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents), c AS (SELECT doc_id, t, p % 12 * 9 - 9 AS conf FROM w WHERE trim(t) <> '')
+SELECT doc_id, round(sum(conf * length(t)) / sum(length(t)), 6) AS confidence FROM c WHERE conf >= 0 GROUP BY 1""")
 def weighted_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    """A mean by weight."""
-    rows = table(spark, sf, "lineitem").where("l_tax > 0").groupBy("l_orderkey")
-    return rows.agg(F.round(F.try_divide(F.sum(F.round(F.col("l_discount") * 100) * F.col("l_quantity")), F.sum("l_quantity")), 9).alias("confidence"))
+    """The confidence of pages of recognised words, by their lengths; negative ones do not count."""
+    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("p", "text"))
+    scored = words.withColumn("conf", (F.col("p") + 1) % 12 * 9 - 9)
+    return A.weighted_confidence(scored, ["doc_id"]).select("doc_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query("""
@@ -278,5 +279,19 @@ def adjacent_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector and the one before it."""
     from sievework.functions.vectors import cosine
 
-    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
-    return table(spark, sf, "embeddings").withColumn("b", before).where("b IS NOT NULL").select("vec_id", F.round(cosine(F.col("embedding"), F.col("b")), 6).alias("similarity"))
+    pairs = R.with_previous(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), ["label"], "vec_id", "embedding")
+    return pairs.where("previous IS NOT NULL").select("vec_id", F.round(cosine(F.col("embedding"), F.col("previous")), 6).alias("similarity"))
+
+
+@query("""
+WITH r AS (SELECT doc_id AS id, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS role, doc_id % 2 AS v FROM documents WHERE lang <> 'fr' AND doc_id % 7 <> 0 AND doc_id % 5 <> 1),
+a AS (SELECT doc_id AS id, doc_id % 3 % 2 AS v, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) + 100 + doc_id % 11 // 10 AS rubric, n_chars FROM documents)
+SELECT r.id, r.role AS role_id, CAST(a.n_chars % 101 AS DOUBLE) AS score FROM r JOIN a ON a.id = r.id AND a.v = r.v AND a.rubric = r.role + 100 WHERE r.role % 4 <> 3 AND r.role % 9 <> 8""")
+def assessments_that_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the record's version and its group's rubric; groups are open, records complete and no copies."""
+    d, docs = F.col("doc_id"), table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
+    role = F.regexp_extract("source", r"\d+", 0).cast("int")
+    records = docs.select(d.alias("id"), role.alias("role_id"), (d % 2).alias("version"), (F.col("lang") != "fr").alias("active"), F.when(d % 7 == 0, d).alias("duplicate_of"), F.when(d % 5 == 1, "review").otherwise("completed").alias("status"))
+    groups = docs.select(role.alias("id")).distinct().select("id", (F.col("id") + 100).alias("rubric_id"), (F.col("id") % 4 != 3).alias("active"), (F.col("id") % 9 == 8).alias("paused"))
+    done = docs.select(d.alias("application_id"), (d % 3 % 2).alias("version"), (role + 100 + F.floor(d % 11 / 10)).cast("int").alias("rubric_id"), (F.col("n_chars") % 101).cast("double").alias("score"), F.lit("").alias("body"), F.lit(None).cast("timestamp").alias("created"))
+    return R.current_assessments(records, groups, done).select("id", "role_id", "score")

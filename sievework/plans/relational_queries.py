@@ -64,11 +64,11 @@ def low_score_flag(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, least(3600.0::DOUBLE, 15.0::DOUBLE * pow(2.0, o_orderkey % 12)) AS wait, CASE WHEN o_orderkey % 12 >= 5 THEN 'failed' ELSE 'retry' END AS state,
-       CAST(o_custkey + (floor(greatest(0, o_orderkey - o_custkey) / 300.0) + 1) * 300 AS DOUBLE) AS tick, o_orderkey - o_custkey > 650 AS offline FROM orders""")
+       CAST(o_custkey + (floor(greatest(0, o_orderkey - o_custkey) / 300.0) + 1) * 300 AS DOUBLE) AS tick, o_orderkey - o_custkey > 650 AS offline, o_orderkey - o_custkey > 600 AS missed FROM orders""")
 def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
     """V8, V9, R8."""
     n, now, at = F.col("o_orderkey") % 12, F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, sf, "orders").select("o_orderkey", P.backoff_seconds(n).alias("wait"), P.retry_state(n).alias("state"), P.following_tick(at.cast("double"), now.cast("double"), 300).alias("tick"), P.is_offline(at, now).alias("offline"))
+    return table(spark, sf, "orders").select("o_orderkey", P.backoff_seconds(n).alias("wait"), P.retry_state(n).alias("state"), P.following_tick(at.cast("double"), now.cast("double"), 300).alias("tick"), P.is_offline(at, now).alias("offline"), P.missed_scan(at, now, 300).alias("missed"))
 
 
 @query("""
@@ -325,7 +325,7 @@ def request_rate(spark: SparkSession, sf: str) -> DataFrame:
     from sievework.streaming.jobs import request_rate as rate
 
     events = table(spark, sf, "events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
-    return rate(events, "user_id", F.col("s"), 3600).drop("s")
+    return rate(events, "user_id", F.col("s"), "event_id", 3600).drop("s")
 
 
 @query("""

@@ -28,6 +28,8 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share; a local one where the session names none, as in tests."""
+    """A new folder that all executors share; a local one where the session names none and runs on one machine, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="sievework-")

@@ -25,20 +25,63 @@ def without_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT 'nation' AS name, count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM nation UNION ALL SELECT 'supplier', count(*), 0 FROM supplier UNION ALL SELECT 'drifted', count(*), CAST(2 AS BIGINT) FROM supplier""")
+SELECT 'nation' AS name, count(*) AS a, count(*) AS b, true AS match, CAST(0 AS INTEGER) AS examples FROM nation UNION ALL SELECT 'supplier', count(*), count(*), false, 2 FROM supplier
+UNION ALL SELECT 'customer', count(*), count(*) - count(*) FILTER (WHERE c_custkey % 10 = 0), false, CAST(least(20, count(*) FILTER (WHERE c_custkey % 10 = 0)) AS INTEGER) FROM customer""")
 def mirror_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables mirrored, read back and compared; in the last one a row has drifted, which counts on both sides."""
+    """Tables mirrored, read back and compared; in one a row has drifted, which counts on both sides, in
+    another rows are missing, and a report shows the first 20."""
     folder = workspace(spark, "mirror")
-    frames = {n: table(spark, sf, n) for n in ("nation", "supplier")}
+    frames = {n: table(spark, sf, n) for n in ("nation", "supplier", "customer")}
     writers.mirror(frames | {"leases": frames["nation"]}, folder)
     back = {n: readers.of_schema(spark, f"{folder}/{n}", f.schema) for n, f in frames.items()}
-    back["drifted"] = back["supplier"].withColumn("s_acctbal", F.when(F.col("s_suppkey") == 7, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")))
-    out = None
-    for n, copy in back.items():
-        differing = Q.multiset_difference(frames.get(n, frames["supplier"]), copy).agg(F.count(F.lit(1)).alias("differing"))
-        row = copy.agg(F.count(F.lit(1)).alias("rows")).join(differing).select(F.lit(n).alias("name"), "rows", "differing")  # one row and one row
-        out = row if out is None else out.unionByName(row)
-    return out
+    back["supplier"] = back["supplier"].withColumn("s_acctbal", F.when(F.col("s_suppkey") == 7, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")))
+    back["customer"] = back["customer"].where("c_custkey % 10 <> 0")
+    found = Q.compare_stores(frames, back)
+    return spark.createDataFrame([(n, r["a"], r["b"], r["match"], len(r["examples"])) for n, r in found.items()], "name string, a long, b long, match boolean, examples int")
+
+
+@query("SELECT true AS mirrored, true AS dropped, false AS there")
+def mirror_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    """S14."""
+    folder = workspace(spark, "mirror")
+    writers.mirror({"nation": table(spark, sf, "nation")}, folder)
+    before, dropped = writers.exists(spark, f"{folder}/nation"), writers.drop_mirror(spark, folder)
+    return spark.createDataFrame([(before, dropped, writers.exists(spark, folder))], "mirrored boolean, dropped boolean, there boolean")
+
+
+@query("""
+SELECT item_id, sha256(text || chr(10)) AS hash, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS length, '' AS error FROM benchmark
+UNION ALL SELECT -1, NULL, CAST(4 AS BIGINT), 'Text contains binary content'""")
+def text_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written as files, listed, and read if they did not change meanwhile; one of them is no text."""
+    folder = workspace(spark, "texts")
+    rows = table(spark, sf, "benchmark").select("item_id", "text").unionByName(spark.createDataFrame([(-1, "a\0b")], "item_id long, text string"))
+    rows.repartition("item_id").write.partitionBy("item_id").text(folder)
+    item = F.regexp_extract("path", "item_id=(-?[0-9]+)/", 1).cast("long")
+    listed = readers.listing(spark, folder, "*.txt", 1 << 20).select("path", "length")
+    texts = readers.text_documents(spark, folder).join(readers.unchanged(spark, folder, "*.txt"), "path", "left_semi")
+    return listed.join(texts, "path").select(item.alias("item_id"), F.sha2("text", 256).alias("hash"), "length", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query("""
+SELECT 'n' || (event_id % 50) AS key, arg_max(CAST(json_extract(props, '$.k') AS BIGINT), event_id) AS k FROM events GROUP BY 1""")
+def settings_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings as JSON values; what was set last holds."""
+    folder = workspace(spark, "settings")
+    e = table(spark, sf, "events").select(F.concat(F.lit("n"), (F.col("event_id") % 50).cast("string")).alias("key"), F.col("props").alias("value"), F.col("event_id").alias("at"))
+    for part in (e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0")):
+        writers.put_settings(part, folder)
+    return readers.settings(spark, folder).select("key", F.from_json("value", "k long")["k"].alias("k"))
+
+
+@query("""
+SELECT doc_id AS "Application ID", CASE WHEN doc_id % 4 = 0 THEN chr(39) || '=' || source WHEN doc_id % 4 = 1 THEN '"' || source || '", x' ELSE source END AS "Filename" FROM documents""")
+def report_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A sheet written as CSV, with cells that look like formulas or hold quotes, and read back."""
+    folder, k, name = workspace(spark, "report"), F.col("doc_id") % 4, F.col("source")
+    sheet = table(spark, sf, "documents").select(F.col("doc_id").alias("Application ID"), F.when(k == 0, F.concat(F.lit("="), name)).when(k == 1, F.concat(F.lit('"'), name, F.lit('", x'))).otherwise(name).alias("Filename"))
+    writers.write_report({"Review": sheet}, folder)
+    return spark.read.option("header", True).option("escape", '"').schema(sheet.schema).csv(f"{folder}/Review")
 
 
 @query("""
@@ -57,9 +100,9 @@ def manifest_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of a JSON manifest by a composite key."""
     folder = workspace(spark, "manifest")
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("role_id"), F.col("n_regionkey").alias("jd_hash"), F.col("n_name").alias("body"))
-    nation.coalesce(1).write.json(folder)
+    nation.agg(F.to_json(F.collect_list(F.struct(*nation.columns)))).coalesce(1).write.text(folder)  # one array, as a manifest is
     wanted = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("role_id"), (F.col("s_suppkey") % 5).cast("int").alias("jd_hash"))
-    return spark.read.schema(nation.schema).json(folder).join(wanted, ["role_id", "jd_hash"]).select("s_suppkey", "body")
+    return readers.manifest(spark, folder, "role_id int, jd_hash int, body string", wanted, ["role_id", "jd_hash"]).select("s_suppkey", "body")
 
 
 @query("""

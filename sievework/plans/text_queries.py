@@ -11,6 +11,7 @@ from sievework.functions import vectors as X
 from sievework.functions import vocabulary as V
 from sievework.operators import aggregates as A
 from sievework.operators import chunking as K
+from sievework.operators import joins as J
 from sievework.operators import reports as REP
 from sievework.operators import search as S
 from sievework.operators.contacts import with_contacts
@@ -24,7 +25,7 @@ SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(list_trans
   SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}') AS m FROM documents) WHERE len(m) > 0""")
 def emails_extract(spark: SparkSession, sf: str) -> DataFrame:
     """T1, U6; sorted here, as DuckDB's distinct keeps no order."""
-    found = table(spark, sf, "documents").select("doc_id", T.emails("text", 1000).alias("e")).where(F.size("e") > 0)
+    found = table(spark, sf, "documents").select("doc_id", T.emails("text", None).alias("e")).where(F.size("e") > 0)
     return found.select("doc_id", F.array_join(F.array_sort("e"), " ").alias("emails"), F.size("e").alias("n"))
 
 
@@ -48,11 +49,11 @@ _STOPS = ", ".join(f"'{w}'" for w in sorted({*V.QUESTION_STOP_WORDS, "the", "le"
 
 
 @query(rf"""
-SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_+#.]+'), lambda w: regexp_replace(w, '\.+$', '')),
-       lambda w: NOT list_contains([{_STOPS}], w) AND NOT regexp_matches(w, '^[0-9]+$') AND length(w) > 1)[1:12], ' ') AS terms FROM conversations WHERE role = 'user' AND NOT contains(text, '"')""")
+SELECT conv_id, turn, array_to_string(CASE WHEN regexp_matches(text, '"[^"]+"') THEN regexp_extract_all(lower(text), '"([^"]+)"', 1)[1:12] ELSE list_filter(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_+#.]+'), lambda w: regexp_replace(w, '\.+$', '')),
+       lambda w: NOT list_contains([{_STOPS}], w) AND NOT regexp_matches(w, '^[0-9]+$') AND length(w) > 1)[1:12] END, ' ') AS terms FROM conversations WHERE role = 'user'""")
 def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """T8, T9."""
-    asked = table(spark, sf, "conversations").where("role = 'user' AND NOT contains(text, '\"')")
+    """Quoted phrases or, without any, telling words."""
+    asked = table(spark, sf, "conversations").where("role = 'user'")
     return asked.select("conv_id", "turn", F.array_join(T.terms_of("text", ["the", "le"]), " ").alias("terms"))
 
 
@@ -122,11 +123,11 @@ def name_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT doc_id, text, least(15, CAST(ceil(length(text) / 900.0) AS INTEGER)) AS n FROM documents),
+WITH p AS (SELECT doc_id, text, CAST(ceil(length(text) / 900.0) AS INTEGER) AS n FROM documents WHERE length(text) <= 13500),
 q AS (SELECT doc_id, text, n, unnest(range(1, n + 1)) AS part FROM p)
 SELECT doc_id, CAST(part AS INTEGER) AS part, sha256(substr(text, (part - 1) * 900 + 1, 900)) AS hash, round(100.0 / n, 6)::DOUBLE AS weight FROM q""")
 def equal_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """T21, N11."""
+    """Texts of more than 15 parts have none."""
     parts = table(spark, sf, "documents").select("doc_id", F.explode(T.equal_parts("text")).alias("p"))
     return parts.select("doc_id", "p.part", F.sha2("p.text", 256).alias("hash"), F.round("p.weight", 6).alias("weight"))
 
@@ -175,26 +176,50 @@ def grounded_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT l_orderkey, list_transform(list_sort(list({n: l_linenumber, p: l_partkey, s: l_suppkey, q: CAST(l_quantity AS DOUBLE)})), lambda x: x.q) AS w FROM lineitem GROUP BY 1)
-SELECT l_orderkey, len(w) BETWEEN 1 AND 15 AND len(list_filter(w, lambda x: x > 45)) = 0 AND abs(list_sum(w) - 100) <= 25 AS valid FROM l""")
+WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_orderkey % 7 = 0 THEN 'C-' || l_linenumber WHEN l_orderkey % 3 = 0 THEN 'c' || (l_linenumber % 2) ELSE 'c' || l_linenumber END AS id,
+  CASE WHEN l_orderkey % 2 = 0 THEN CAST(l_quantity AS DOUBLE) * 100 / sum(l_quantity) OVER (PARTITION BY l_orderkey) ELSE CAST(l_quantity AS DOUBLE) * 3 END AS w FROM lineitem),
+o AS (SELECT l_orderkey, count(*) AS n, bool_and(regexp_full_match(id, '[a-z0-9_]{1,40}')) AS named, count(DISTINCT id) = count(*) AS once, bool_and(w > 0 AND w <= 100) AS weighed, abs(sum(w) - 100) <= 1e-5 AS whole FROM l GROUP BY 1)
+SELECT l_orderkey, concat_ws('; ', CASE WHEN n NOT BETWEEN 1 AND 15 THEN '1 to 15 criteria' END, CASE WHEN NOT named THEN 'identifier' END, CASE WHEN NOT once THEN 'identifiers repeat' END,
+  CASE WHEN NOT weighed THEN 'weight' END, CASE WHEN NOT whole THEN 'weights do not add up to 100' END) AS errors FROM o""")
 def rubric_valid(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules over nested rows; here for weights around 100."""
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("double")).alias("w"))
-    total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
-    return rows.select("l_orderkey", (F.size("w").between(1, 15) & F.forall("w", lambda x: x <= 45) & (F.abs(total - 100) <= 25)).alias("valid"))
+    """Orders as rubrics, their lines as criteria; some have bad or repeated identifiers, or weights that are off."""
+    line, key, q = F.col("l_linenumber").cast("string"), F.col("l_orderkey"), F.col("l_quantity").cast("double")
+    ident = F.when(key % 7 == 0, F.concat(F.lit("C-"), line)).when(key % 3 == 0, F.concat(F.lit("c"), (F.col("l_linenumber") % 2).cast("string"))).otherwise(F.concat(F.lit("c"), line))
+    lines = table(spark, sf, "lineitem").select(key, ident.alias("id"), q.alias("q"))
+    rubrics = lines.groupBy("l_orderkey").agg(F.sum("q").alias("t"), F.collect_list(F.struct("id", F.lit("").alias("description"), F.col("q").alias("weight"))).alias("c"))
+    weighed = F.transform("c", lambda x: F.struct(x.id.alias("id"), x.description.alias("description"), F.when(key % 2 == 0, x.weight * 100 / F.col("t")).otherwise(x.weight * 3).alias("weight")))
+    return rubrics.select("l_orderkey", F.array_join(N.rubric_errors(weighed), "; ").alias("errors"))
 
 
 @query("""
-WITH s AS (SELECT d.doc_id, b.item_id, b.text AS quote, d.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 20)
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'c1: positive match needs evidence' WHEN contains(text, left(quote, 3)) THEN '' ELSE 'c1: citation is not in the inspected source section' END AS errors FROM s""")
+SELECT l_orderkey, list_filter(list_sort(list({n: l_linenumber, p: l_partkey, s: l_suppkey, q: l_quantity})), lambda x: x.q > 30)[1].p AS part FROM lineitem GROUP BY 1""")
+def first_in_array(spark: SparkSession, sf: str) -> DataFrame:
+    """The first line of each order with a large quantity, or null."""
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))).alias("lines"))
+    return rows.select("l_orderkey", N.first_of(F.col("lines"), lambda x: x.l_quantity > 30)["l_partkey"].alias("part"))
+
+
+@query(r"""
+SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}', '', 'g'), '(?:\B\+|\b)\d[\d ()/.\-]{6,}\d\b', '', 'g')) AS hash FROM documents""")
+def contacts_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts without addresses and telephone numbers."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.without_contacts(F.col("text")), 256).alias("hash"))
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM benchmark), s AS (SELECT d.doc_id, b.item_id, b.text AS quote, d.text FROM documents d, n JOIN benchmark b ON contains(d.text, b.text) OR b.item_id = d.doc_id % n.n)
+SELECT doc_id, item_id, CASE WHEN (doc_id + item_id) % 3 = 0 THEN 'c1: positive match needs evidence' WHEN contains(text, quote) THEN '' ELSE 'c1: citation is not in the inspected source section' END AS errors FROM s""")
 def evidence_errors(spark: SparkSession, sf: str) -> DataFrame:
-    """A quote for each document, which a third of the findings lack."""
+    """Each document with every benchmark item that it quotes, and one more; a third of the findings lack their quote."""
     docs, benchmark = tables(spark, sf, "documents", "benchmark")
-    rows = docs.join(F.broadcast(benchmark.select("item_id", F.substring("text", 1, 3).alias("quote"))), F.col("item_id") == F.col("doc_id") % 20)
+    quoted = J.quotes_in(docs, benchmark, "doc_id", "text", "item_id", "text")
+    other = docs.select("doc_id", (F.col("doc_id") % benchmark.count()).alias("item_id"))
+    pairs = quoted.union(other).distinct()
+    rows = pairs.join(docs.select("doc_id", "text"), "doc_id").join(benchmark.select("item_id", F.col("text").alias("quote")), "item_id")
     cited = F.array(F.struct(F.lit("p1-0").alias("section_id"), F.col("quote")))
-    finding = F.struct(F.lit("c1").alias("criterion_id"), F.lit("partial").alias("level"), F.when(F.col("doc_id") % 3 == 0, F.slice(cited, 1, 0)).otherwise(cited).alias("evidence"))
+    finding = F.struct(F.lit("c1").alias("criterion_id"), F.lit("partial").alias("level"), F.when((F.col("doc_id") + F.col("item_id")) % 3 == 0, F.slice(cited, 1, 0)).otherwise(cited).alias("evidence"))
     every = F.array(F.lit("p1-0"))
-    return rows.select("doc_id", F.array_join(N.evidence_errors(F.array(finding), F.array(F.lit("c1")), F.create_map(F.lit("p1-0"), F.col("text")), every, every), "; ").alias("errors"))
+    return rows.select("doc_id", "item_id", F.array_join(N.evidence_errors(F.array(finding), F.array(F.lit("c1")), F.create_map(F.lit("p1-0"), F.col("text")), every, every), "; ").alias("errors"))
 
 
 @query("""
@@ -282,15 +307,17 @@ def contacts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label = 3)
-SELECT a.vec_id, b.vec_id AS other, round(CASE WHEN list_sum(list_transform(b.e, lambda x: x * x)) = 0 THEN 0 ELSE list_cosine_similarity(a.e, b.e) END, 6) AS similarity
-FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id""")
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS other, CASE WHEN list_sum(list_transform(b.e, lambda x: x * x)) = 0 THEN 0 ELSE list_cosine_similarity(a.e, b.e) END AS s FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT vec_id, round(max(s), 6) AS best, round(min(s), 6) AS least, round(avg(s), 6) AS mean, count(*) AS others FROM p GROUP BY 1""")
 def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """V1: a stated set of queries against all vectors of their label."""
-    e = table(spark, sf, "embeddings").where("label = 3").select("vec_id", "embedding", X.norm(F.col("embedding")).alias("n"))
+    """V1: a stated set of queries against all vectors."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", X.norm(F.col("embedding")).alias("n"))
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("n").alias("qn"))
-    pairs = e.join(F.broadcast(q), F.col("q") != F.col("vec_id"))
-    return pairs.select(F.col("q").alias("vec_id"), F.col("vec_id").alias("other"), F.round(X.cosine(F.col("qe"), F.col("embedding"), F.col("qn"), F.col("n")), 6).alias("similarity"))
+    pairs = J.in_blocks(q, e, "q", "vec_id").where("q <> vec_id")
+    similarity = X.cosine(F.col("qe"), F.col("embedding"), F.col("qn"), F.col("n"))
+    found = pairs.select(F.col("q").alias("vec_id"), similarity.alias("s")).groupBy("vec_id")
+    return found.agg(F.round(F.max("s"), 6).alias("best"), F.round(F.min("s"), 6).alias("least"), F.round(F.avg("s"), 6).alias("mean"), F.count(F.lit(1)).alias("others"))
 
 
 @query("""
@@ -302,7 +329,7 @@ def knn_scoped(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     q = list(e.where("vec_id = 0").select("embedding").first()[0])  # the question's vector
     near = S.nearest(e, q, 8, F.col("label").isin(1, 3, 5) & (F.col("vec_id") != 0), ident="vec_id")
-    return near.select("vec_id", F.round("similarity", 6).alias("similarity"), F.round(1 - F.col("similarity"), 6).alias("distance"))
+    return near.select("vec_id", F.round("similarity", 6).alias("similarity"), F.round(X.cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), 6).alias("distance"))
 
 
 @query("""
@@ -390,6 +417,20 @@ def answer_semantic(spark: SparkSession, sf: str) -> DataFrame:
     return cards.withColumn("mode", F.lit(mode))
 
 
+@query("""
+WITH n AS (SELECT vec_id FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
+  ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, 'v' || vec_id LIMIT 8)
+SELECT 'c' || row_number() OVER (ORDER BY 'v' || vec_id) AS citation_id, vec_id AS record_id, 'v' || vec_id AS section_id, 'place ' || vec_id AS location FROM n""")
+def answer_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """What backs an answer, with running identifiers."""
+    frames, e = _frames(spark, sf), table(spark, sf, "embeddings")
+    ident = F.col("vec_id").cast("string")
+    frames.vectors = e.select(F.col("vec_id").alias("record_id"), F.concat(F.lit("v"), ident).alias("section_id"), F.concat(F.lit("place "), ident).alias("location"), F.lit("").alias("text"), "embedding")
+    q = list(e.where("vec_id = 0").select("embedding").first()[0])
+    cited = S.answer(S.parse_question("xylophone zeppelin"), frames, lambda _: q)[1]
+    return S.numbered_passages(cited, "section_id").select("citation_id", "record_id", "section_id", "location")
+
+
 def _report(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as records, their lines as findings, suppliers as criteria."""
     orders, lineitem = tables(spark, sf, "orders", "lineitem")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,12 +86,12 @@ def embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents WHERE n_chars < 1500),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
 w AS (SELECT doc_id, p, trim(regexp_replace(line, ' +', ' ', 'g')) AS line FROM l)
 SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY p)) AS hash FROM w WHERE line <> '' GROUP BY 1""")
 def recognised_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Words with their places become lines, and lines a text."""
-    docs = table(spark, sf, "documents").where("n_chars < 1500")
+    docs = table(spark, sf, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_num", "line"))
     words = lines.select("doc_id", "line_num", F.posexplode(F.split("line", " ", -1)).alias("word_num", "text"))
     return A.recognised_lines(words, ["doc_id"], ["line_num"]).select("doc_id", F.sha2("text", 256).alias("hash"))
@@ -102,29 +100,24 @@ def recognised_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_without_repeats(spark: SparkSession, sf: str) -> DataFrame:
     """A stream in which each key passes once; here all events lie within the watermark."""
-    events = table(spark, sf, "events")
-    name = f"once_{uuid.uuid4().hex}"
+    events, folder = table(spark, sf, "events"), workspace(spark, "once")
     stream = jobs.without_repeats(jobs.watched(spark, f"{sf}/events.parquet*", events.schema).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "400 days")
-    jobs.run_to_end(stream.select("user_id", "event_type"), name, workspace(spark, name), "append")
-    return spark.table(name)
+    return jobs.into_files(stream.select("user_id", "event_type"), f"{folder}/rows", f"{folder}/checkpoint")
 
 
 @query("""
 SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1
 UNION ALL SELECT -1, -1, 'start'""")
 def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream of changes applied to a snapshot; a batch that comes again changes nothing."""
-    events = table(spark, sf, "events")
-    folder = workspace(spark, "merge")
+    """A stream of changes applied to a table; a batch that comes again changes nothing."""
+    events, folder = table(spark, sf, "events"), workspace(spark, "merge")
     start = spark.createDataFrame([(-1, -1, "start")], "user_id long, event_id long, event_type string")
-    apply = jobs.merge_into(lambda n: f"{folder}/snapshot-{n}", start, ["user_id"], "event_id")
-    last = {"n": -1}
+    merged = jobs.MergedTable(spark, f"{folder}/table", start, ["user_id"], "event_id")
 
     def twice(batch: DataFrame, n: int) -> None:
         for _ in range(2):
-            apply(batch.select("user_id", "event_id", "event_type"), n)
-        last["n"] = n
+            merged.apply(batch.select("user_id", "event_id", "event_type"), n)
 
     stream = jobs.watched(spark, f"{sf}/events.parquet*", events.schema)
     stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(start.schema).parquet(f"{folder}/snapshot-{last['n']}")
+    return merged.read()

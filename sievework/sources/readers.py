@@ -38,6 +38,29 @@ def listing(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int |
     return found.where(F.col("length") <= max_bytes) if max_bytes else found
 
 
+def unchanged(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int | None = None, between=None) -> DataFrame:
+    """Files of a folder whose size and time are the same before and after `between()` has read them; by default
+    their bytes are read through. Those above the limit, changed, removed or new ones are left out."""
+    before = spark.createDataFrame(listing(spark, path, pattern, max_bytes).toArrow())  # names and sizes, taken now
+    if between:
+        between()
+    else:
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select(F.max(F.length("content"))).collect()
+    return before.join(listing(spark, path, pattern, max_bytes), ["path", "modificationTime", "length"], "left_semi")
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """Key, value (JSON) of the settings at `path`: what was put last by `at` holds."""
+    rows = spark.read.schema("key string, value string, at long").json(path)
+    return rows.groupBy("key").agg(F.max_by("value", "at").alias("value"))
+
+
+def setting(spark: SparkSession, path: str, key: str, default: str | None = None) -> str | None:
+    """One setting, as JSON, or the default."""
+    found = settings(spark, path).where(F.col("key") == key).first()
+    return found["value"] if found else default
+
+
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """S3: path, text, error of text files: UTF-8 with or without a mark; a NUL means that it is no text."""
     body = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(suffix_of("path") == ".txt")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievework.functions.text import like_pattern_safe
 from sievework.operators.reports import safe_sheet
@@ -24,6 +25,11 @@ def append_ledger(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def put_settings(df: DataFrame, path: str) -> None:
+    """Key, value (JSON) and at (a number that grows): added to the settings at `path`."""
+    append_ledger(df.select("key", "value", F.col("at").cast("long").alias("at")), path)
+
+
 def snapshot(df: DataFrame, path: str, partition_by: list[str] = (), files: int | None = None) -> DataFrame:
     """Write and read back. Partition folders hold few large files: rows of a folder meet before they are written."""
     if partition_by:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +9,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from sievework.operators.changes import upserted
+from sievework.operators.joins import join_counted
 
 
 def watched(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 100, file_format: str = "parquet") -> DataFrame:
@@ -29,25 +28,63 @@ def without_repeats(events: DataFrame, keys: list[str], at: str, late: str = "1
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def merge_into(path: Callable[[int], str], start: DataFrame, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that applies upserts: batch n writes snapshot n from snapshot n - 1.
+class MergedTable:
+    """A table at `path`, a folder that all tasks share, to which batches of upserts are applied; for foreachBatch.
 
-    A batch that is sent again overwrites its own snapshot with the same rows. Of several changes of a key in a batch
-    the last by `order` holds.
+    Rows lie in buckets of their keys. A batch writes only the buckets that it touches, and then a manifest that says
+    which batch wrote each bucket last; a table is what the manifest of its last batch names. A batch that is sent again
+    starts from the manifest before its own and leaves the same rows. Of several changes of a key in a batch the last by
+    `order` holds.
     """
 
-    def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = start if n == 0 else spark.read.schema(start.schema).parquet(path(n - 1))
-        rest = [c for c in start.columns if c not in keys]
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
-        upserted(before, last, keys).write.mode("overwrite").parquet(path(n))
+    def __init__(self, spark: SparkSession, path: str, start: DataFrame, keys: list[str], order: str, buckets: int = 64):
+        self.spark, self.path, self.keys, self.order, self.buckets = spark, path.rstrip("/"), keys, order, buckets
+        self.schema, self.start = start.schema, start
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def manifest(self, n: int) -> dict[int, int]:
+        """The batch that wrote each bucket last, after batch n."""
+        return {r["bucket"]: r["batch"] for r in self.spark.read.schema("bucket int, batch int").parquet(f"{self.path}/manifests/{n}").collect()}  # a row a bucket
+
+    def batches(self) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(p.getName()) for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _rows(self, held: dict[int, int]) -> DataFrame:
+        paths = [f"{self.path}/data/batch={n}/_bucket={b}" for b, n in held.items()]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.start.where(F.lit(False))
 
-    return apply
+    def read(self) -> DataFrame:
+        done = self.batches()
+        return self._rows(self.manifest(done[-1])) if done else self.start
+
+    def apply(self, batch: DataFrame, n: int) -> None:
+        done = [k for k in self.batches() if k < n]
+        before = self.manifest(done[-1]) if done else {}
+        rest = [c for c in self.start.columns if c not in self.keys]
+        last = batch.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), self.order).alias("_r")).select(*self.keys, "_r.*")
+        touched = {r["b"] for r in batch.select(self._bucket().alias("b")).distinct().collect()}  # no more than there are buckets
+        old = self._rows({b: k for b, k in before.items() if b in touched}) if done else self.start
+        rows = upserted(old, last, self.keys).withColumn("_bucket", self._bucket())
+        rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/data/batch={n}")
+        written = touched if done else {r["_bucket"] for r in self.spark.read.parquet(f"{self.path}/data/batch={n}").select("_bucket").distinct().collect()}
+        held = before | dict.fromkeys(written, n)
+        self.spark.createDataFrame(sorted(held.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifests/{n}")
+
+
+def into_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All that is there, appended to a table of files, and read back."""
+    df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """All that is there, into a table in memory; for tests and small results."""
+    """All that is there, into a table in the driver's memory; for results that are small by their nature, such as windows."""
     query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
@@ -76,7 +113,13 @@ def budget_left(requests: DataFrame, at: str, day: str, limit: int) -> DataFrame
     return inside.agg(F.count(F.lit(1)).alias("used"), F.greatest(F.lit(0), F.lit(limit) - F.count(F.lit(1))).alias("remaining"))
 
 
-def request_rate(requests: DataFrame, key: str, seconds: Column, span: int = 60) -> DataFrame:
-    """For each request how many of its key lie in the span that it ends."""
-    recent = Window.partitionBy(key).orderBy(seconds).rangeBetween(-(span - 1), Window.currentRow)
-    return requests.withColumn("in_span", F.count(F.lit(1)).over(recent))
+def request_rate(requests: DataFrame, key: str, seconds: Column, ident: str, span: int = 60) -> DataFrame:
+    """For each request how many of its key lie in the span that it ends. `ident` tells requests apart.
+
+    Requests are counted by their second first; only different seconds of a key meet in a window.
+    """
+    timed = requests.withColumn("_at", seconds)
+    counts = timed.groupBy(key, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    recent = Window.partitionBy(key).orderBy("_at").rangeBetween(-(span - 1), Window.currentRow)
+    placed = counts.withColumn("in_span", F.sum("_n").over(recent))
+    return join_counted(timed, placed, [key, "_at"], "_n", ident).select(*requests.columns, "in_span")

@@ -185,6 +185,28 @@ def test_quotes(spark):
     assert found == {(1, 1), (2, 1), (1, 2), (2, 2), (1, 3), (2, 3), (3, 3)}
 
 
+def test_many_short_quotes(spark):
+    texts = spark.createDataFrame([(i, f"t{i} u v w x") for i in range(30)], "t int, text string")
+    quotes = spark.range(11000).select(F.col("id").cast("int").alias("q"), F.concat(F.lit("t"), F.col("id").cast("string"), F.lit(" u")).alias("quote"))
+    assert set(rows(J.quotes_in(texts, quotes, "t", "text", "q", "quote"))) == {(i, i) for i in range(30)}
+
+
+def test_blocks_meet_all(spark):
+    a, b = spark.range(7).toDF("x"), spark.range(50).toDF("y")
+    assert sorted(rows(J.in_blocks(a, b, "x", "y", block=3, chunk=8))) == [(i, j) for i in range(7) for j in range(50)]
+
+
+def test_previous_rows(spark):
+    df = spark.createDataFrame([("a", i, i * 2) for i in (0, 1, 5, 9, 23, 24)] + [("b", 3, None), ("b", 30, 1), (None, 4, 7), (None, 40, 8)], "k string, at int, v int")
+    got = {(r.k, r.at): r.previous for r in R.with_previous(df, ["k"], "at", "v", width=4).collect()}
+    assert got == {("a", 0): None, ("a", 1): 0, ("a", 5): 2, ("a", 9): 10, ("a", 23): 18, ("a", 24): 46, ("b", 3): None, ("b", 30): None, (None, 4): None, (None, 40): 7}
+
+
+def test_cut_ties(spark):
+    df = spark.createDataFrame([("a", i, s) for i, s in enumerate([5, 4, 3, 3, 1])] + [("b", 9, 1), ("b", 10, 1)] + [("c", i, s) for i, s in enumerate([5, 4, 3, 2])], "k string, id int, s int")
+    assert rows(R.top_with_ties(df, ["k"], "s", "id"), "k") == [("a", 3, True), ("b", 2, False), ("c", 3, False)]
+
+
 def test_quality(spark):
     a = spark.createDataFrame([(1, None), (1, None), (2, 1.5)], "x int, y double")
     b = spark.createDataFrame([(1, None), (2, 1.5), (3, 0.0)], "x int, y double")

@@ -86,14 +86,38 @@ def test_writers(spark, tmp_path):
 
 def test_stream_merge(spark, tmp_path):
     schema = "id long, v string, at long"
-    source, snapshots = str(tmp_path / "in"), str(tmp_path / "out")
-    start = spark.createDataFrame([(1, "a", 0)], schema)
+    source = str(tmp_path / "in")
+    start = spark.createDataFrame([(1, "a", 0), (9, "z", 0)], schema)
     spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "x", 1)], schema).coalesce(1).write.parquet(source)
+    merged = jobs.MergedTable(spark, str(tmp_path / "out"), start, ["id"], "at", buckets=4)
     stream = jobs.watched(spark, source, schema)
-    apply = jobs.merge_into(lambda n: f"{snapshots}/{n}", start, ["id"], "at")
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    apply(spark.read.schema(schema).parquet(source), 0)  # sent again
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{snapshots}/0").collect()) == [(1, "c", 2), (2, "x", 1)]
+    stream.writeStream.foreachBatch(merged.apply).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    merged.apply(spark.read.schema(schema).parquet(source), 0)  # sent again
+    assert sorted(tuple(r) for r in merged.read().collect()) == [(1, "c", 2), (2, "x", 1), (9, "z", 0)]
+    for _ in range(2):
+        merged.apply(spark.createDataFrame([(2, "y", 5), (3, "n", 5)], schema), 1)
+    assert sorted(tuple(r) for r in merged.read().collect()) == [(1, "c", 2), (2, "y", 5), (3, "n", 5), (9, "z", 0)]
+    assert sum(n == 1 for n in merged.manifest(1).values()) <= 2  # other buckets are as they were
+
+
+def test_versions_around_a_read(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / f"{name}.txt").write_text(name)
+
+    def meanwhile():
+        (tmp_path / "a.txt").write_text("longer")
+        (tmp_path / "b.txt").unlink()
+        (tmp_path / "d.txt").write_text("d")
+
+    kept = lambda **x: [r.path[-5] for r in readers.unchanged(spark, str(tmp_path), **x).collect()]
+    assert kept(between=meanwhile) == ["c"] and sorted(kept()) == ["a", "c", "d"] and sorted(kept(max_bytes=3)) == ["c", "d"]
+
+
+def test_settings(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for at, value in enumerate(['{"x": 1}', "2"]):
+        writers.put_settings(spark.createDataFrame([("k", value, at)], "key string, value string, at long"), path)
+    assert readers.setting(spark, path, "k") == "2" and readers.setting(spark, path, "l", "0") == "0"
 
 
 def test_stream_repeats_and_attempts(spark, tmp_path):
