@@ -5,9 +5,10 @@ A count is quantised to a level q = 1 + floor(log2(count)) and an n-gram is put
 and is broadcast; a bigram's probability interpolates its own count with its word's.
 
 Words are 64-bit hashes. A training pass counts each partition's unigrams and bigrams in numpy and deals them by hash
-range; a range is merged by one task, which also fills its own slice of the filter, so nothing is counted twice and hot
-words are ordinary rows. The filter's size follows the corpus: when it would exceed a bound, texts are scored in several
-passes that each hold some of the slices, with the same result: two bytes a token and pass, not texts, are kept between.
+range; a range, sized by the training text, is merged at once and fills its own slice of the filter, so nothing is counted
+twice and hot words are ordinary rows. The filter's size follows the corpus. Up to a bound it is broadcast; beyond it the
+n-grams go to the slices instead: each stretch of texts asks for its different n-grams, dealt by range, and gets their
+levels back. Both ways give the same scores.
 
 The exact unigram score needs every token's exact count. Words of at least one in HEAVY of all tokens are at most HEAVY
 many, and go to the workers as two arrays; rarer ones are joined by hash, where none can be hot.
@@ -16,7 +17,6 @@ many, and go to the workers as two arrays; rarer ones are joined by hash, where
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,10 @@ MIN_COUNT = 1
 BITS_PER_ENTRY = 10
 PROBES = 5
 MAX_LEVEL = 40
-#: Two copies of a slice are in each Python worker while it probes.
+#: A filter of at most so much is broadcast; each Python worker holds it once.
 MAX_FILTER_BYTES = 128 << 20
+#: Training text for each hash range, and for each task that merges ranges.
+RANGE_BYTES, TASK_BYTES = 16 << 20, 128 << 20
 WEIGHT = 0.6
 DELTA = 0.1
 
@@ -89,34 +91,34 @@ def _start_and_step(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndar
     return first, mixed(first) | np.uint64(1)
 
 
+def probe(words: np.ndarray, size: np.ndarray, offset: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The level of each hash in its slice, `size` bits from bit `offset` of `words`: never less than it was put in with,
+    more by chance only; 0 where the size is 0."""
+    found = np.zeros(len(hashes), np.uint8)
+    left = np.flatnonzero(size)
+    for q in range(1, MAX_LEVEL + 1):
+        if not len(left):
+            break
+        first, step = _start_and_step(hashes[left], q)
+        for k in range(PROBES):
+            at = offset[left] + (first + np.uint64(k) * step) % size[left]
+            held = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            left, first, step = left[held], first[held], step[held]
+        found[left] = q
+    return found
+
+
 class Filter:
-    """Slices laid end to end; a slice that is not held has size 0, and its n-grams read as level 0."""
+    """All slices end to end in one buffer; `sizes` are their bytes by shard."""
 
-    def __init__(self, slices: dict[int, bytes], shards: int):
-        self.shards = shards
-        self.size, self.offset = np.zeros(shards, np.uint64), np.zeros(shards, np.uint64)
-        at = 0
-        for shard, raw in slices.items():
-            self.size[shard], self.offset[shard] = 8 * len(raw), at
-            at += 8 * len(raw)
-        self.words = np.frombuffer(b"".join(slices.values()), "<u8")
+    def __init__(self, sizes: np.ndarray, raw: bytes):
+        self.size = np.asarray(sizes, np.uint64) * np.uint64(8)
+        self.offset = np.cumsum(self.size) - self.size
+        self.words = np.frombuffer(raw, "<u8")
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each hash: never less than it was put in with, more by chance only."""
-        shard = shard_of(hashes, self.shards)
-        size, offset = self.size[shard], self.offset[shard]
-        found = np.zeros(len(hashes), np.uint8)
-        left = np.flatnonzero(size)
-        for q in range(1, MAX_LEVEL + 1):
-            if not len(left):
-                break
-            first, step = _start_and_step(hashes[left], q)
-            for k in range(PROBES):
-                at = offset[left] + (first + np.uint64(k) * step) % size[left]
-                held = (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                left, first, step = left[held], first[held], step[held]
-            found[left] = q
-        return found
+        shard = shard_of(hashes, len(self.size))
+        return probe(self.words, self.size[shard], self.offset[shard], hashes)
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -125,7 +127,7 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 _PART = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 
 
 def _dealt(hashes: np.ndarray, counts: np.ndarray, kind: int, shards: int) -> pa.RecordBatch:
@@ -210,8 +212,8 @@ def _pairs_of(least: int):
 class Counts:
     """What training leaves: `table`, a stored row for each shard; totals; and which counts are heavy."""
 
-    def __init__(self, table: DataFrame, shards: int):
-        self.table, self.shards = table, shards
+    def __init__(self, table: DataFrame, shards: int, tasks: int):
+        self.table, self.shards, self.tasks = table, shards, tasks
         r = table.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v"), F.sum("held_tokens").alias("h")).first()
         self.tokens, self.words, held = r["n"] or 0, r["v"] or 0, r["h"] or 0
         self.held_share = held / self.tokens if self.tokens else 0.0
@@ -224,7 +226,7 @@ class Counts:
         least = max(2, -(-self.tokens // most))
         rows = self.table.select("hashes", "counts").mapInArrow(_packed(least), "hashes binary, counts binary").toArrow()
         hashes = np.frombuffer(b"".join(rows.column(0).to_pylist()), "<u8")
-        counts = np.frombuffer(b"".join(rows.column(1).to_pylist()), "<u4")
+        counts = np.frombuffer(b"".join(rows.column(1).to_pylist()), "<i8")
         order = np.argsort(hashes)
         return least, hashes[order], counts[order]
 
@@ -235,7 +237,7 @@ def _packed(least: int):
             for hashes, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 h, c = np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<i8")
                 kept = c >= least
-                yield pa.RecordBatch.from_arrays([pa.array([h[kept].tobytes()], pa.binary()), pa.array([np.minimum(c[kept], 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], ["hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([h[kept].tobytes()], pa.binary()), pa.array([c[kept].tobytes()], pa.binary())], ["hashes", "counts"])
 
     return run
 
@@ -245,11 +247,15 @@ def count_grams(train: DataFrame, text_col: str = "text", *, shards: int | None
 
     N-grams seen fewer than `min_count` times are not in the filter.
     """
-    spark = train.sparkSession
-    shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = 4 * int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = train.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+        shards, tasks = max(least, -(-size // RANGE_BYTES)), max(least, -(-size // TASK_BYTES))
+    else:
+        tasks = shards
     parts = train.select(F.col(text_col)).mapInArrow(_count_grams(shards), "shard int, kind int, hashes binary, counts binary")
-    merged = parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_merge(min_count, bits_per_entry), "shard int, words long, tokens long, held_tokens long, filter binary, hashes binary, counts binary")
-    return Counts(stored(merged, "gram-counts"), shards)
+    merged = parts.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_merge(min_count, bits_per_entry), "shard int, words long, tokens long, held_tokens long, filter binary, hashes binary, counts binary")
+    return Counts(stored(merged, "gram-counts"), shards, tasks)
 
 
 _TOGETHER = 1 << 18
@@ -268,26 +274,65 @@ def _together(texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         yield lo, len(texts), held
 
 
-def _levels(held: Filter, tokens: list[np.ndarray]) -> np.ndarray:
-    """A byte for each token's word and then for each of its bigrams, text by text."""
-    once, back = np.unique(np.concatenate([g for t in tokens for g in (t, bigram_hashes(t))]), return_inverse=True)
-    return held.levels(once)[back]
+def _grams(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of some texts, and for each token's word and then each of its bigrams, text by text, its place among them."""
+    return np.unique(np.concatenate([g for t in tokens for g in (t, bigram_hashes(t))]), return_inverse=True)
+
+
+def _by_shard(once: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams by shard, and their shards in that order."""
+    shard = shard_of(once, shards)
+    order = np.argsort(shard, kind="stable")
+    return order, shard[order]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each stretch of texts."""
+    from pyspark import TaskContext
+
+    stretch = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        ids, texts = batch.column("id"), batch.column("text")
+        for lo, hi, _ in _together(texts):
+            yield pa.RecordBatch.from_arrays([pa.array([stretch]), pa.array([ids[lo:hi].to_pylist()], pa.list_(pa.int64())), pa.array([texts[lo:hi].to_pylist()], pa.list_(pa.string()))], ["stretch", "ids", "texts"])
+            stretch += 1
 
 
-def _probe(filters, shards: int):
-    """One of several passes: the levels of the n-grams whose slices are held, by row."""
+_ASKED = "shard int, kind int, stretch long, body binary"
+
+
+def _ask(shards: int):
+    """The different n-grams of each stretch, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Filter(filters.value, shards)
         for batch in batches:
-            for lo, hi, tokens in _together(batch.column("text")):
-                levels = _levels(held, tokens)
-                ends = np.cumsum([2 * len(t) for t in tokens])
-                yield pa.RecordBatch.from_arrays([batch.column("uid").slice(lo, hi - lo), pa.array([levels[b - 2 * len(t) : b].tobytes() for t, b in zip(tokens, ends)], pa.binary())], ["uid", "levels"])
+            for stretch, texts in zip(batch.column("stretch").to_pylist(), batch.column("texts")):
+                once, _ = _grams([token_hashes(t.as_py()) for t in texts.values])
+                order, shard = _by_shard(once, shards)
+                once, at = once[order], np.flatnonzero(np.diff(shard, prepend=-1))
+                bodies = [once[a:b].tobytes() for a, b in zip(at, [*at[1:], len(once)])]
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at], pa.int32()), pa.array([1] * n, pa.int32()), pa.array([stretch] * n, pa.int64()), pa.array(bodies, pa.binary())], ["shard", "kind", "stretch", "body"])
 
     return run
 
 
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a shard come together, its slice of the filter first: the levels of what is asked, a byte each."""
+    words = np.zeros(0, np.uint64)
+    for batch in batches:
+        rows = []
+        for shard, kind, stretch, body in zip(*(c for c in batch.columns)):
+            if kind.as_py() == 0:
+                words = np.frombuffer(body.as_py(), "<u8")
+                continue
+            hashes = np.frombuffer(body.as_py(), "<u8")
+            size = np.full(len(hashes), 64 * len(words), np.uint64)
+            rows.append((stretch.as_py(), shard.as_py(), probe(words, size, np.zeros_like(size), hashes).tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], ["stretch", "shard", "levels"])
+
+
 def probability(words: np.ndarray, pairs: np.ndarray, tokens: int, vocabulary: int, held_share: float) -> float:
     """log10 of a text's probability from the counts that were read back, in order of its tokens.
 
@@ -302,24 +347,35 @@ def probability(words: np.ndarray, pairs: np.ndarray, tokens: int, vocabulary: i
 
 def _score(filters, shards: int, heavy, tokens: int, vocabulary: int, held_share: float):
     """Scores, the exact unigram sum over heavy words, and the other words for the join. Levels come from the filter or,
-    after several passes, from the column `levels`: what each of them found."""
+    where it is not broadcast, with each stretch of texts."""
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray], np.ndarray]]:
+        if filters is not None:
+            held = parts.filter
+            for lo, hi, texts in _together(batch.column("text")):
+                once, back = _grams(texts)
+                yield batch.column("id")[lo:hi].to_pylist(), texts, held.levels(once)[back]
+        else:
+            for ids, texts, found in zip(*(batch.column(c) for c in ("ids", "texts", "found"))):
+                hashed = [token_hashes(t.as_py()) for t in texts.values]
+                once, back = _grams(hashed)
+                levels = np.zeros(len(once), np.uint8)
+                levels[_by_shard(once, shards)[0]] = np.frombuffer(b"".join(body for _, body in sorted((r["shard"], r["levels"]) for r in found.as_py())), np.uint8)
+                yield ids.as_py(), hashed, levels[back]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = Filter(filters.value, shards)
+        if filters is not None:
+            parts.filter = Filter(*filters.value)
         known, counts = heavy.value
         floor = tokens + DELTA * (vocabulary + 1)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo, hi, texts in _together(batch.column("text")):
-                part, rows, at = batch.slice(lo, hi - lo), [], 0
-                if "levels" in part.schema.names:
-                    found = np.concatenate([np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in row]) for row in part.column("levels").to_pylist()])
-                else:
-                    found = _levels(held, texts)
+            for ids, texts, found in parts(batch):
+                rows, at = [], 0
                 levels = count_at(np.arange(MAX_LEVEL + 1))[found]
-                for ident, hashes in zip(part.column("id").to_pylist(), texts):
+                for ident, hashes in zip(ids, texts):
                     n = len(hashes)
                     score = probability(levels[at : at + n], levels[at + n : at + 2 * n], tokens, vocabulary, held_share)
                     at += 2 * n
@@ -327,50 +383,42 @@ def _score(filters, shards: int, heavy, tokens: int, vocabulary: int, held_share
                     place = np.minimum(np.searchsorted(known, once), max(0, len(known) - 1))
                     hit = known[place] == once if len(known) else np.zeros(len(once), bool)
                     base = float((times[hit] * np.log10((counts[place[hit]] + DELTA) / floor)).sum())
-                    rows.append((uid, ident, n, int(times[hit].sum()), base, score, once[~hit].view(np.int64), times[~hit].astype(np.int32)))
+                    rows.append((uid, ident, n, int(times[hit].sum()), base, score, once[~hit].view(np.int64), times[~hit].astype(np.int64)))
                     uid += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCORED)], schema=_SCORED)
 
     return run
 
 
-_SCORED = pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+_SCORED = pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
 
 def score_texts(df: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text", *, max_filter_bytes: int = MAX_FILTER_BYTES, heavy_words: int = HEAVY) -> DataFrame:
     """One row per input row: id, n_tokens, n_known, base_score, score; see the module.
 
-    A null or empty text is one token, its end. With nothing to train on, every count is 0. Repeated rows are scored
-    each. An empty table gives an empty result.
+    A null or empty text is one token, its end. Long texts are scored whole. With nothing to train on, every count is 0.
+    Repeated rows are scored each. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     spark = df.sparkSession
-    sizes = counts.table.select("shard", F.length("filter").cast("long").alias("n")).orderBy("shard").collect()  # a row for each slice
-    groups: list[list[int]] = [[]]
-    room = max_filter_bytes
-    for r in sizes:
-        if groups[-1] and r["n"] > room:
-            groups.append([])
-            room = max_filter_bytes
-        groups[-1].append(r["shard"])
-        room -= r["n"]
     least, hashes, numbers = counts.heavy(heavy_words)
     heavy = spark.sparkContext.broadcast((hashes, numbers))
-
-    def slices(group: list[int]):
-        rows = counts.table.where(F.col("shard").between(min(group), max(group))).select("shard", "filter").toLocalIterator() if group else ()
-        return spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in rows})
-
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    shared = slices(groups[0] if len(groups) == 1 else [])
-    if len(groups) > 1:
-        # The filter exceeds its bound: each pass holds some slices and leaves two bytes a token, mostly zeros; these
-        # meet by row. Texts are written once and shuffled once, however many passes there are.
-        rows = stored(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "text"), "texts")
-        passes = [stored(rows.select("uid", "text").mapInArrow(_probe(slices(g), counts.shards), "uid long, levels binary"), "levels") for g in groups]
-        found = reduce(DataFrame.union, passes).groupBy("uid").agg(F.collect_list("levels").alias("levels"))
-        rows = rows.join(found, "uid").select("id", "text", "levels")
+    shared = None
+    whole = counts.table.agg(F.sum(F.length("filter").cast("long")).alias("n")).first()["n"] or 0
+    if whole <= max_filter_bytes:
+        sizes, slices = np.zeros(counts.shards, np.int64), []
+        for r in counts.table.select("shard", "filter").orderBy("shard").toLocalIterator():
+            sizes[r["shard"]] = len(r["filter"])
+            slices.append(r["filter"])
+        shared = spark.sparkContext.broadcast((sizes, b"".join(slices)))
+    else:
+        texts = stored(rows.mapInArrow(_stretches, "stretch long, ids array<long>, texts array<string>"), "stretches")
+        slices = counts.table.select("shard", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("stretch"), F.col("filter").alias("body"))
+        asked = slices.union(texts.select("stretch", "texts").mapInArrow(_ask(counts.shards), _ASKED))
+        found = asked.repartition(counts.tasks, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer, "stretch long, shard int, levels binary")
+        rows = texts.join(found.groupBy("stretch").agg(F.collect_list(F.struct("shard", "levels")).alias("found")), "stretch").select("ids", "texts", "found")
     run = _score(shared, counts.shards, heavy, counts.tokens, counts.words, counts.held_share)
-    scored = stored(rows.mapInArrow(run, "uid long, id long, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"), "scored")
+    scored = stored(rows.mapInArrow(run, "uid long, id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"), "scored")
 
     unseen = float(np.log10(DELTA / (counts.tokens + DELTA * (counts.words + 1))))
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("uid", F.col("t.rare").alias("hash"), F.col("t.times").alias("times"))

@@ -296,11 +296,12 @@ def test_filter_reads_back():
     rng = np.random.default_rng(0)
     hashes = np.unique(rng.integers(0, 1 << 63, 20000, dtype=np.uint64) * np.uint64(2))
     levels = rng.integers(1, 12, len(hashes))
-    held = lm_scoring.Filter({0: lm_scoring.filled_slice(hashes, levels)}, 1)
+    raw = lm_scoring.filled_slice(hashes, levels)
+    held = lm_scoring.Filter([len(raw)], raw)
     found = held.levels(hashes)
     assert (found >= levels).all() and (found > levels).mean() < 0.05
     assert (held.levels(hashes + np.uint64(1)) > 0).mean() < 0.03
-    assert (lm_scoring.Filter({}, 1).levels(hashes) == 0).all()
+    assert (lm_scoring.Filter([0], b"").levels(hashes) == 0).all()
 
 
 # 6 SimHash
