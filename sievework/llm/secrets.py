@@ -1,10 +1,19 @@
 """Secret scans: known forms, and a battery of randomness tests.
 
-Three kinds of span have a fixed form. Beyond them, every long run of key characters is a candidate: its encoding is
-inferred from its alphabet, and three tests ask how far it is from the prose of the corpus and how near to uniform
-random: chi-squared uniformity over the alphabet, runs of character classes, and serial correlation of alphabet places.
-Each test gives the chance that a word of prose looks so random; Fisher's method joins them, and Benjamini-Hochberg, with
-weights that grow with length, holds the false discovery rate over all candidates of the corpus.
+Three kinds of span have a fixed form. Beyond them, every long run of key characters is a candidate. Its encoding is
+inferred from its alphabet, and three tests ask whether it is more random than ordinary text could be. The null of each is
+a source that is at least three quarters (ORDER) as ordered as the corpus's own words are in that respect:
+
+uniformity  its characters collide (chi-squared, but for the scale) as often as those of a mixture of the corpus's letters
+            and uniform ones that has so much of the corpus's excess over uniform
+runs        the class of its letters and digits changes no more often than so far from a random rate to the corpus's
+serial      the places of neighbours in the alphabet correlate by SERIAL at least
+
+Each p is the chance that a source at the edge of its null looks as random as the token does, so p is uniform there and
+larger inside. The tests of a token depend on each other; so the battery claims that at least two of the three nulls are
+wrong, by twice the second smallest p, which is valid whatever the dependence. Benjamini-Hochberg, with weights that grow
+with length, then holds the false discovery rate over all candidates of the corpus. Names, paths and dates collide as
+words do; so do UUIDs, as hexadecimal digits and dashes are few of the characters that their alphabet has.
 """
 
 from __future__ import annotations
@@ -41,7 +50,7 @@ ENCODINGS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
     "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
-FALSE_DISCOVERY = 0.001
+FALSE_DISCOVERY = 0.01
 _BINS, _LENGTHS = 4000, 8
 
 
@@ -63,100 +72,117 @@ def encoding_of(token: str) -> str:
 
 
 _SETS = {name: set(alphabet) for name, alphabet in ENCODINGS.items()}
-_PLACE = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ENCODINGS.items()}
 
 
-def _class(c: str) -> int:
-    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+ORDER = 0.75
+#: Correlation of neighbours that a token must be found below.
+SERIAL = 0.25
+_CHUNK = 1 << 20
+_TABLES = {name: np.array([alphabet.find(chr(c)) if c < 128 else -1 for c in range(256)], np.int16) for name, alphabet in ENCODINGS.items()}
+_CLASS = np.array([0 if chr(c).islower() else 1 if chr(c).isupper() else 2 if chr(c).isdigit() else 3 for c in range(128)] + [3] * 128, np.uint8)
 
 
 def _below(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def _classes(encoding: str, raw: np.ndarray) -> np.ndarray:
+    """Lower case, upper case and digits, 3 for all else; for digits alone their lower and upper half."""
+    return (raw >= ord("5")).astype(np.uint8) if encoding == "decimal" else _CLASS[raw]
+
+
+def _changes(kind: np.ndarray) -> tuple[int, int]:
+    """(changes of class, pairs) among neighbours that are letters or digits both."""
+    changes = pairs = 0
+    for lo in range(0, len(kind) - 1, _CHUNK):
+        k = kind[lo : lo + _CHUNK + 1]
+        both = (k[1:] < 3) & (k[:-1] < 3)
+        pairs += int(np.count_nonzero(both))
+        changes += int(np.count_nonzero(both & (k[1:] != k[:-1])))
+    return changes, pairs
+
+
 class Prose:
     """How the corpus's own words are made: frequencies of characters, and how often the class of a character changes."""
 
     def __init__(self, counts: np.ndarray, changes: int, pairs: int):
-        letters = ENCODINGS["mixed"]
-        self.share = {c: (counts[ord(c)] + 0.5) for c in letters}
-        self.change = (changes + 1) / (pairs + 2)
+        self.counts, self.change = np.asarray(counts, float) + 0.5, (changes + 1) / (pairs + 2)
         self.known: dict[str, tuple] = {}
 
-    def of(self, encoding: str) -> tuple[int, float, float, float]:
-        """(size of the alphabet, expected chi-squared excess a character, its variance, least share)."""
+    def of(self, encoding: str) -> tuple[float, float, float]:
+        """At the edge of the null: chances that two and that three characters are equal, and that the class changes."""
         if encoding not in self.known:
             alphabet = ENCODINGS[encoding]
-            if encoding in ("decimal", "hex", "hex_upper", "base32", "upper_alnum"):  # prose does not use these as they are; take the letters whatever their case
-                share = np.array([self.share.get(c.lower(), 0.5) + self.share[c] for c in alphabet])
-            else:
-                share = np.array([self.share[c] for c in alphabet])
-            share = share / share.sum()
-            size = len(alphabet)
-            ratio = share * size
-            self.known[encoding] = (size, float((share * ratio).sum() - 1), float((share * ratio**2).sum() - (share * ratio).sum() ** 2), float(share.min()))
+            # Letters of one case alone are not how prose is written: they take the letter's whole share.
+            one_case = encoding in ("hex", "hex_upper", "base32", "lower_alnum", "upper_alnum")
+            share = np.array([self.counts[ord(c)] + (self.counts[ord(c.swapcase())] if one_case and c.isalpha() else 0) for c in alphabet])
+            mixed = math.sqrt(ORDER) * share / share.sum() + (1 - math.sqrt(ORDER)) / len(alphabet)  # excess is quadratic in the shares
+            kinds = np.bincount(_classes(encoding, np.frombuffer(alphabet.encode(), np.uint8)), minlength=4)[:3]
+            random = 1 - float(((kinds / kinds.sum()) ** 2).sum())
+            rate = ORDER * self.change + (1 - ORDER) * random if encoding != "decimal" else 0.4  # numbers are not spelled: a rate of their own
+            two, three = float((mixed**2).sum()), float((mixed**3).sum())
+            if encoding == "decimal":
+                two = max(two, 1.2 / len(alphabet))
+            self.known[encoding] = (two, max(three, two * two), rate)
         return self.known[encoding]
 
 
+def uniformity(n: int, collisions: float, two: float, three: float) -> float:
+    """The chance of so few equal pairs among n characters, by the cube root of a gamma variable of that mean and spread."""
+    mean = n * (n - 1) / 2 * two
+    spread = mean * (1 - two) + n * (n - 1) * (n - 2) * (three - two * two)
+    small = spread / (9 * mean * mean)
+    return _below((((collisions + 0.5) / mean) ** (1 / 3) - 1 + small) / math.sqrt(small))
+
+
+def many_changes(changes: int, pairs: int, rate: float) -> float:
+    """Binomial tail: so many changes or more."""
+    if pairs > 4000:
+        return _below(-(changes - 0.5 - pairs * rate) / math.sqrt(pairs * rate * (1 - rate)))
+    return _at_least(changes, pairs, rate)
+
+
+def uncorrelated(places: np.ndarray) -> float:
+    """The chance that neighbours correlate so little where their correlation is SERIAL, of either sign."""
+    n, mean = len(places), float(places.mean())
+    lagged = squares = 0.0
+    for lo in range(0, n, _CHUNK):
+        x = places[lo : lo + _CHUNK + 1] - mean
+        lagged += float((x[1:] * x[:-1]).sum())
+        squares += float((x[:_CHUNK] ** 2).sum())
+    r = lagged / squares if squares else 1.0
+    return _below((abs(r) - SERIAL) * math.sqrt(n) / math.sqrt(1 - SERIAL**2))
+
+
 def battery(token: str, prose: Prose) -> tuple[str, float]:
-    """(encoding, p): the chance that a word of prose of this length looks as random as `token` does."""
-    body = token.rstrip("=")
-    encoding = encoding_of(token)
-    n = len(body)
-    size, excess, spread, _ = prose.of(encoding)
-    places = [_PLACE[encoding].get(c, 0) for c in body]
-    counts = np.bincount(places, minlength=size)
-    # Uniformity: for prose, chi-squared over n grows by `excess` a character on average; a random token stays near its degrees of freedom.
-    chi = float((counts * (counts - 1)).sum()) * size / max(1, n * (n - 1)) - 1  # unbiased for the excess
-    deviation = math.sqrt(4 * spread / n + 2 * (size - 1) * (1 + excess) ** 2 / (n * (n - 1)))
-    uniform = _below((chi - excess) / max(deviation, 1e-9))
-    # Runs: random text changes class often; prose hardly ever.
-    classes = [_class(c) for c in body]
-    changes = sum(a != b for a, b in zip(classes, classes[1:]))
-    alternatives = len({_class(c) for c in ENCODINGS[encoding]})
-    runs = 1.0 if alternatives == 1 else _at_least(changes, n - 1, prose.change)
-    # Serial correlation of neighbours: prose alternates vowels and consonants and repeats itself.
-    repeats = len({token[i : i + 3] for i in range(n - 2)}) / max(1, n - 2)
-    x = np.array(places, float) - np.mean(places)
-    serial = float((x[1:] * x[:-1]).sum() / max(1e-9, (x * x).sum()))
-    correlated = min(1.0, 2 * _below(-abs(serial) * math.sqrt(n)))  # near 1 for random text
-    independent = max(1e-3, 1 - correlated * repeats)
-    joined = -2 * (math.log(max(uniform, 1e-300)) + math.log(max(runs, 1e-300)) + math.log(independent))
-    return encoding, _chi_tail(joined, 3)
+    """(encoding, p): p is small if at least two of the three tests find the token too random for ordinary text."""
+    encoding, raw = encoding_of(token), np.frombuffer(token.rstrip("=").encode(), np.uint8)
+    places, n = _TABLES[encoding][raw], len(raw)
+    known = places[places >= 0]
+    counts = np.bincount(known, minlength=len(ENCODINGS[encoding])).astype(float)
+    two, three, rate = prose.of(encoding)
+    tests = sorted([uniformity(n, float((counts * (counts - 1)).sum()) / 2, two, three), many_changes(*_changes(_classes(encoding, raw)), rate), uncorrelated(places)])
+    return encoding, min(1.0, 2 * tests[1])
 
 
 def _at_least(k: int, n: int, p: float) -> float:
     """Binomial tail: k or more of n."""
     if k <= 0:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(v - top) for v in logs))
-
-
-def _chi_tail(value: float, half: int) -> float:
-    """Tail of chi-squared with 2 * half degrees of freedom."""
-    term = total = 1.0
-    for i in range(1, half):
-        term *= value / 2 / i
-        total += term
-    return min(1.0, math.exp(-value / 2) * total)
+    i = np.arange(k, n + 1)
+    ways = math.lgamma(n + 1) - np.array([math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in i.tolist()])
+    logs = ways + i * math.log(p) + (n - i) * math.log1p(-p)
+    return min(1.0, float(np.exp(logs).sum()))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = np.full(256, 4)
-    for c in range(128):
-        kind[c] = _class(chr(c)) if chr(c).isalnum() else 4
     counts, changes, pairs = np.zeros(256, np.int64), 0, 0
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            for lo in range(0, len(text or b""), 1 << 20):
-                raw = np.frombuffer(text[lo : lo + (1 << 20)], np.uint8)
-                counts += np.bincount(raw, minlength=256)
-                k = kind[raw]
-                both = (k[1:] < 3) & (k[:-1] < 3)
-                pairs += int(both.sum())
-                changes += int((both & (k[1:] != k[:-1])).sum())
+        for text in batch.column(0).cast(pa.binary()):
+            raw = np.frombuffer(text.as_py() or b"", np.uint8)
+            counts += np.bincount(raw, minlength=256)
+            own = _changes(_CLASS[raw])
+            changes, pairs = changes + own[0], pairs + own[1]
     yield pa.RecordBatch.from_arrays([pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([changes]), pa.array([pairs])], ["counts", "changes", "pairs"])
 
 
@@ -167,6 +193,17 @@ def prose_of(df: DataFrame, text_col: str = "text") -> Prose:
     return Prose(np.array([v or 0 for v in row["c"]]), row["x"] or 0, row["p"] or 0)
 
 
+def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of what is long enough in runs of key characters when the base spans are cut out of them."""
+    taken = sorted((a, b) for a, b, _ in base)
+    for m in _CANDIDATE.finditer(text):
+        at = m.start()
+        for a, b in [*((a, b) for a, b in taken if a < m.end() and b > m.start()), (m.end(), m.end())]:
+            if a > at and len(text[at:a].rstrip("=")) >= MIN_RANDOM:
+                yield at, a
+            at = max(at, b)
+
+
 def length_bin(n: int) -> int:
     return min(_LENGTHS - 1, (n - MIN_RANDOM) // 8)
 
@@ -202,11 +239,9 @@ def _scan(prose: Prose):
                 text = value.as_py() or ""
                 base = base_spans(text)
                 own = []
-                for m in _CANDIDATE.finditer(text):
-                    if len(m[0].rstrip("=")) < MIN_RANDOM or any(m.start() < b and a < m.end() for a, b, _ in base):
-                        continue
-                    encoding, p = battery(m[0], prose)
-                    own.append({"start": m.start(), "end": m.end(), "kind": "random", "encoding": encoding, "p": p, "length_bin": length_bin(m.end() - m.start())})
+                for start, end in candidates(text, base):
+                    encoding, p = battery(text[start:end], prose)
+                    own.append({"start": start, "end": end, "kind": "random", "encoding": encoding, "p": p, "length_bin": length_bin(end - start)})
                 bases.append([{"start": a, "end": b, "kind": k} for a, b, k in base])
                 others.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(span)), pa.array(others, pa.list_(token))], ["id", "base", "tokens"])
@@ -218,8 +253,10 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, base and random: arrays of spans (start, end, kind), in code points, end exclusive.
 
     `base` has the fixed forms, leftmost and non-overlapping within a kind; `random` the candidates that pass the
-    battery and overlap no base span. A null or empty text has no spans. Rows are independent of each other but for the
-    threshold, which is the corpus's; repeated rows give repeated results. An empty table gives an empty result.
+    battery, without what base spans cover. A null or empty text has no spans; long texts and tokens are read whole, a
+    token in a byte and a few numbers for each character. Rows are independent of each other but for the threshold, which
+    is the corpus's; repeated rows give repeated results. Other columns, whatever their names, are ignored. An empty table
+    gives an empty result.
     """
     prose = prose_of(df, text_col)
     found = stored(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_scan(prose), "id long, base array<struct<start:long,end:long,kind:string>>, tokens array<struct<start:long,end:long,kind:string,encoding:string,p:double,length_bin:int>>"), "secret-spans")
