@@ -2,7 +2,7 @@
 
 Three kinds of span have a fixed form. Beyond them, every long run of key characters is a candidate. Its encoding is
 inferred from its alphabet, and three tests ask whether it is more random than ordinary text could be. The null of each is
-a source that is at least three quarters (ORDER) as ordered as the corpus's own words are in that respect:
+a source that is at least nine tenths (ORDER) as ordered as the corpus's own words are in that respect:
 
 uniformity  its characters collide (chi-squared, but for the scale) as often as those of a mixture of the corpus's letters
             and uniform ones that has so much of the corpus's excess over uniform
@@ -51,7 +51,9 @@ ENCODINGS = {
     "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 FALSE_DISCOVERY = 0.01
-_BINS, _LENGTHS = 4000, 8
+_LENGTHS = 8
+#: Smaller p count as this one.
+LEAST_P = 1e-100
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -74,7 +76,7 @@ def encoding_of(token: str) -> str:
 _SETS = {name: set(alphabet) for name, alphabet in ENCODINGS.items()}
 
 
-ORDER = 0.75
+ORDER = 0.9
 #: Correlation of neighbours that a token must be found below.
 SERIAL = 0.25
 _CHUNK = 1 << 20
@@ -208,8 +210,8 @@ def length_bin(n: int) -> int:
     return min(_LENGTHS - 1, (n - MIN_RANDOM) // 8)
 
 
-def thresholds(histogram: dict[tuple[int, int], int], rate: float = FALSE_DISCOVERY) -> list[float]:
-    """For each length bin, the most that p may be: weighted Benjamini-Hochberg over a histogram of (length bin, p bin).
+def thresholds(histogram: dict[tuple[int, float], int], rate: float = FALSE_DISCOVERY) -> list[float]:
+    """For each length bin, the most that p may be: weighted Benjamini-Hochberg over a histogram of (length bin, -10 log10 p).
 
     Weights are in proportion to the length and average one over the candidates, so more is asked of short tokens. A p
     counts as the upper end of its bin, which can only make the rate lower.
@@ -260,8 +262,8 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prose = prose_of(df, text_col)
     found = stored(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_scan(prose), "id long, base array<struct<start:long,end:long,kind:string>>, tokens array<struct<start:long,end:long,kind:string,encoding:string,p:double,length_bin:int>>"), "secret-spans")
-    token = found.select(F.explode("tokens").alias("t")).select("t.length_bin", F.floor(F.least(F.lit(float(_BINS)), -10 * F.log10(F.greatest("t.p", F.lit(1e-300))))).cast("int").alias("k"))
-    histogram = {(r["length_bin"], r["k"]): r["count"] for r in token.groupBy("length_bin", "k").count().collect()}  # a few thousand bins at most
+    token = found.select(F.explode("tokens").alias("t")).select("t.length_bin", (F.floor(-100 * F.log10(F.greatest("t.p", F.lit(LEAST_P)))) / 10).alias("k"))
+    histogram = {(r["length_bin"], r["k"]): r["count"] for r in token.groupBy("length_bin", "k").count().collect()}  # 80 000 bins at most
     limits = F.array(*[F.lit(x) for x in thresholds(histogram, rate)])
     passed = F.filter("tokens", lambda t: t.p <= F.try_element_at(limits, t.length_bin + 1))
     return found.select(F.col("id").alias(id_col), "base", passed.alias("random"))
