@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset on a single machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -33,24 +36,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _mine().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_written: list[str] = []
+_written = threading.local()
+
+
+def _mine() -> list[str]:
+    """What this thread has written: jobs of other threads of a driver have lists of their own."""
+    if not hasattr(_written, "paths"):
+        _written.paths = []
+    return _written.paths
 
 
 def written() -> int:
-    """How many tables stored() has written so far; a mark for drop_since()."""
-    return len(_written)
+    """How many tables stored() has written so far in this thread; a mark for drop_since()."""
+    return len(_mine())
 
 
 def drop_since(spark: SparkSession, mark: int) -> None:
     """Delete what stored() has written since a mark, once nothing reads it any more."""
-    for path in _written[mark:]:
+    for path in _mine()[mark:]:
         delete(spark, path)
-    del _written[mark:]
+    del _mine()[mark:]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -58,13 +68,18 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def with_rank(df: DataFrame, key: str, order: list[str], *, buckets: int = 512, name: str = "rank") -> DataFrame:
+#: Ranks are found in at least so many hash buckets, and in buckets of about so many rows.
+BUCKETS, BUCKET_ROWS = 512, 1 << 16
+
+
+def with_rank(df: DataFrame, key: str, order: list[str], rows: int, *, name: str = "rank") -> DataFrame:
     """0-based rank of each row within `key`, gapless, in the order of a hash of `order` and then `order`.
 
     A key may hold any share of the rows: rows are ranked within (key, hash bucket), and buckets start where the
     counts of the buckets before them end, so no task sees a whole key. Rows alike in all of `order` are ranked in
-    any order among themselves. A key must not be null. `df` is read twice; it should be a table.
+    any order among themselves. A key must not be null. `df` is read twice; it should be a table. `rows` is how many it has.
     """
+    buckets = max(BUCKETS, -(-rows // BUCKET_ROWS))
     hashed = F.xxhash64(*order)
     dealt = df.withColumn("_hash", hashed).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(buckets)).cast("int"))
     counts = df.select(F.col(key), F.pmod(F.shiftrightunsigned(hashed, 40), F.lit(buckets)).cast("int").alias("_bucket"))

@@ -5,7 +5,9 @@ ceil((k + 1) / w); in every slot the released block that is due first goes out.
 meets every deadline, so after any number t of slots each source has had w * t blocks give or take less than one.
 
 Releases and deadlines are exact fractions of the weights, which are read as their shortest decimals; nothing is
-rounded. Each slot is scheduled on the driver, which keeps a number for each block of `block_rows` rows.
+rounded. Each slot is scheduled on the driver, in a time and memory that its number bounds: unless told otherwise, blocks
+have BLOCK_ROWS rows, or as many more as it takes for SLOTS blocks to hold a corpus. The deviation stays below one block,
+which is then a millionth of the corpus. The plan that goes to the workers has a number for each slot as well.
 Weights that are whole shares of a period have a schedule that repeats, and only one period of it is computed; so has a
 source that is left alone. When a source runs out, the others go on with their weights scaled up: a new phase, with a
 schedule of its own. No row is dropped, repeated or sampled.
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from sievework.llm.common import documents, stored, with_rank
 
 PERIOD = 1000
-BLOCK_ROWS = 16
+#: Rows of a block at least, and slots of a schedule at most (and one more for each source, whose last block is short).
+BLOCK_ROWS, SLOTS = 16, 1 << 20
 #: Slots of a source's blocks go to the workers in rows of so many.
 _CHUNK = 1024
 #: The target of a source without a given weight grows with this power of its rows.
@@ -114,13 +117,15 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERI
     return found
 
 
-def _placed(df: DataFrame, weights: dict[str, float] | None, source_col: str, id_col: str, order_cols: tuple[str, ...], block_rows: int, period: int, exponent: float) -> tuple[DataFrame, int]:
+def _placed(df: DataFrame, weights: dict[str, float] | None, source_col: str, id_col: str, order_cols: tuple[str, ...], block_rows: int | None, period: int, exponent: float) -> tuple[DataFrame, int]:
     """(row, mix_block, mix_position) for every row, `row` holding all its columns; and the number of slots."""
     spark = df.sparkSession
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))
     order = [F.col(c).alias(f"_o{i}") for i, c in enumerate((id_col, *order_cols))]
     plain = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), source.alias("_source"), *order)
     rows = {r["_source"]: r["count"] for r in plain.groupBy("_source").count().collect()}
+    total = sum(rows.values())
+    block_rows = block_rows or max(BLOCK_ROWS, -(-total // SLOTS))
     given = {f"s{s}": w for s, w in (weights or {}).items() if f"s{s}" in rows and w > 0}
     scale = sum(given.values()) / sum(rows[s] ** exponent for s in given) if given else 1.0
     target = {s: given.get(s, n**exponent * scale) for s, n in rows.items()}
@@ -129,18 +134,18 @@ def _placed(df: DataFrame, weights: dict[str, float] | None, source_col: str, id
     parts = {s: [ph["slots"][s] + ph["slot"] for ph in planned if s in ph["slots"]] for s in rows}
     every = [(s, k // _CHUNK, at[k : k + _CHUNK].tolist()) for s, held in parts.items() for at in [np.concatenate(held)] for k in range(0, len(at), _CHUNK)]
     slots = spark.createDataFrame(every, "_s string, _chunk long, _slots array<int>")
-    ranked = with_rank(plain, "_source", [f"_o{i}" for i in range(len(order))], name="_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
+    ranked = with_rank(plain, "_source", [f"_o{i}" for i in range(len(order))], total, name="_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
     placed = ranked.join(F.broadcast(slots), (F.col("_source") == F.col("_s")) & (F.floor(F.col("_block") / _CHUNK) == F.col("_chunk")))
     block = F.get("_slots", F.pmod(F.col("_block"), F.lit(_CHUNK)).cast("int")).cast("long")
     return placed.select("row", block.alias("mix_block"), F.pmod("_rank", F.lit(block_rows)).alias("mix_position")), sum(-(-n // block_rows) for n in rows.values())
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, *, source_col: str = "source", id_col: str = "doc_id", order_cols: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
+def mix(df: DataFrame, weights: dict[str, float] | None = None, *, source_col: str = "source", id_col: str = "doc_id", order_cols: tuple[str, ...] = (), block_rows: int | None = None, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
     """Every row of `df` (a table; it is read three times) with mix_block and mix_position: its slot, and its place in it.
 
     `weights` are target weights by source, of any scale; a source that is missing there, the null source too, gets its
     number of rows to the power `exponent`, on the scale of the given ones' rows. Within a source rows are in the order
-    of a hash of the identifier. Blocks have `block_rows` rows, a source's last block fewer. The number of sources is
+    of a hash of the identifier. Blocks have `block_rows` rows (by default as the module says), a source's last block fewer. The number of sources is
     bounded by what a driver can hold; a source's rows are not: they are ranked in hash buckets. Repeated rows are rows
     like others; texts are not looked at. Columns of the result's names are replaced. An empty table gives an empty result.
     """
@@ -148,7 +153,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, *, source_col: s
     return placed.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in ("mix_block", "mix_position")], "mix_block", "mix_position")
 
 
-def in_mix_order(df: DataFrame, weights: dict[str, float] | None = None, *, source_col: str = "source", id_col: str = "doc_id", order_cols: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
+def in_mix_order(df: DataFrame, weights: dict[str, float] | None = None, *, source_col: str = "source", id_col: str = "doc_id", order_cols: tuple[str, ...] = (), block_rows: int | None = None, period: int = PERIOD, exponent: float = EXPONENT) -> DataFrame:
     """All columns of `df`, a table, with rows and partitions in the order of mix().
 
     Slots are dense, so their number and the number of partitions tell where a row goes; nothing has to be sampled.

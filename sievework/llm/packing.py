@@ -69,7 +69,7 @@ def _tokenise(ranks_path: str, capacity: int, with_ids: bool, with_place: bool =
                     for k, (at, n) in enumerate(cuts(len(ids), capacity)):
                         own = ids[at : at + n]
                         rows.append((ident, k, at, n, zlib.crc32(own), *([own] if with_ids else []), *([place] if with_place else [])))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *([pa.list_(pa.int64())] if with_ids else []), *([pa.int64()] if with_place else [])]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else []), *([pa.int64()] if with_place else [])]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), *(["place"] if with_place else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -82,7 +82,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document is its ids and then END_ID, so an empty or null text gives one piece of one id. Only documents of more
     than `capacity` ids are cut.
     """
-    schema = _PIECES + (", ids array<long>" if with_ids else "")
+    schema = _PIECES + (", ids array<int>" if with_ids else "")
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_tokenise(ranks_path or default_ranks(), capacity, with_ids), schema)
 
 
@@ -152,7 +152,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, id_cols: tuple[str, ...
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs, _ = best_fit_plan(histogram, capacity)
     plan = spark.createDataFrame(runs, "_length int, _first long, _number long, _bin long, _offset long")
-    ranked = with_rank(pieces, "length", [c for c in id_cols if c in pieces.columns], name="_rank")
+    ranked = with_rank(pieces, "length", [c for c in id_cols if c in pieces.columns], sum(histogram.values()), name="_rank")
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_number")))
     return placed.withColumn("sequence_id", F.col("_bin") + F.col("_rank") - F.col("_first")).withColumn("offset", F.col("_offset")).drop("_length", "_first", "_number", "_bin", "_offset", "_rank")
 
@@ -180,18 +180,21 @@ def _rank_by_place(df: DataFrame, key: str, order: list[str], name: str) -> Data
 
 def pack_in_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
     """pack_documents() of a Parquet table in the order of its files and rows: pieces of a length take the plan's slots
-    in that order, and sequences are numbered by the first piece in each."""
+    in that order, and sequences are numbered by the first piece in each. Pieces come with their ids, which are joined to
+    their places at the end and take no part in the shuffles before."""
     place = F.shiftleft(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), 40) + F.col("_metadata.row_index")
     own = df.select(F.col(id_col).cast("long"), F.col(text_col), place.alias("place"))
-    pieces = stored(own.mapInArrow(_tokenise(ranks_path or default_ranks(), capacity, False, True), _PIECES + ", place long"), "pieces")
+    whole = stored(own.mapInArrow(_tokenise(ranks_path or default_ranks(), capacity, True, True), _PIECES + ", ids array<int>, place long"), "pieces")
+    pieces = whole.select("place", "piece", "length")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = df.sparkSession.createDataFrame(best_fit_plan(histogram, capacity)[0], "_length int, _first long, _number long, _bin long, _offset long")
     ranked = _rank_by_place(pieces, "length", ["place", "piece"], "_rank")
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_number")))
-    placed = stored(placed.withColumn("_sequence", F.col("_bin") + F.col("_rank") - F.col("_first")).withColumn("offset", F.col("_offset")).drop("_length", "_first", "_number", "_bin", "_offset", "_rank"), "placed")
+    placed = stored(placed.select("place", "piece", (F.col("_bin") + F.col("_rank") - F.col("_first")).alias("_sequence"), F.col("_offset").alias("offset")), "placed")
     first = placed.groupBy("_sequence").agg(F.min(F.struct("place", "piece")).alias("_f")).select(F.col("_sequence").alias("_s"), F.lit(0).alias("_all"), "_f.place", F.col("_f.piece").alias("_piece"))
     numbers = _rank_by_place(stored(first, "sequences"), "_all", ["place", "_piece"], "sequence_id").select("_s", "sequence_id")
-    return placed.join(numbers, F.col("_sequence") == F.col("_s")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    numbered = placed.join(numbers, F.col("_sequence") == F.col("_s")).select("place", "piece", "sequence_id", "offset")
+    return whole.join(numbered, ["place", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
