@@ -23,27 +23,31 @@ from sievework.llm.common import documents
 BITS = 14
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
-#: Bounds of the training sample: labelled rows in all, and languages (the most frequent ones).
-MAX_ROWS = 2400
-MAX_LANGS = 256
+#: Bound of the training sample: labelled rows, dealt evenly to the languages; each language has LEAST_ROWS nevertheless.
+MAX_ROWS, LEAST_ROWS = 2400, 8
+_WINDOW = 1 << 18
 
 _LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 
 
-def subwords(text: str) -> np.ndarray:
-    """The buckets of all subwords of a text."""
-    raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8).astype(np.uint32)
-    found = []
+def subword_parts(text: str) -> Iterator[np.ndarray]:
+    """The buckets of all subwords of a text, some at a time: windows overlap by what a subword reaches over."""
+    raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)
     for n in ORDERS:
-        m = len(raw) - n + 1
-        if m > 0:
+        for lo in range(0, len(raw) - n + 1, _WINDOW):
+            part = raw[lo : lo + _WINDOW + n - 1].astype(np.uint32)
+            m = len(part) - n + 1
             hashed = np.full(m, n * 40503, np.uint32)
             for k in range(n):
-                hashed = (hashed ^ raw[k : k + m]) * _MULTIPLIERS[k]
+                hashed = (hashed ^ part[k : k + m]) * _MULTIPLIERS[k]
                 hashed ^= hashed >> np.uint32(15)
-            found.append(hashed >> np.uint32(32 - BITS))
-    return np.concatenate(found)
+            yield hashed >> np.uint32(32 - BITS)
+
+
+def subwords(text: str) -> np.ndarray:
+    """The buckets of all subwords of a text."""
+    return np.concatenate(list(subword_parts(text)))
 
 
 def has_letter(text: str | None) -> bool:
@@ -65,8 +69,7 @@ class LanguageModel:
         if not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         total, count = np.zeros(len(self.langs)), 0
-        for lo in range(0, len(text), 1 << 18):  # pieces of a long text, each with what its subwords reach into
-            found = subwords(text[lo : lo + (1 << 18)])
+        for found in [subwords(text)] if len(text) < _WINDOW else subword_parts(text):
             total += np.bincount(found, minlength=len(self.scores)) @ self.scores if len(found) > 1 << 15 else self.scores[found].sum(0)
             count += len(found)
         logits = (total / count + self.bias) / self.temperature
@@ -81,27 +84,31 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for lang, order, text in zip(*(c.to_pylist() for c in batch.columns)):
             if has_letter(text):
-                counts = np.bincount(subwords(text), minlength=1 << BITS)
+                counts = sum(np.bincount(part, minlength=1 << BITS) for part in subword_parts(text))
                 at = np.flatnonzero(counts)
                 rows.append((lang, order, at.astype("<u2").tobytes(), (counts[at] / counts.sum()).astype("<f4").tobytes()))
         columns = list(zip(*rows)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "order", "at", "share"])
 
 
-def labelled_sample(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> list:
-    """At most `max_rows` labelled rows, dealt evenly to the languages, chosen by a hash of the identifier.
+def labelled_sample(df: DataFrame, *, id_col: str, text_col: str, lang_col: str, max_rows: int = MAX_ROWS) -> list:
+    """About `max_rows` labelled rows, dealt evenly to all languages, chosen by a hash of identifier and text; each
+    language has up to LEAST_ROWS however many there are. Rows alike in both count once.
 
     A row is (language, buckets, shares): the two arrays stay packed, 6 bytes for each bucket that a text has.
     """
     known = df.where(F.col(lang_col).isNotNull())
-    counts = {r["l"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
+    order = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language sample")), F.lit(1 << 60))
+    found = known.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).orderBy("l").collect()  # a row a language
+    counts, first = {r["l"]: r["n"] for r in found}, {r["l"]: r["first"] for r in found}
     if not counts:
         return []
-    each = max(8, max_rows // len(counts))
-    order = F.xxhash64(F.col(id_col), F.lit("language sample"))
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (1.2 * each + 20) / n)))])
-    taken = known.where(F.pmod(order, F.lit(1 << 30)) < F.try_element_at(share, F.col(lang_col)) * (1 << 30))
-    rows = taken.select(F.col(lang_col), order, F.col(text_col)).mapInArrow(_sampled, "lang string, order long, at binary, share binary").toArrow()
+    each = max(LEAST_ROWS, max_rows // len(counts))
+    # About as many as are wanted; where most rows of a language are alike, the first of them at least.
+    below = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(max(first[lang] + 1, int(min(1.0, (1.2 * each + 20) / n) * (1 << 60)))))])
+    taken = known.where(order < F.try_element_at(below, F.col(lang_col))).select(F.col(lang_col).alias("lang"), order.alias("order"), F.col(text_col).alias("text"))
+    once = taken.dropDuplicates(["lang", "order"])  # a text that is everywhere would come as often
+    rows = once.mapInArrow(_sampled, "lang string, order long, at binary, share binary").toArrow()
     chosen, seen = [], dict.fromkeys(counts, 0)
     langs, orders = rows.column("lang").to_pylist(), rows.column("order").to_pylist()
     for i in sorted(range(len(langs)), key=lambda i: (orders[i], langs[i])):
@@ -173,12 +180,13 @@ def fit_language_model(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """(row, lang_pred, score, rejected) for every row; `row` holds all columns, whatever their names.
 
-    A null text and one without a letter are `und` with score 0 and rejected. Only the text is looked at. Other rows
+    A null text and one without a letter are `und` with score 0 and rejected. Only the text is looked at, and all of it,
+    however long. Other rows
     are rejected when their calibrated score is below the model's threshold. Repeated rows and an empty table are no
     special cases.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most 2^14 buckets x MAX_LANGS classes
+    shared = spark.sparkContext.broadcast(model)  # 2^14 buckets x one number a language
     held = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
     place = df.columns.index(text_col)
 
