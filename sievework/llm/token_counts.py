@@ -4,9 +4,13 @@ A ledger is a folder. Every batch of changes adds one part to it: what the batch
 that it is gone), and the signed change of the totals that follows: new counts come in, and what earlier batches had
 counted for the same documents goes out. Totals are additive, so reading them adds up small tables and never recounts.
 
-A batch counts only once its marker is there, which is written last. Applying a committed batch again does nothing;
-applying one that was broken off writes its parts anew. Both leave the same totals, so a driver that loses track can
-send its batches again.
+Parts are split into buckets of documents, sorted, and a batch opens only the buckets that it touches. Every MERGE
+batches the parts are merged into one that has each living document once, so a look-up opens a bounded number of parts,
+however many batches there were.
+
+A batch counts only once its marker is there, which is written last; so does a merged part. Applying a committed batch
+again does nothing; applying one that was broken off writes its parts anew. Both leave the same totals, so a driver that
+loses track can send its batches again.
 """
 
 from __future__ import annotations
@@ -14,17 +18,19 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievework.llm.common import documents, shared_dir
 from sievework.llm.langid import remainder
 from sievework.llm.packing import byte_bpe
 
 TOKENIZERS = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
+#: Buckets of documents, and parts that are merged into one.
+BUCKETS, MERGE = 256, 8
 _STATE = "key string, source string, lang string, version string, tokens long, live boolean, place long"
 
 
@@ -51,19 +57,27 @@ def _count(paths: dict[str, str]):
 
 
 class TokenLedger:
-    """A ledger at `path`, a folder that all executors share. One writer at a time."""
+    """A ledger at `path`, a folder that all executors share. One writer at a time, always with the same `buckets`."""
 
-    def __init__(self, spark: SparkSession, path: str, tokenizers: list[str]):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, tokenizers: list[str], *, buckets: int = BUCKETS, merge: int = MERGE):
+        self.spark, self.path, self.buckets, self.merge_after = spark, path.rstrip("/"), buckets, merge
         self.versions = {version_of(p): p for p in tokenizers}
 
-    def committed(self) -> list[str]:
-        """Names of the committed batches' folders, in the order of their commits."""
+    def _marked(self, folder: str) -> list[str]:
         jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{n}/_SUCCESS")))
+        return sorted(n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/{n}/_SUCCESS")))
+
+    def committed(self) -> list[str]:
+        """Names of the committed batches' folders, in the order of their commits."""
+        return self._marked("commits")
+
+    def parts(self) -> list[str]:
+        """Names of the parts that hold all that is committed: the last merged one, and the batches after it."""
+        merged, batches = self._marked("merges"), self.committed()
+        return [f"merged-{merged[-1]}", *batches[int(merged[-1]) :]] if merged else batches
 
     def apply(self, batch_id: str, changes: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", live_col: str | None = None, order_col: str | None = None) -> bool:
         """Apply a batch; False if it was committed before.
@@ -74,10 +88,10 @@ class TokenLedger:
         text has no tokens; null sources and languages are groups like others. Deleting what is not there does nothing.
         """
         token = hashlib.sha256(batch_id.encode()).hexdigest()[:16]
-        before = self.committed()
-        if any(n.partition("-")[2] == token for n in before):
+        done = self.committed()
+        if any(n.partition("-")[2] == token for n in done):
             return False
-        name = f"{len(before):08d}-{token}"
+        before, name = self.parts(), f"{len(done):08d}-{token}"
         text, source, lang = F.col(text_col), F.col(source_col).cast("string"), F.col(lang_col).cast("string")
         contents = F.concat(F.lit("#"), F.sha2(F.to_json(F.struct(text.alias("t"), source.alias("s"), lang.alias("l"))), 256))
         rows = changes.select(
@@ -87,41 +101,75 @@ class TokenLedger:
         )
         counted = rows.mapInArrow(_count(self.versions), _STATE)
         last = F.max_by(F.struct("source", "lang", "tokens", "live"), F.struct("place", "tokens", "live", "source", "lang"))
-        state = counted.groupBy("key", "version").agg(last.alias("v")).select("key", "version", "v.*", F.lit(len(before)).cast("long").alias("batch"))
-        state.write.mode("overwrite").parquet(f"{self.path}/state/{name}")
+        state = counted.groupBy("key", "version").agg(last.alias("v")).select("key", "version", "v.*", F.lit(len(done)).cast("long").alias("batch"))
+        self._write_state(state, name)
         now = self._state([name])
-        changed = now
+        changed = now.withColumn("sign", F.lit(1))
         if before:
-            latest = Window.partitionBy("key", "version").orderBy(F.desc("batch"))
-            earlier = self._state(before).join(now.select("key", "version"), ["key", "version"], "left_semi").withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
-            changed = now.withColumn("sign", F.lit(1)).unionByName(earlier.withColumn("sign", F.lit(-1)))
-        else:
-            changed = now.withColumn("sign", F.lit(1))
-        deltas = changed.where("live").groupBy("source", "lang", "version").agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens")).where("docs <> 0 or tokens <> 0")
-        deltas.write.mode("overwrite").parquet(f"{self.path}/totals/{name}")
+            touched = [r["bucket"] for r in now.select("bucket").distinct().collect()]  # no more than there are buckets
+            ours = self._state(before, touched).join(now.select("key", "version"), ["key", "version"], "left_semi")
+            changed = changed.unionByName(self._latest(ours).withColumn("sign", F.lit(-1)))
+        self._write_totals(changed.where("live"), name)
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
+        if len(before) + 1 > self.merge_after:
+            self.merge()
         return True
 
-    def _state(self, names: list[str]) -> DataFrame:
-        return self.spark.read.schema("key string, version string, source string, lang string, tokens long, live boolean, batch long").parquet(*[f"{self.path}/state/{n}" for n in names])
+    def merge(self) -> None:
+        """Put all parts into one, which has each living document once. The old ones stay for those who are reading them."""
+        n = len(self.committed())
+        if not n:
+            return
+        names, part = self.parts(), f"{n:08d}"
+        self._write_state(self._latest(self._state(names)).where("live").drop("bucket"), f"merged-{part}")
+        self._write_totals(self._state([f"merged-{part}"]).withColumn("sign", F.lit(1)), f"merged-{part}")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/merges/{part}")
+
+    def _write_state(self, state: DataFrame, name: str) -> None:
+        bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
+        dealt = state.withColumn("bucket", bucket).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/{name}")
+
+    def _write_totals(self, changed: DataFrame, name: str) -> None:
+        deltas = changed.groupBy("source", "lang", "version").agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens")).where("docs <> 0 or tokens <> 0")
+        deltas.write.mode("overwrite").parquet(f"{self.path}/totals/{name}")
+
+    def _state(self, names: list[str], buckets: list[int] | None = None) -> DataFrame:
+        schema = "key string, version string, source string, lang string, tokens long, live boolean, batch long, bucket int"
+        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self.path}/state/{n}") for n in names])
+        return rows if buckets is None or len(buckets) == self.buckets else rows.where(F.col("bucket").isin(buckets))
+
+    @staticmethod
+    def _latest(rows: DataFrame) -> DataFrame:
+        """What the last batch made of each document."""
+        rest = [c for c in rows.columns if c not in ("key", "version")]
+        return rows.groupBy("key", "version").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("key", "version", "r.*")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens of all that is committed; groups without documents are left out."""
         schema = "source string, lang string, version string, docs long, tokens long"
-        names = self.committed()
+        names = self.parts()
         parts = self.spark.read.schema(schema).parquet(*[f"{self.path}/totals/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
         summed = parts.groupBy("source", "lang", "version").agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
         return summed.select("source", "lang", F.col("version").alias("tokenizer_version"), "n_docs", "n_tokens")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in two batches; the second also sends a quarter of the first again, and the first is sent twice."""
+    """The totals of all documents after batches that insert, revise, delete, bring back and repeat.
+
+    One document in 16 first comes with another text and source, and one in 16 is deleted and comes back; a quarter is
+    sent again as it was, and the first batch is sent twice. In the end each document counts as the table has it.
+    """
     import public_tokenizers
 
     ledger = TokenLedger(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}", [public_tokenizers.path(n) for n in TOKENIZERS])
-    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
-    part = remainder("doc_id", 4)
-    ledger.apply("first", docs.where(part < 3))
-    ledger.apply("second", docs.where((part == 3) | (part == 0)))
-    ledger.apply("first", docs.where(part < 3))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang", F.lit(True).alias("live"))
+    part = remainder("doc_id", 16)
+    draft = F.when(part == 5, F.concat(F.lit("draft: "), "source")).otherwise(F.col("text"))
+    first = docs.withColumn("text", draft).withColumn("source", F.when(part == 5, "drafts").otherwise(F.col("source"))).where(part < 12)
+    gone = docs.withColumn("live", part != 9).withColumn("text", F.when(part != 9, F.col("text")))
+    ledger.apply("first", first, live_col="live")
+    ledger.apply("second", gone.where((part >= 12) | (part < 4) | part.isin(5, 9)), live_col="live")
+    ledger.apply("third", docs.where(part == 9), live_col="live")
+    ledger.apply("first", first, live_col="live")
     return ledger.totals()
