@@ -30,6 +30,7 @@ class _Runs:
     def __init__(self, partition: int):
         self.next_run = partition << 40
         self.out: list[tuple] = []
+        self.ready: list[pa.RecordBatch] = []
         self.waiting: list[tuple] = []  # runs of the current hash: known to touch an edge only when the partition ends
         self.first_hash = self.hash = None
         self.text = None
@@ -60,6 +61,8 @@ class _Runs:
             sha = hashlib.sha256(text.encode()).hexdigest()
             for i, ident in enumerate(ids):
                 self.out.append((ident, lengths[i], i == at, self.next_run, len(ids), ids[at], lengths[at], sha, text if edge and not i else None))
+                if len(self.out) >= 4096:
+                    self.ready.append(self._packed())
             self.next_run += 1
         self.waiting = []
 
@@ -67,11 +70,16 @@ class _Runs:
         self.close()
         self.settle(edge=True)
 
-    def taken(self) -> pa.RecordBatch:
+    def _packed(self) -> pa.RecordBatch:
         out, self.out = self.out, []
         columns = list(zip(*out)) or [()] * len(_ARROW)
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _ARROW)], schema=_ARROW)
 
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        """What is settled, packed some rows at a time, as a run may be a partition long."""
+        while self.ready:
+            yield self.ready.pop(0)
+
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
@@ -83,10 +91,10 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = slice(lo, lo + 512)
             for row in zip(ids[part].to_pylist(), lengths[part].to_pylist(), hashes[part].to_pylist(), texts[part].to_pylist()):
                 runs.add(*row)
-        if len(runs.out) >= 4096:
-            yield runs.taken()
+            yield from runs.taken()
     runs.end()
-    yield runs.taken()
+    yield from runs.taken()
+    yield runs._packed()
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,13 +102,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when the same after deleting every character of [\\x20\\x09-\\x0D]; a null text counts as empty, so
     empty, blank and null texts form one group. Of equal texts the row with most code points in the original text,
-    then the smallest identifier, stays; a null identifier comes last. Of wholly repeated rows exactly one is kept.
+    then the smallest identifier, stays; a null identifier comes last. Of wholly repeated rows exactly one is kept. Rows of
+    one identifier, or of none, are as many as they are: a row's place among them also cuts partitions. Long texts are read whole.
     An empty table gives an empty result. Other columns of `df` are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.length(text).cast("long").alias("n_chars"), F.regexp_replace(text, SPACE_CLASS + "+", "").alias("norm"))
-    rows = rows.select("id", "n_chars", F.xxhash64("norm").alias("hash"), "norm", F.substring("norm", 1, 32).alias("prefix"))
-    dealt = rows.repartitionByRange("prefix", "hash", "id").sortWithinPartitions("prefix", "hash", "norm", "id").select("id", "n_chars", "hash", "norm")
+    rows = rows.select("id", "n_chars", F.xxhash64("norm").alias("hash"), "norm", F.substring("norm", 1, 32).alias("prefix"), F.monotonically_increasing_id().alias("place"))
+    dealt = rows.repartitionByRange("prefix", "hash", "id", "place").sortWithinPartitions("prefix", "hash", "norm", "id").select("id", "n_chars", "hash", "norm")
     runs = stored(dealt.mapInArrow(_find_runs, _RUN), "exact-runs")
 
     best = F.struct(-F.col("best_n"), F.col("best_id").isNull(), F.col("best_id").alias("id"), F.col("run").alias("run"))
