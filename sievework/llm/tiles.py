@@ -13,16 +13,22 @@ from sievework.llm.common import stored
 
 #: A bucket is dealt into chunks of about so many members.
 TILE = 512
+#: Or of so many bytes, where members differ in size.
+TILE_BYTES = 8 << 20
 
 
-def into_tiles(members: DataFrame, *, tile: int = TILE, deal: bool = True) -> DataFrame:
+def into_tiles(members: DataFrame, *, tile: int = TILE, deal: bool = True, size: str | None = None, most: int = TILE_BYTES) -> DataFrame:
     """`members` (key long, node long, ...) with chunk, tile_a, tile_b: every two members of a bucket meet in some tile.
 
     A bucket of up to `tile` members is one tile. A larger one is dealt by hash into chunks, and each two chunks make a
-    tile, so that no task sees a whole bucket and no pair is lost. With `deal` the rows are shuffled by tile and sorted.
+    tile, so that no task sees a whole bucket and no pair is lost. With `size`, a column of bytes, chunks are also of
+    about `most` bytes. With `deal` the rows are shuffled by tile and sorted.
     """
+    chunks = F.ceil(F.count(F.lit(1)) / tile)
+    if size:
+        chunks = F.greatest(chunks, F.ceil(F.sum(F.col(size).cast("long")) / most))
     # Stored, so that few large buckets are broadcast by their known size, and many meet their members in a join that can be split.
-    large = stored(members.groupBy("key").count().where(F.col("count") > tile).select(F.col("key").alias("_key"), F.ceil(F.col("count") / tile).cast("int").alias("_m")), "large-buckets")
+    large = stored(members.groupBy("key").agg(chunks.cast("int").alias("_m")).where("_m > 1").withColumnRenamed("key", "_key"), "large-buckets")
     cut = members.join(large, F.col("key") == F.col("_key"), "left").drop("_key")
     cut = cut.withColumn("chunk", F.when(F.col("_m") > 1, F.pmod(F.xxhash64("node", F.lit("tile")), F.col("_m"))).otherwise(0).cast("int"))
     one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
