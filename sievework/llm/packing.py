@@ -55,6 +55,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
 
 
+#: With a place, ids are bytes: a list of numbers for each row costs more to pass on than the tokens do to find.
 def _tokenise(ranks_path: str, capacity: int, with_ids: bool, with_place: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = byte_bpe(ranks_path)
@@ -68,8 +69,8 @@ def _tokenise(ranks_path: str, capacity: int, with_ids: bool, with_place: bool =
                     place = next(places)
                     for k, (at, n) in enumerate(cuts(len(ids), capacity)):
                         own = ids[at : at + n]
-                        rows.append((ident, k, at, n, zlib.crc32(own), *([own] if with_ids else []), *([place] if with_place else [])))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else []), *([pa.int64()] if with_place else [])]
+                        rows.append((ident, k, at, n, zlib.crc32(own), *([own.tobytes() if with_place else own] if with_ids else []), *([place] if with_place else [])))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *([pa.binary() if with_place else pa.list_(pa.int32())] if with_ids else []), *([pa.int64()] if with_place else [])]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), *(["place"] if with_place else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -180,11 +181,12 @@ def _rank_by_place(df: DataFrame, key: str, order: list[str], name: str) -> Data
 
 def pack_in_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
     """pack_documents() of a Parquet table in the order of its files and rows: pieces of a length take the plan's slots
-    in that order, and sequences are numbered by the first piece in each. Pieces come with their ids, which are joined to
+    in that order, and sequences are numbered by the first piece in each. Pieces come with their ids (bytes of
+    little-endian unsigned 32-bit numbers), which are joined to
     their places at the end and take no part in the shuffles before."""
     place = F.shiftleft(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), 40) + F.col("_metadata.row_index")
     own = df.select(F.col(id_col).cast("long"), F.col(text_col), place.alias("place"))
-    whole = stored(own.mapInArrow(_tokenise(ranks_path or default_ranks(), capacity, True, True), _PIECES + ", ids array<int>, place long"), "pieces")
+    whole = stored(own.mapInArrow(_tokenise(ranks_path or default_ranks(), capacity, True, True), _PIECES + ", ids binary, place long"), "pieces")
     pieces = whole.select("place", "piece", "length")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = df.sparkSession.createDataFrame(best_fit_plan(histogram, capacity)[0], "_length int, _first long, _number long, _bin long, _offset long")
