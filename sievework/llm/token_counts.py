@@ -85,7 +85,8 @@ class TokenLedger:
         Each row of `changes` says what its document is now: its text, source and language or, where `live_col` is
         false, that it is deleted. Of several rows of one document the last by `order_col` holds, then the one with most
         tokens. A null identifier stands for its row's contents, so such rows can be added and are counted once. A null
-        text has no tokens; null sources and languages are groups like others. Deleting what is not there does nothing.
+        text has no tokens; null sources and languages are groups like others. Deleting what is not there does nothing. Long texts are counted
+        whole; columns that are not named here, whatever their names, are ignored. An empty batch is committed and changes nothing.
         """
         token = hashlib.sha256(batch_id.encode()).hexdigest()[:16]
         done = self.committed()
