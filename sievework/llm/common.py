@@ -34,11 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     A reliable copy, so a lost executor costs only the tasks it was running; columns that a later step
     does not need are not read again. It stays until drop_since(), as the result may be read at any time.
     """
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """stored(), and the place of the table, for a step that can delete() it once the next is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _mine().append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 _written = threading.local()
