@@ -143,9 +143,17 @@ def is_readable_name(name: Column | str, suffixes: tuple[str, ...] = (".pdf", ".
 
 
 def general_number(x: Column) -> Column:
-    """A number as %g prints it: no trailing zeros, six significant digits."""
-    rounded = F.round(x, 6)
-    return F.regexp_replace(F.regexp_replace(rounded.cast("decimal(20,6)").cast("string"), r"0+$", ""), r"\.$", "")
+    """A number as %g prints it: six significant digits, no trailing zeros, powers of ten outside 0.0001 to 999999."""
+    x = x.cast("double")
+    digits = F.format_string("%.5e", x)  # one digit, five more, and the power
+    power = F.regexp_extract(digits, r"e([+-]\d+)$", 1).cast("int")
+    mantissa = F.regexp_replace(F.regexp_replace(F.regexp_extract(digits, r"^(.*)e", 1), r"0+$", ""), r"\.$", "")
+    plain = F.lit(None).cast("string")
+    for p in range(-4, 6):
+        plain = F.when(power == p, F.format_string(f"%.{5 - p}f", x)).otherwise(plain)
+    short = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", "")).otherwise(plain)
+    large = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(x == 0, "0").when(power.between(-4, 5), short).otherwise(large)
 
 
 def like_pattern_safe(name: str) -> str:

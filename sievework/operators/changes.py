@@ -21,23 +21,31 @@ def snapshot_diff(known: DataFrame, current: DataFrame, key: str, version: str,
     return new.join(old, F.col(key) == F.col("_key"), "full").select(F.coalesce(key, "_key").alias(key), change.alias("change"))
 
 
+def _same(keys: list[str], left: str = "t", right: str = "c") -> Column:
+    """Keys are equal; a null is a key like others, equal to a null."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+
 def upserted(target: DataFrame, changes: DataFrame, keys: list[str], updates: dict[str, Column] | None = None) -> DataFrame:
-    """M1: rows of `changes` replace those with their keys or are added; `updates` may combine old t.* and new c.* columns."""
+    """M1: rows of `changes` replace those with their keys or are added; `updates` may combine old t.* and new c.* columns.
+
+    Null keys are equal to each other. Keys of `changes` are unique.
+    """
     t, c = target.withColumn("_t", F.lit(True)).alias("t"), changes.withColumn("_c", F.lit(True)).alias("c")
     rest = [x for x in target.columns if x not in keys]
     both = F.col("_t") & F.col("_c")
     value = {x: F.when(both & F.lit(x in (updates or {})), (updates or {}).get(x, F.col(f"c.{x}"))).when(F.col("_c"), F.col(f"c.{x}")).otherwise(F.col(f"t.{x}")) for x in rest}
-    return t.join(c, reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"c.{k}") for k in keys]), "full").select(*[F.coalesce(f"t.{k}", f"c.{k}").alias(k) for k in keys], *[v.alias(x) for x, v in value.items()])
+    return t.join(c, _same(keys), "full").select(*[F.coalesce(f"t.{k}", f"c.{k}").alias(k) for k in keys], *[v.alias(x) for x, v in value.items()])
 
 
 def inserted_if_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """M2: rows are added whose keys are not there; of several new ones with one key, any one."""
-    return target.unionByName(rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti"))
+    """M2: rows are added whose keys are not there; of several new ones with one key, any one. Null keys are equal."""
+    return target.unionByName(rows.dropDuplicates(keys).alias("t").join(target.select(*keys).alias("c"), _same(keys), "left_anti"))
 
 
 def replaced(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """M3: whole rows replace those with their keys."""
-    return target.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
+    """M3: whole rows replace those with their keys. Null keys are equal."""
+    return target.alias("t").join(rows.select(*keys).distinct().alias("c"), _same(keys), "left_anti").unionByName(rows)
 
 
 def updated_where(df: DataFrame, test: Column, **values: Column) -> DataFrame:
@@ -118,60 +126,101 @@ def resumed_step(assessed: Column, sections: Column) -> Column:
     return F.when(assessed, "report").when(sections.isNotNull() & (sections != ""), "assess").otherwise("download")
 
 
-def decided(records: DataFrame, jobs: DataFrame, decisions: DataFrame, assessments: DataFrame, now: float, expiry_days: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Review decisions (application_id, action, reason), one a record: next records, next jobs, and new holds.
+def _if_there(df: DataFrame, **values: Column) -> dict[str, Column]:
+    """New values for the columns that a frame has, in their types."""
+    return {c: v.cast(df.schema[c].dataType) for c, v in values.items() if c in df.columns}
+
+
+def _upserted_jobs(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Jobs of `wanted` (application_id, version, rubric_id, _step) begin at that step: where there is one, whatever its
+    state, it starts a new generation without its attempts and errors; else there is a new one, with no identifier yet."""
+    keys = ["application_id", "version", "rubric_id"]
+    anew = F.lit(True)
+    steps = wanted.select(*keys, "_step", anew.alias("_anew"))
+    hit = F.col("_anew").isNotNull()
+    held = jobs.join(steps, keys, "left")
+    fresh = {"state": F.lit("queued"), "step": F.col("_step"), "attempts": F.lit(0), "next_try": F.lit(0.0), "error": F.lit(None), "error_at": F.lit(None), "generation": F.col("generation") + 1}
+    kept = updated_where(held, hit, **_if_there(jobs, **fresh)).select(*jobs.columns)
+    made = steps.join(jobs.select(*keys), keys, "left_anti")
+    first = _if_there(jobs, **fresh | {"generation": F.lit(0)})
+    return kept.unionByName(made.select(*[(F.col(c) if c in keys else first.get(c, F.lit(None).cast(jobs.schema[c].dataType))).alias(c) for c in jobs.columns]))
 
-    confirm_spam holds the document's hash and sends the record to the report; a record without hash or evidence cannot
-    be confirmed and stays as it is. Other actions put the record back at its furthest checkpoint. Releasing holds that
-    `restore` names is upserted() on the holds.
+
+def decided(records: DataFrame, roles: DataFrame, jobs: DataFrame, decisions: DataFrame, assessments: DataFrame, holds: DataFrame, now: float, expiry_days: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Review decisions (application_id, action, reason), one a record: the next records, jobs and holds.
+
+    confirm_spam holds the document's hash and sends the record's jobs to the report; a record without hash or evidence
+    cannot be confirmed and stays as it is. Other actions put the record back at its furthest checkpoint under its
+    role's rubric: the report if it is assessed under that one, which also completes it, else its text or its download.
+    Its job for version and rubric starts again, or there is a new one. `restore` also ends the holds of the document.
+    holds: kind, identifier, reason, active, created, expires. Records that are not active are not decided on.
     """
     if isinstance(expiry_days, bool) or not 1 <= expiry_days <= 365:
         raise ValueError("a hold lasts 1 to 365 days")
     d = decisions.select(F.col("application_id").alias("_id"), "action", F.col("reason").alias("_reason"))
-    done = assessments.select(F.col("application_id").alias("_a"), F.col("version").alias("_av")).distinct()
-    joined = records.where("active").join(d, records.id == d["_id"]).join(done, (records.id == F.col("_a")) & (records.version == F.col("_av")), "left")
+    rubric = roles.select(F.col("id").alias("_role"), F.coalesce("rubric_id", F.lit(0)).alias("_rubric"))
+    done = assessments.select(F.col("application_id").alias("_a"), F.col("version").alias("_av"), F.col("rubric_id").alias("_ar")).distinct()
+    asked = records.where("active").join(d, records.id == d["_id"]).join(rubric, F.col("role_id") == F.col("_role"), "left").withColumn("_rubric", F.coalesce("_rubric", F.lit(0)))
+    joined = asked.join(done, (F.col("id") == F.col("_a")) & (F.col("version") == F.col("_av")) & (F.col("_rubric") == F.col("_ar")), "left")
     spam = F.col("action") == "confirm_spam"
     evidence = F.coalesce((F.col("hash") != "") & (F.size("review_evidence") > 0), F.lit(False))
-    acted = joined.where(~spam | evidence)
-    holds = acted.where(spam).select(F.lit("document").alias("kind"), F.col("hash").alias("identifier"), F.col("_reason").alias("reason"), F.lit(True).alias("active"), F.lit(now).alias("created"), F.lit(now + 86400.0 * expiry_days).alias("expires"))
     assessed = F.col("_a").isNotNull()
-    acts = acted.select(F.col("id").alias("_id"), spam.alias("_spam"), assessed.alias("_assessed"), F.concat(F.lit("HR-confirmed spam: "), "_reason").alias("_why"), F.when(spam, "report").otherwise(resumed_step(assessed, F.col("sections"))).alias("_step"))
-    hit = F.col("_spam").isNotNull()
-    nothing = F.lit(None)
-    next_records = updated_where(
-        records.join(acts, records.id == acts["_id"], "left"), hit,
-        status=F.when(F.col("_spam"), "review").when(F.col("_assessed"), "completed").otherwise("queued"),
-        review_reason=F.when(F.col("_spam"), F.col("_why")),
-        duplicate_of=F.when(F.col("_spam"), F.col("duplicate_of")).otherwise(nothing.cast(records.schema["duplicate_of"].dataType)),
-        index_status=F.when(F.col("_spam"), F.col("index_status")).otherwise("pending"),
-    ).select(*records.columns)
-    steps = acts.select(F.col("_id").alias("_job"), F.col("_step").alias("_next"))
-    next_jobs = updated_where(
-        jobs.join(steps, jobs.application_id == steps["_job"], "left"), F.col("_job").isNotNull() & (F.col("state") != "superseded"),
-        state=F.lit("queued"), step=F.col("_next"), generation=F.col("generation") + 1,
-    ).select(*jobs.columns)
-    return next_records, next_jobs, holds
-
-
-def activated(rubrics: DataFrame, roles: DataFrame, jobs: DataFrame, records: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Approved rubrics (id, role_id, body) come in force: they are added, the roles' jobs are superseded, and every
-    active record gets a new job from its text on, or from its download."""
+    acts = joined.where(~spam | evidence).select(
+        F.col("id").alias("_id"), spam.alias("_spam"), (F.col("action") == "restore").alias("_restore"), assessed.alias("_assessed"), F.col("version").alias("_version"), "_rubric", F.col("hash").alias("_hash"), "_reason",
+        F.concat(F.lit("HR-confirmed spam: "), "_reason").alias("_why"), resumed_step(assessed, F.col("sections")).alias("_step"),
+    )
+    own, nothing = F.col("_spam"), F.lit(None)
+    values = _if_there(
+        records, status=F.when(own, "review").when(F.col("_assessed"), "completed").otherwise("queued"), review_reason=F.when(own, F.col("_why")),
+        duplicate_of=F.when(own, F.col("duplicate_of")).otherwise(nothing), index_status=F.when(own, F.col("index_status")).otherwise("pending"),
+    )
+    again = _if_there(records, index_attempts=F.lit(0), index_next=F.lit(0.0), review_dismissed=F.lit(True))
+    values |= {c: F.when(own, F.col(c)).otherwise(v) for c, v in again.items()}
+    next_records = updated_where(records.join(acts, records.id == acts["_id"], "left"), own.isNotNull(), **values).select(*records.columns)
+    reported = acts.where("_spam").select(F.col("_id").alias("_job"))
+    sent = (F.col("_job").isNotNull()) & (F.col("state") != "superseded")
+    after_spam = updated_where(jobs.join(reported, jobs.application_id == reported["_job"], "left"), sent, state=F.lit("queued"), step=F.lit("report"), generation=F.col("generation") + 1).select(*jobs.columns)
+    next_jobs = _upserted_jobs(after_spam, acts.where("NOT _spam").select(F.col("_id").alias("application_id"), F.col("_version").alias("version"), F.col("_rubric").alias("rubric_id"), "_step"))
+    released = acts.where("_restore").select(F.lit("document").alias("_kind"), F.col("_hash").alias("_held")).distinct()
+    ended = updated_where(holds.join(released, (F.col("kind") == F.col("_kind")) & (F.col("identifier") == F.col("_held")), "left"), F.col("_held").isNotNull(), active=F.lit(False)).select(*holds.columns)
+    new = acts.where("_spam").select(F.lit("document").alias("kind"), F.col("_hash").alias("identifier"), F.col("_reason").alias("reason"), F.lit(True).alias("active"), F.lit(now).alias("created"), F.lit(now + 86400.0 * expiry_days).alias("expires"))
+    return next_records, next_jobs, ended.unionByName(new, allowMissingColumns=True)
+
+
+def activated(rubrics: DataFrame, roles: DataFrame, jobs: DataFrame, records: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Approved rubrics (id, role_id, body) come in force: the next rubrics, roles, jobs and records.
+
+    Rubrics are added (one that is there stays as it is), their roles take them and are paused no longer, the roles' jobs
+    are superseded, and every active record is queued again, as no duplicate and without a reason, with a new job from its
+    text on, or from its download; new jobs have no identifier yet. Of several new rubrics of a role the one with the largest id counts.
+    """
     fresh = new.join(rubrics.select("id"), "id", "left_anti")
     switch = fresh.groupBy("role_id").agg(F.max("id").alias("_rubric")).withColumnRenamed("role_id", "_role")
-    next_roles = updated_where(roles.join(switch, roles.id == F.col("_role"), "left"), F.col("_role").isNotNull(), rubric_id=F.col("_rubric")).select(*roles.columns)
-    of_role = records.where("active").join(switch, records.role_id == F.col("_role"))
-    touched = records.join(switch, records.role_id == F.col("_role"), "left_semi").select(F.col("id").alias("_id"))
-    old = updated_where(jobs.join(touched, jobs.application_id == touched["_id"], "left"), F.col("_id").isNotNull(), state=F.lit("superseded")).select(*jobs.columns)
-    made = of_role.select(F.col("id").alias("application_id"), "version", F.col("_rubric").alias("rubric_id"), F.lit("queued").alias("state"), resumed_step(F.lit(False), F.col("sections")).alias("step"))
-    blank = [F.lit(None).cast(jobs.schema[c].dataType).alias(c) for c in jobs.columns if c not in made.columns]
-    return rubrics.unionByName(fresh.select(*rubrics.columns)), next_roles, old.unionByName(made.select("*", *blank).select(*jobs.columns))
-
-
-def low_scores_to_review(records: DataFrame, assessments: DataFrame, threshold: float) -> DataFrame:
-    """M9: completed records whose current score lies below the threshold go to review, with the reason."""
+    next_roles = updated_where(roles.join(switch, roles.id == F.col("_role"), "left"), F.col("_role").isNotNull(), **_if_there(roles, rubric_id=F.col("_rubric"), paused=F.lit(False))).select(*roles.columns)
+    of_role = records.join(switch, records.role_id == F.col("_role")).select(F.col("id").alias("_id"), F.col("active").alias("_active"), F.col("version").alias("_version"), "_rubric", F.col("sections").alias("_text"))
+    queued = _if_there(records, status=F.lit("queued"), duplicate_of=F.lit(None), review_reason=F.lit(None))
+    next_records = updated_where(records.join(of_role.select("_id", "_active"), records.id == F.col("_id"), "left"), F.col("_active"), **queued).select(*records.columns)
+    old = updated_where(jobs.join(of_role.select("_id"), jobs.application_id == F.col("_id"), "left"), F.col("_id").isNotNull(), state=F.lit("superseded")).select(*jobs.columns)
+    wanted = of_role.where("_active").select(F.col("_id").alias("application_id"), F.col("_version").alias("version"), F.col("_rubric").alias("rubric_id"), resumed_step(F.lit(False), F.col("_text")).alias("step"))
+    made = wanted.join(jobs.select("application_id", "version", "rubric_id"), ["application_id", "version", "rubric_id"], "left_anti")
+    first = {c: F.col(c) for c in wanted.columns} | _if_there(jobs, state=F.lit("queued"), attempts=F.lit(0), next_try=F.lit(0.0), generation=F.lit(0))
+    every = made.select(*[first.get(c, F.lit(None).cast(jobs.schema[c].dataType)).alias(c) for c in jobs.columns])
+    return rubrics.unionByName(fresh.select(*rubrics.columns)), next_roles, old.unionByName(every), next_records
+
+
+def low_scores_to_review(records: DataFrame, roles: DataFrame, assessments: DataFrame, jobs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """M9: active, completed records whose score under their role's rubric lies below the threshold go to review, with the
+    reason, and their jobs that are not superseded to the report: the next records and jobs. Scores under other rubrics or
+    of other versions say nothing; a record has one row however many there are."""
     from sievework.functions.predicates import low_score_reason
 
-    scored = assessments.select(F.col("application_id").alias("_id"), F.col("version").alias("_v"), F.col("score").alias("_score"))
-    reason = low_score_reason(F.col("_score"), threshold)
-    joined = records.join(scored, (records.id == F.col("_id")) & (records.version == F.col("_v")), "left")
-    return updated_where(joined, (F.col("status") == "completed") & reason.isNotNull(), status=F.lit("review"), review_reason=reason).select(*records.columns)
+    rubric = roles.select(F.col("id").alias("_role"), F.col("rubric_id").alias("_rubric"))
+    scored = assessments.groupBy(F.col("application_id").alias("_a"), F.col("version").alias("_v"), F.col("rubric_id").alias("_r")).agg(F.min("score").alias("_score"))
+    completed = records.where("active AND status = 'completed'").select(F.col("id").alias("_id"), "role_id", "version")
+    current = completed.join(rubric, F.col("role_id") == F.col("_role")).join(scored, (F.col("_id") == F.col("_a")) & (F.col("version") == F.col("_v")) & (F.col("_rubric") == F.col("_r")))
+    low = current.select("_id", low_score_reason(F.col("_score"), threshold).alias("_why")).where("_why IS NOT NULL")
+    hit = F.col("_why").isNotNull()
+    next_records = updated_where(records.join(low, records.id == low["_id"], "left"), hit, status=F.lit("review"), review_reason=F.col("_why")).select(*records.columns)
+    sent = _if_there(jobs, step=F.lit("report"), state=F.lit("queued"), attempts=F.lit(0), next_try=F.lit(0.0), error=F.lit(None), error_at=F.lit(None))
+    next_jobs = updated_where(jobs.join(low, jobs.application_id == low["_id"], "left"), hit & (F.col("state") != "superseded"), **sent).select(*jobs.columns)
+    return next_records, next_jobs

@@ -89,10 +89,15 @@ def compared(records: DataFrame, question: str) -> DataFrame:
     named = records.where("name <> ''").select("id", F.lower("name").alias("n"), F.element_at(F.split(F.lower(F.trim("name")), r"\s+"), 1).alias("first"))
     whole = named.where(F.contains(low, F.col("n"))).select("id")
     lone = named.groupBy("first").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).where("k = 1")
-    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("first"), F.lit(r"\E(?!\w)"))
+    literal = F.replace(F.col("first"), F.lit(r"\E"), F.lit(r"\E\\E\Q"))  # a name may hold what ends a quotation
+    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), literal, F.lit(r"\E(?!\w)"))
     by_first = lone.where(F.rlike(low, quoted)).select("id")
-    none = whole.agg((F.count(F.lit(1)) == 0).alias("none"))  # one row
-    return whole.union(by_first.join(none, F.col("none")).select("id"))
+    return whole.union(by_first.join(_is_empty(whole), F.col("none")).select("id"))
+
+
+def _is_empty(ids: DataFrame) -> DataFrame:
+    """One row: whether there are none."""
+    return ids.agg((F.count(F.lit(1)) == 0).alias("none"))
 
 
 def _matching(spec: QuerySpec, frames: Frames) -> DataFrame | None:
@@ -118,18 +123,20 @@ def _matching(spec: QuerySpec, frames: Frames) -> DataFrame | None:
 def plan(spec: QuerySpec, frames: Frames) -> DataFrame:
     """Cards: id, name, status, score, rank, tie, link, place, in the order of the answer. See tie_beyond_limit() for ties."""
     out = frames.records.join(frames.ranking.select("id", "score", "rank", "tie"), "id", "left")
-    selected: DataFrame | Column | None = F.col("id").isin(*spec.selected) if spec.selected else None
     chosen = bool(spec.selected)
-    if not chosen and spec.ordinal:
-        out, chosen = out.where(F.col("rank") == spec.ordinal), True
-    elif chosen:
-        out = out.where(selected)
+    if chosen:
+        out = out.where(F.col("id").isin(*spec.selected))
     elif spec.compares:
-        ids = compared(frames.records, spec.question)
-        enough = ids.agg((F.count(F.lit(1)) >= 2).alias("enough"))  # one row
-        out, chosen = out.join(ids, "id", "left_semi").join(enough, F.col("enough")).drop("enough"), True
-    if spec.compares and spec.selected and len(spec.selected) < 2:
-        out = out.where(F.lit(False))
+        ids, chosen = compared(frames.records, spec.question), True
+        if spec.ordinal:  # who holds the rank is meant; names only if nobody does
+            there = frames.ranking.where(F.col("rank") == spec.ordinal).select("id").join(frames.records.select("id"), "id", "left_semi")
+            ids = there.union(ids.join(_is_empty(there), F.col("none")).select("id"))
+        out = out.join(ids, "id", "left_semi")
+    elif spec.ordinal:
+        out, chosen = out.where(F.col("rank") == spec.ordinal), True
+    if spec.compares:  # of fewer than two there is nothing to compare
+        enough = F.lit(len(set(spec.selected)) >= 2) if spec.selected else None
+        out = out.where(enough) if enough is not None else out.join(ids.agg((F.count(F.lit(1)) >= 2).alias("enough")), F.col("enough")).drop("enough")  # one row
     if spec.status:
         out = out.where(F.col("job_state") == "failed" if spec.status == "failed" else F.col("status") == spec.status)
     if not chosen and not spec.wants_list:
@@ -170,13 +177,22 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 8, scope: Column |
     return inside.withColumn("similarity", cosine(F.col(vector), q, norm(F.col(vector)), length)).orderBy(F.desc("similarity"), F.asc(ident)).limit(k)
 
 
-def answer(spec: QuerySpec, frames: Frames, embed=None, k: int = 8) -> tuple[DataFrame, DataFrame, str]:
-    """(cards, citations, mode). Nearest passages come in only if words found nothing and nothing structured was asked."""
+def in_scope(vectors: DataFrame, records: DataFrame, model: str | None = None) -> DataFrame:
+    """Vectors that may answer: of records that are there and no duplicates, of their present version if both frames
+    have one, and made by `model` if one is named."""
+    alive = records.where("duplicate_of IS NULL")
+    same = [c for c in ("version",) if c in vectors.columns and c in records.columns]
+    own = vectors.where(F.col("model") == model) if model is not None else vectors
+    return own.join(alive.select(F.col("id").alias("record_id"), *same), ["record_id", *same], "left_semi").select(*vectors.columns)
+
+
+def answer(spec: QuerySpec, frames: Frames, embed=None, k: int = 8, model: str | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """(cards, citations, mode). Nearest passages in scope come in only if words found nothing and nothing structured was asked."""
     cards = plan(spec, frames)
     if spec.structured or embed is None or frames.vectors is None or cards.limit(1).count():
         mode = "database scores and cited findings" if spec.structured else f"all extracted CVs: exact terms, {'OR' if spec.any_term else 'AND'} match"
         return cards, citations(spec, cards, frames), mode
-    found = nearest(frames.vectors, embed(spec.question), k)
+    found = nearest(in_scope(frames.vectors, frames.records, model), embed(spec.question), k)
     near = found.groupBy("record_id").agg(F.max("similarity").alias("best"))
     cards = near.join(frames.records, near.record_id == frames.records.id).join(frames.ranking.select("id", "score", "rank", "tie"), "id", "left")
     named = cards.orderBy(F.desc("best"), "id").select("id", F.coalesce(F.when(F.col("name") != "", F.col("name")), F.lit("Name not provided")).alias("name"), "status", "score", "rank", F.coalesce("tie", F.lit(False)).alias("tie"), source_link("file_id").alias("link"))

@@ -398,17 +398,29 @@ def answer_top_three(spark: SparkSession, sf: str) -> DataFrame:
     return S.plan(S.parse_question("Show the top three"), _frames(spark, sf))
 
 
-@query(f"{_CARDS} WHERE r.id IN (12, 13)")
+@query(f"{_CARDS} WHERE contains('compare name 12 with name 13', 'name ' || r.id)")
 def answer_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """A comparison of records named in full; 1 is in "Name 12", so its name is too."""
+    """A comparison of records named in full; 1 is in "Name 12", so its name is too."""
+    return S.plan(S.parse_question("compare Name 12 with Name 13"), _frames(spark, sf))
+
+
+@query(f"{_CARDS} WHERE r.id IN (12, 13)")
+def answer_selected(spark: SparkSession, sf: str) -> DataFrame:
+    """A comparison of records that are chosen by their identifiers."""
     return S.plan(S.parse_question("compare 12 and 13", selected=(12, 13)), _frames(spark, sf))
 
 
+@query(f"{_CARDS} WHERE k.rank = 2 AND (SELECT count(*) FROM r JOIN k ON r.id = k.id WHERE k.rank = 2) > 1")
+def answer_compare_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    """A comparison of those that share a rank; of one there is none."""
+    return S.plan(S.parse_question("Compare the second in rank"), _frames(spark, sf))
+
+
 @query(_CARDS.replace(" FROM r LEFT JOIN k", ", 'semantic excerpt suggestions' AS mode FROM r LEFT JOIN k") + """
-JOIN (SELECT vec_id FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
+JOIN (SELECT vec_id FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) WHERE vec_id IN (SELECT id FROM r WHERE NOT dup)
       ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, 'v' || vec_id LIMIT 8) n ON n.vec_id = r.id""")
 def answer_semantic(spark: SparkSession, sf: str) -> DataFrame:
-    """Words find nothing, so the nearest vectors answer."""
+    """Words find nothing, so the nearest vectors of records in scope answer; those of duplicates do not."""
     frames = _frames(spark, sf)
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("record_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("section_id"), F.lit("").alias("location"), F.lit("").alias("text"), "embedding")
     q = list(table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0])
@@ -418,7 +430,7 @@ def answer_semantic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT vec_id FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
+WITH n AS (SELECT vec_id FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 9 <> 0)
   ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, 'v' || vec_id LIMIT 8)
 SELECT 'c' || row_number() OVER (ORDER BY 'v' || vec_id) AS citation_id, vec_id AS record_id, 'v' || vec_id AS section_id, 'place ' || vec_id AS location FROM n""")
 def answer_citations(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,8 +14,8 @@ from sievework.sources import readers
 from sievework.streaming import jobs
 
 
-def _workflow(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents as records with a job each, and which of them are assessed."""
+def _workflow(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents as records of roles with one rubric or the other, most with a job, some assessed under either; roles last."""
     d = F.col("doc_id")
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
     records = docs.select(
@@ -23,36 +23,79 @@ def _workflow(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
         F.when(d % 7 == 0, F.lit(1).cast("long")).alias("duplicate_of"), F.when(d % 4 != 0, d.cast("string")).alias("hash"), F.when(d % 5 != 1, "text").alias("sections"), F.lit("low score").alias("review_reason"),
         F.when(d % 5 != 0, F.array(F.lit("quote"))).otherwise(F.array().cast("array<string>")).alias("review_evidence"), F.lit("ready").alias("index_status"),
     )
-    work = docs.select(d.alias("id"), d.alias("application_id"), F.lit("v").alias("version"), F.lit(9).alias("rubric_id"), F.when(d % 11 == 0, "superseded").otherwise("done").alias("state"), F.lit("done").alias("step"), F.lit(0).alias("generation"))
-    return records, work, docs.where("doc_id % 3 = 1").select(d.alias("application_id"), F.lit("v").alias("version"))
+    work = docs.where("doc_id % 13 <> 0").select(d.alias("id"), d.alias("application_id"), F.lit("v").alias("version"), F.lit(9).alias("rubric_id"), F.when(d % 11 == 0, "superseded").otherwise("done").alias("state"), F.lit("done").alias("step"), F.lit(3).alias("attempts"), F.lit(0).alias("generation"))
+    assessed = docs.where("doc_id % 3 <> 0").select(d.alias("application_id"), F.lit("v").alias("version"), F.when(d % 3 == 1, 9).otherwise(8).alias("rubric_id"))
+    roles = records.select("role_id").distinct().select(F.col("role_id").alias("id"), F.when(F.col("role_id") % 2 == 0, 9).otherwise(8).alias("rubric_id"), (F.col("role_id") == 2).alias("paused"))
+    return records, work, assessed, roles
 
 
-@query("""
-WITH r AS (SELECT doc_id AS id, lang <> 'fr' AS active, doc_id % 6 AS k, doc_id % 4 <> 0 AND doc_id % 5 <> 0 AS evidence, doc_id % 3 = 1 AS assessed, doc_id % 5 <> 1 AS sections, doc_id % 11 = 0 AS over FROM documents),
-a AS (SELECT *, active AND k <= 2 AND (k <> 0 OR evidence) AS acts, CASE WHEN k = 0 THEN 'report' WHEN assessed THEN 'report' WHEN sections THEN 'assess' ELSE 'download' END AS next FROM r)
+def _decided(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    records, work, assessed, roles = _workflow(spark, sf)
+    k = F.col("id") % 6
+    decisions = records.where(k <= 2).select(F.col("id").alias("application_id"), F.when(k == 0, "confirm_spam").when(k == 1, "restore").otherwise("retry").alias("action"), F.lit("why").alias("reason"))
+    holds = records.where("id % 10 = 3 AND hash IS NOT NULL").select(F.lit("document").alias("kind"), F.col("hash").alias("identifier"), F.lit("old").alias("reason"), F.lit(True).alias("active"), F.lit(1.0).alias("created"), F.lit(2000.0).alias("expires"))
+    return C.decided(records, roles, work, decisions, assessed, holds, 1000.0)
+
+
+_DECIDED = """
+WITH r AS (SELECT doc_id AS id, lang <> 'fr' AS active, doc_id % 6 AS k, doc_id % 4 <> 0 AND doc_id % 5 <> 0 AS evidence, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 2 AS odd,
+  doc_id % 3 = CASE WHEN CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 2 = 0 THEN 1 ELSE 2 END AS assessed, doc_id % 5 <> 1 AS sections, doc_id % 11 = 0 AS over, doc_id % 13 <> 0 AS job FROM documents),
+a AS (SELECT *, active AND k <= 2 AND (k <> 0 OR evidence) AS acts, CASE WHEN assessed THEN 'report' WHEN sections THEN 'assess' ELSE 'download' END AS next FROM r)"""
+
+
+@query(_DECIDED + """
 SELECT id, CASE WHEN NOT acts OR k = 0 THEN 'review' WHEN assessed THEN 'completed' ELSE 'queued' END AS status, CASE WHEN NOT acts THEN 'low score' WHEN k = 0 THEN 'HR-confirmed spam: why' END AS review_reason,
-       CASE WHEN acts AND NOT over THEN next ELSE 'done' END AS step, CAST(CASE WHEN acts AND NOT over THEN 1 ELSE 0 END AS INTEGER) AS generation, acts AND k = 0 AS held FROM a""")
+       CASE WHEN acts AND k > 0 THEN 'pending' ELSE 'ready' END AS index_status, CASE WHEN id % 7 = 0 AND NOT (acts AND k > 0) THEN 1 END AS duplicate_of FROM a""")
 def review_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Spam is held, the rest goes on from its furthest checkpoint."""
-    records, work, done = _workflow(spark, sf)
-    k = F.col("id") % 6
-    decisions = records.where(k <= 2).select(F.col("id").alias("application_id"), F.when(k == 0, "confirm_spam").when(k == 1, "dismiss").otherwise("retry").alias("action"), F.lit("why").alias("reason"))
-    after, jobs_after, holds = C.decided(records, work, decisions, done, 1000.0)
-    held = holds.select(F.col("identifier").cast("long").alias("id"), F.lit(True).alias("held"))
-    return after.select("id", "status", "review_reason").join(jobs_after.select("id", "step", "generation"), "id").join(held, "id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    """Spam is held, the rest goes on from its furthest checkpoint under its role's rubric."""
+    return _decided(spark, sf)[0].select("id", "status", "review_reason", "index_status", F.col("duplicate_of").cast("int").alias("duplicate_of"))
 
 
-@query("""
-WITH r AS (SELECT doc_id, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS role, lang <> 'fr' AS active, doc_id % 5 <> 1 AS sections, doc_id % 11 = 0 AS over FROM documents)
-SELECT doc_id AS application_id, 9 AS rubric_id, CASE WHEN role < 5 OR over THEN 'superseded' ELSE 'done' END AS state, 'done' AS step FROM r
-UNION ALL SELECT doc_id, 100 + role, 'queued', CASE WHEN sections THEN 'assess' ELSE 'download' END FROM r WHERE role < 5 AND active""")
+@query(_DECIDED + """
+SELECT id AS application_id, 9 AS rubric_id, CASE WHEN acts AND (k > 0 AND odd = 0 OR k = 0 AND NOT over) THEN 'queued' WHEN over THEN 'superseded' ELSE 'done' END AS state,
+  CASE WHEN acts AND k > 0 AND odd = 0 THEN next WHEN acts AND k = 0 AND NOT over THEN 'report' ELSE 'done' END AS step, CASE WHEN acts AND k > 0 AND odd = 0 THEN 0 ELSE 3 END AS attempts,
+  CASE WHEN acts AND (k > 0 AND odd = 0 OR k = 0 AND NOT over) THEN 1 ELSE 0 END AS generation FROM a WHERE job
+UNION ALL SELECT id, CASE WHEN odd = 0 THEN 9 ELSE 8 END, 'queued', next, 0, 0 FROM a WHERE acts AND k > 0 AND (odd = 1 OR NOT job)""")
+def decided_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs start again, go to the report, or are made where there were none."""
+    return _decided(spark, sf)[1].select("application_id", "rubric_id", "state", "step", "attempts", "generation")
+
+
+@query(_DECIDED + """
+SELECT CAST(id AS VARCHAR) AS identifier, 'old' AS reason, NOT (acts AND k = 1) AS active, 2000.0::DOUBLE AS expires FROM a WHERE id % 10 = 3 AND id % 4 <> 0
+UNION ALL SELECT CAST(id AS VARCHAR), 'why', true, 1000.0 + 86400 * 90 FROM a WHERE acts AND k = 0""")
+def decided_holds(spark: SparkSession, sf: str) -> DataFrame:
+    """Holds that are ended and made."""
+    return _decided(spark, sf)[2].select("identifier", "reason", "active", "expires")
+
+
+def _activated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    records, work, _, roles = _workflow(spark, sf)
+    new = roles.where("id < 5").select((F.col("id") + 100).alias("id"), F.col("id").alias("role_id"), F.lit("body").alias("body"))
+    known = roles.where("id = 1").select((F.col("id") + 100).alias("id"), F.col("id").alias("role_id"), F.lit("old").alias("body"))  # one is in force
+    return C.activated(known, roles, work, records, new)
+
+
+_ACTIVATED = """
+WITH r AS (SELECT doc_id, CAST(regexp_extract(source, '[0-9]+') AS INTEGER) AS role, lang <> 'fr' AS active, doc_id % 5 <> 1 AS sections, doc_id % 11 = 0 AS over FROM documents)"""
+
+
+@query(_ACTIVATED + """
+SELECT doc_id AS application_id, 9 AS rubric_id, CASE WHEN role < 5 AND role <> 1 OR over THEN 'superseded' ELSE 'done' END AS state, 'done' AS step FROM r WHERE doc_id % 13 <> 0
+UNION ALL SELECT doc_id, 100 + role, 'queued', CASE WHEN sections THEN 'assess' ELSE 'download' END FROM r WHERE role < 5 AND role <> 1 AND active""")
 def rubric_activation(spark: SparkSession, sf: str) -> DataFrame:
-    """The jobs after new rubrics come in force for five roles."""
-    records, work, _ = _workflow(spark, sf)
-    new = spark.range(5).select((F.col("id") + 100).cast("int").alias("id"), F.col("id").cast("int").alias("role_id"), F.lit("body").alias("body"))
-    roles = spark.range(20).select(F.col("id").cast("int").alias("id"), F.lit(9).alias("rubric_id"))
-    after = C.activated(new.limit(0), roles, work, records, new)[2]
-    return after.select("application_id", "rubric_id", "state", "step")
+    """The jobs after new rubrics come in force for some roles."""
+    return _activated(spark, sf)[2].select("application_id", "rubric_id", "state", "step")
+
+
+@query(_ACTIVATED + """
+SELECT doc_id AS id, role AS role_id, CASE WHEN hit AND active THEN 'queued' ELSE 'review' END AS status, CASE WHEN NOT (hit AND active) THEN 'low score' END AS review_reason, doc_id % 7 = 0 AND NOT (hit AND active) AS duplicate,
+  CASE WHEN hit THEN 100 + role WHEN role % 2 = 0 THEN 9 ELSE 8 END AS rubric_id, role = 2 AND NOT hit AS paused FROM (SELECT *, role < 5 AND role <> 1 AS hit FROM r)""")
+def activated_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records are queued again, and their roles have the new rubric and go on."""
+    _, roles, _, records = _activated(spark, sf)
+    own = roles.select(F.col("id").alias("role_id"), "rubric_id", "paused")
+    return records.join(own, "role_id").select("id", "role_id", "status", "review_reason", F.col("duplicate_of").isNotNull().alias("duplicate"), "rubric_id", "paused")
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")

@@ -13,6 +13,7 @@ from sievework.operators import chunking as K
 from sievework.operators import joins as J
 from sievework.operators import quality as Q
 from sievework.operators import ranking as R
+from sievework.functions.text import general_number
 from sievework.operators import search as S
 
 
@@ -155,27 +156,57 @@ RECORD = "id int, role_id int, version string, status string, active boolean, du
 
 
 def test_decisions(spark):
-    records = spark.createDataFrame([(1, 1, "v", "review", True, None, "h", "t", None, ["q"], "ready"), (2, 1, "v", "review", True, 1, "h2", "t", "r", [], "ready"), (3, 1, "v", "review", True, None, "h3", None, None, [], "ready"), (4, 1, "v", "review", True, None, "h4", "t", None, [], "ready")], RECORD)
-    jobs = spark.createDataFrame([(i, i, "v", 9, "done", "done", 0) for i in (1, 2, 3, 4)], "id int, application_id int, version string, rubric_id int, state string, step string, generation int")
-    decisions = spark.createDataFrame([(1, "confirm_spam", "why"), (2, "dismiss", "ok"), (3, "retry", "ok"), (4, "confirm_spam", "no evidence")], "application_id int, action string, reason string")
-    done = spark.createDataFrame([(2, "v")], "application_id int, version string")
-    after, work, holds = C.decided(records, jobs, decisions, done, 1000.0)
-    assert rows(after.select("id", "status", "duplicate_of", "index_status"), "id") == [(1, "review", None, "ready"), (2, "completed", None, "pending"), (3, "queued", None, "pending"), (4, "review", None, "ready")]
-    assert rows(work.select("id", "state", "step", "generation"), "id") == [(1, "queued", "report", 1), (2, "queued", "report", 1), (3, "queued", "download", 1), (4, "done", "done", 0)]
-    assert rows(holds.select("identifier", "expires")) == [("h", 1000.0 + 90 * 86400)]
+    records = spark.createDataFrame([(1, 1, "v", "review", True, None, "h", "t", None, ["q"], "ready"), (2, 1, "v", "review", True, 1, "h2", "t", "r", [], "ready"), (3, 1, "v", "review", True, None, "h3", None, None, [], "ready"), (4, 1, "v", "review", True, None, "h4", "t", None, [], "ready"), (5, 2, "v", "review", True, None, "h5", "t", None, [], "ready"), (6, None, "v", "review", True, None, "h6", "t", None, [], "ready")], RECORD)
+    roles = spark.createDataFrame([(1, 9), (2, 8)], "id int, rubric_id int")
+    jobs = spark.createDataFrame([(i, i, "v", 9, "done", "done", 4, 0) for i in (1, 2, 3, 4, 5)], "id int, application_id int, version string, rubric_id int, state string, step string, attempts int, generation int")
+    decisions = spark.createDataFrame([(1, "confirm_spam", "why"), (2, "dismiss", "ok"), (3, "retry", "ok"), (4, "confirm_spam", "no evidence"), (5, "restore", "ok"), (6, "retry", "ok")], "application_id int, action string, reason string")
+    done = spark.createDataFrame([(2, "v", 9), (2, "v", 8), (5, "v", 9)], "application_id int, version string, rubric_id int")
+    old = spark.createDataFrame([("document", "h5", "x", True, 0.0, 9.0), ("document", "h2", "x", True, 0.0, 9.0)], "kind string, identifier string, reason string, active boolean, created double, expires double")
+    after, work, holds = C.decided(records, roles, jobs, decisions, done, old, 1000.0)
+    assert rows(after.select("id", "status", "duplicate_of", "index_status"), "id") == [(1, "review", None, "ready"), (2, "completed", None, "pending"), (3, "queued", None, "pending"), (4, "review", None, "ready"), (5, "queued", None, "pending"), (6, "queued", None, "pending")]
+    # 5 is assessed under another rubric than its role's: a job for that one is made; 6 has no role, hence no rubric.
+    assert rows(work.select("application_id", "rubric_id", "state", "step", "attempts", "generation"), "application_id", "rubric_id") == [(1, 9, "queued", "report", 4, 1), (2, 9, "queued", "report", 0, 1), (3, 9, "queued", "download", 0, 1), (4, 9, "done", "done", 4, 0), (5, 8, "queued", "assess", 0, 0), (5, 9, "done", "done", 4, 0), (6, 0, "queued", "assess", 0, 0)]
+    assert rows(holds.select("identifier", "active", "expires"), "identifier") == [("h", True, 1000.0 + 90 * 86400), ("h2", True, 9.0), ("h5", False, 9.0)]
     with pytest.raises(ValueError):
-        C.decided(records, jobs, decisions, done, 0.0, 0)
+        C.decided(records, roles, jobs, decisions, done, old, 0.0, 0)
 
 
 def test_activation(spark):
     rubrics = spark.createDataFrame([(1, 1, "a")], "id int, role_id int, body string")
     new = spark.createDataFrame([(2, 1, "b"), (1, 1, "x")], "id int, role_id int, body string")
-    roles = spark.createDataFrame([(1, 1), (2, 1)], "id int, rubric_id int")
-    records = spark.createDataFrame([(1, 1, "v", True, "t"), (2, 2, "v", True, "t"), (3, 1, "v", True, None), (4, 1, "v", False, "t")], "id int, role_id int, version string, active boolean, sections string")
-    jobs = spark.createDataFrame([(1, 1, "v", 1, "done", "done"), (2, 2, "v", 1, "done", "done")], "id int, application_id int, version string, rubric_id int, state string, step string")
-    a, b, c = C.activated(rubrics, roles, jobs, records, new)
-    assert rows(a, "id") == [(1, 1, "a"), (2, 1, "b")] and rows(b, "id") == [(1, 2), (2, 1)]
-    assert rows(c.select("application_id", "rubric_id", "state", "step"), "application_id", "rubric_id") == [(1, 1, "superseded", "done"), (1, 2, "queued", "assess"), (2, 1, "done", "done"), (3, 2, "queued", "download")]
+    roles = spark.createDataFrame([(1, 1, True), (2, 1, True)], "id int, rubric_id int, paused boolean")
+    records = spark.createDataFrame([(1, 1, "v", True, "t", "review", 9, "r"), (2, 2, "v", True, "t", "review", 9, "r"), (3, 1, "v", True, None, "done", None, None), (4, 1, "v", False, "t", "review", 9, "r")], "id int, role_id int, version string, active boolean, sections string, status string, duplicate_of int, review_reason string")
+    jobs = spark.createDataFrame([(1, 1, "v", 1, "done", "done"), (2, 2, "v", 1, "done", "done"), (3, 4, "v", 1, "done", "done")], "id int, application_id int, version string, rubric_id int, state string, step string")
+    a, b, c, d = C.activated(rubrics, roles, jobs, records, new)
+    assert rows(a, "id") == [(1, 1, "a"), (2, 1, "b")] and rows(b, "id") == [(1, 2, False), (2, 1, True)]
+    assert rows(c.select("application_id", "rubric_id", "state", "step"), "application_id", "rubric_id") == [(1, 1, "superseded", "done"), (1, 2, "queued", "assess"), (2, 1, "done", "done"), (3, 2, "queued", "download"), (4, 1, "superseded", "done")]
+    assert rows(d.select("id", "status", "duplicate_of", "review_reason"), "id") == [(1, "queued", None, None), (2, "review", 9, "r"), (3, "queued", None, None), (4, "review", 9, "r")]
+
+
+def test_low_scores_of_two_rubrics(spark):
+    records = spark.createDataFrame([(i, 1, "v", True, "completed", None) for i in (1, 2, 3)] + [(4, 1, "v", False, "completed", None)], "id int, role_id int, version string, active boolean, status string, review_reason string")
+    roles = spark.createDataFrame([(1, 7)], "id int, rubric_id int")
+    scored = spark.createDataFrame([(1, "v", 6, 3.0), (1, "v", 7, 90.0), (2, "v", 6, 90.0), (2, "v", 7, 12.25), (3, "u", 7, 1.0), (4, "v", 7, 1.0)], "application_id int, version string, rubric_id int, score double")
+    jobs = spark.createDataFrame([(i, "done", "done", 2) for i in (1, 2, 3, 4)] + [(2, "superseded", "done", 2)], "application_id int, state string, step string, attempts int")
+    after, work = C.low_scores_to_review(records, roles, scored, jobs, 25)
+    assert rows(after.select("id", "status"), "id") == [(1, "completed"), (2, "review"), (3, "completed"), (4, "completed")]
+    assert "12.25/100 is below the 25/100" in after.where("id = 2").first()["review_reason"]
+    assert rows(work, "application_id", "state") == [(1, "done", "done", 2), (2, "queued", "report", 0), (2, "superseded", "done", 2), (3, "done", "done", 2), (4, "done", "done", 2)]
+
+
+def test_null_keys_are_equal(spark):
+    start = spark.createDataFrame([(None, "a"), (1, "b")], "k int, v string")
+    change = spark.createDataFrame([(None, "c"), (2, "d")], "k int, v string")
+    once = C.upserted(start, change, ["k"])
+    assert rows(C.upserted(once, change, ["k"]), "k") == [(None, "c"), (1, "b"), (2, "d")]
+    assert rows(C.inserted_if_absent(start, change, ["k"]), "k") == [(None, "a"), (1, "b"), (2, "d")]
+    assert rows(C.replaced(start, change, ["k"]), "k") == [(None, "c"), (1, "b"), (2, "d")]
+
+
+def test_general_numbers(spark):
+    values = [0.0, 1.0, 25.5, 1234.5678, 100000.0, 123456.7, 999999.9, 1234567.0, 0.5, 0.012345678, 0.0001, 0.00001234, -3.25, 66.6667]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", general_number(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got] == [f"{v:g}" for v in values]
 
 
 def test_quotes(spark):
@@ -252,7 +283,7 @@ def frames(spark):
     ("question", "ids"),
     [
         ("List all applicants", [1, 2, 3, 4]), ("duplicate", [2]), ("python or sql", [1, 3]), ("python and sql", [1]), ("python supported", [1]), ("python partial", [3]), ("rank", [1, 3]),
-        ("first in rank", [1]), ("third in rank", []), ("failed", [4]), ("compare Bob and Ann", []), ("compare Ann Lee with Bob Ray", [1, 3, 2]), ("cobol", []), ("top 3", [1, 3]),
+        ("first in rank", [1]), ("third in rank", []), ("failed", [4]), ("compare Bob and Ann", []), ("compare Ann Lee with Bob Ray", [1, 3, 2]), ("compare the first in rank", []), ("compare the third in rank: Ann Lee, Bob Ray", [1, 3, 2]), ("cobol", []), ("top 3", [1, 3]),
     ],
 )
 def test_answers(frames, question, ids):
@@ -262,6 +293,21 @@ def test_answers(frames, question, ids):
     assert [r.id for r in S.plan(spec, frames).collect()] == ids
 
 
+def test_compared_names_are_literal(spark):
+    records = spark.createDataFrame([(1, r"A\Eb One"), (2, "Bo.* Two"), (3, ""), (4, "b.* Ann")], "id int, name string")
+    assert rows(S.compared(records, r"compare a\eb with bo.* "), "id") == [(1,), (2,)]
+    assert rows(S.compared(records, "compare bo with bob"), "id") == []
+
+
+def test_fallback_keeps_to_its_scope(frames):
+    more = frames.vectors.sparkSession.createDataFrame([(2, "s1", "p1", "a duplicate's", [0.1, 1.0]), (77, "s1", "p1", "nobody's", [0.1, 1.0])], frames.vectors.schema)
+    wide = S.Frames(frames.records, frames.sections, frames.ranking, vectors=frames.vectors.unionByName(more))
+    cards, cited, _ = S.answer(S.parse_question("cobol"), wide, lambda _: [0.1, 1.0], k=2)
+    assert [r.id for r in cards.collect()] == [3, 1] and cited.count() == 2
+    versions = S.in_scope(wide.vectors.withColumn("version", F.when(F.col("record_id") == 3, "old").otherwise("v")).withColumn("model", F.lit("m")), frames.records.withColumn("version", F.lit("v")), "m")
+    assert rows(versions.select("record_id"), "record_id") == [(1,)]
+
+
 def test_citations_and_fallback(frames):
     spec = S.parse_question("python or sql")
     cards, cited, mode = S.answer(spec, frames)
