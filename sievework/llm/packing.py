@@ -166,27 +166,55 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return pack(stored(token_pieces(df, id_col, text_col, capacity=capacity, ranks_path=ranks_path, with_ids=with_ids), "pieces"), capacity=capacity)
 
 
-#: Places are ranked in ranges of so many, so that no task sees all pieces of a length.
-_RANGE = 13
+#: Places are ranked in ranges of so many, and ranges in stretches of so many (as powers of two), so that no task sees all pieces of a length.
+_RANGE, _STRETCH = 13, 13
+#: Names of so many files may be sent to every task, some 100 bytes each.
+_MOST_FILES = 1 << 17
 
 
 def _rank_by_place(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    """0-based rank within `key`, gapless, by `order`, which starts with the long `place`: ranks start where the counts of the ranges before end."""
+    """0-based rank within `key`, gapless, by `order`, which starts with the long `place`: ranks start where the counts of the
+    ranges before end, in their stretch, and a stretch starts where the counts of the stretches before end."""
     dealt = df.withColumn("_range", F.shiftright("place", _RANGE))
-    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(key, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col(key).alias("_key"), F.col("_range").alias("_r"), "_start")
+    stretch = F.shiftright("_range", _STRETCH)
+    counts = dealt.groupBy(key, "_range").agg(F.count("*").alias("_n")).withColumn("_stretch", stretch)
+    before = Window.partitionBy(key, "_stretch").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.withColumn("_in", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    earlier = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(key, "_stretch").agg(F.sum("_n").alias("_s")).select(F.col(key).alias("_k"), F.col("_stretch").alias("_t"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_to"))
+    starts = within.join(sums, (F.col(key) == F.col("_k")) & (F.col("_stretch") == F.col("_t"))).select(F.col(key).alias("_key"), F.col("_range").alias("_r"), (F.col("_to") + F.col("_in")).alias("_start"))
     ranked = dealt.withColumn("_row", F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)))
     return ranked.join(starts, (F.col(key) == F.col("_key")) & (F.col("_range") == F.col("_r"))).withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_range", "_row", "_key", "_r", "_start")
 
 
+def with_place(df: DataFrame) -> DataFrame:
+    """The rows of a Parquet table with `place`, a long of its own for each: the order of its files, and of rows in a file.
+
+    Files are in the order of the part and then the chunk number in their names (`part-3-..-c001`), as one write gives
+    them; files with the same ones, as several writes have, or without any (these last) are in the order of their paths.
+    """
+    file = F.col("_metadata.file_path")
+    name = F.element_at(F.split("_file", "/"), -1)
+    part, chunk = (F.regexp_extract(name, p, 1).try_cast("long") for p in (r"^part-(\d+)", r"-c(\d+)(?:\.|$)"))
+    files = df.select(file.alias("_file")).distinct()
+    order = Window.orderBy(part.asc_nulls_last(), chunk.asc_nulls_last(), "_file")  # a row a file
+    files = stored(files.select("_file", (F.row_number().over(order) - 1).cast("long").alias("_number")), "files")
+    placed = F.broadcast(files) if files.count() <= _MOST_FILES else files
+    rows = df.select("*", file.alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    return rows.join(placed, F.col("_path") == F.col("_file")).withColumn("place", F.shiftleft("_number", 40) + F.col("_row")).drop("_path", "_row", "_file", "_number")
+
+
 def pack_in_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
-    """pack_documents() of a Parquet table in the order of its files and rows: pieces of a length take the plan's slots
-    in that order, and sequences are numbered by the first piece in each. Pieces come with their ids (bytes of
-    little-endian unsigned 32-bit numbers), which are joined to
-    their places at the end and take no part in the shuffles before."""
-    place = F.shiftleft(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), 40) + F.col("_metadata.row_index")
-    own = df.select(F.col(id_col).cast("long"), F.col(text_col), place.alias("place"))
-    whole = stored(own.mapInArrow(_tokenise(ranks_path or default_ranks(), capacity, True, True), _PIECES + ", ids binary, place long"), "pieces")
+    """pack_documents() of a Parquet table in the order of its files and rows, see with_place(): pieces of a length take the
+    plan's slots in that order, and sequences are numbered by the first piece in each.
+
+    Pieces come with their ids (bytes of little-endian unsigned 32-bit numbers), which are joined to their places at the
+    end and take no part in the shuffles before. A null text is empty, a null identifier is kept, a repeated row is packed
+    again; only the two columns are read, whatever others are called. An empty table gives an empty result. However a
+    table's rows are dealt to files, each row is packed once.
+    """
+    placed = with_place(df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), "_metadata"))
+    whole = stored(placed.select("_id", "_text", "place").mapInArrow(_tokenise(ranks_path or default_ranks(), capacity, True, True), _PIECES + ", ids binary, place long"), "pieces")
     pieces = whole.select("place", "piece", "length")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = df.sparkSession.createDataFrame(best_fit_plan(histogram, capacity)[0], "_length int, _first long, _number long, _bin long, _offset long")
