@@ -106,9 +106,9 @@ def with_next_revision(df: DataFrame, key: str, revision: str) -> DataFrame:
 
 
 def failed_attempt(jobs: DataFrame, now: Column, base: float = 15, most: int = 5) -> DataFrame:
-    """R5, A.6: one more failed attempt for each row: its state and when it may run again. The wait grows with the attempts before."""
+    """R5, A.6: one more failed attempt for each row: its state and when it may run again, base * 2^n after the n-th."""
     n = F.col("attempts") + 1
-    return jobs.withColumn("state", retry_state(n, most)).withColumn("next_try", now + backoff_seconds(F.col("attempts"), base)).withColumn("attempts", n)
+    return jobs.withColumn("state", retry_state(n, most)).withColumn("next_try", now + backoff_seconds(n, base)).withColumn("attempts", n)
 
 
 def fenced(results: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def due_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 7 + 1 >= 5 THEN 'failed' ELSE 'retry' END AS state, event_id % 7 + 1 AS attempts, 1000 + least(3600.0::DOUBLE, 15 * pow(2.0, event_id % 7)) AS next_try
+SELECT event_id, CASE WHEN event_id % 7 + 1 >= 5 THEN 'failed' ELSE 'retry' END AS state, event_id % 7 + 1 AS attempts, 1000 + least(3600.0::DOUBLE, 15 * pow(2.0, event_id % 7 + 1)) AS next_try
 FROM events WHERE event_type = 'error'""")
 def failed_attempts(spark: SparkSession, sf: str) -> DataFrame:
     """R5."""

@@ -11,6 +11,7 @@ from sievework.operators import quality as Q
 from sievework.plans.registry import query
 from sievework.plans.session import table, workspace
 from sievework.sources import readers
+from sievework.streaming import job_states as JS
 from sievework.streaming import jobs
 
 
@@ -164,3 +165,39 @@ def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
     stream = jobs.watched(spark, f"{sf}/events.parquet*", events.schema)
     stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return merged.read()
+
+
+#: Of an event: the job's generation, now and then an old one, and what it says.
+_KIND = "CASE WHEN event_type = 'purchase' THEN 'ok' WHEN event_type = 'view' AND event_id % 10 = 0 THEN 'done' WHEN event_type = 'view' THEN 'seen' ELSE 'error' END"
+
+
+@query(f"""
+WITH RECURSIVE e AS (
+  SELECT user_id AS job, epoch_us(ts) // 1000 AS ms, {_KIND} AS kind, day(ts) // 10 - CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS gen, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+f AS (
+  SELECT DISTINCT job, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS gen, 'queued' AS state, 0 AS attempts, CAST(0 AS BIGINT) AS next_try, CAST(0 AS BIGINT) AS fired, CAST(0 AS BIGINT) AS stale FROM e
+  UNION ALL
+  SELECT job, n, g, CASE WHEN old OR s IN ('failed', 'done') THEN s WHEN kind = 'error' THEN CASE WHEN a + 1 >= 5 THEN 'failed' ELSE 'retry' END WHEN kind = 'ok' THEN 'queued' WHEN kind = 'done' THEN 'done' ELSE s END,
+    CASE WHEN old OR s IN ('failed', 'done') THEN a WHEN kind = 'error' THEN a + 1 WHEN kind = 'ok' THEN 0 ELSE a END,
+    CASE WHEN old OR s IN ('failed', 'done') THEN t WHEN kind = 'error' THEN ms + CAST(1000 * least(3600, 15 * pow(2, a + 1)) AS BIGINT) WHEN kind = 'ok' THEN 0 ELSE t END, fired, stale
+  FROM (
+    SELECT job, n, ms, kind, old, greatest(gen, new_gen) AS g, CASE WHEN new_gen > gen THEN 'queued' WHEN due THEN 'queued' ELSE state END AS s, CASE WHEN new_gen > gen THEN 0 ELSE attempts END AS a, CASE WHEN new_gen > gen THEN 0 ELSE next_try END AS t,
+      fired + CAST(due AS BIGINT) AS fired, stale + CAST(old AS BIGINT) AS stale
+    FROM (SELECT f.job, e.n, e.ms, e.kind, f.gen, e.gen AS new_gen, e.gen < f.gen AS old, f.state, f.attempts, f.next_try, f.state = 'retry' AND f.next_try <= e.ms AS due, f.fired, f.stale FROM f JOIN e ON e.job = f.job AND e.n = f.n + 1))),
+w AS (SELECT max(epoch_us(ts) // 1000) + 600000 AS ms FROM events),
+l AS (SELECT f.*, f.state = 'retry' AND next_try <= w.ms AS due FROM f, w WHERE (job, n) IN (SELECT (job, max(n)) FROM e GROUP BY job))
+SELECT CAST(job AS VARCHAR) AS job, gen AS generation, CASE WHEN due THEN 'queued' ELSE state END AS state, attempts, next_try, fired + CAST(due AS BIGINT) AS fired, stale, n AS changes FROM l""")
+def job_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs by their events, in five batches that overlap, until ten minutes after the last; each retry fires by a timer."""
+    own, folder = JS.stream_session(spark), workspace(spark, "job-states")
+    events = table(own, sf, "events")
+    day = F.datediff(F.col("ts") + F.make_dt_interval(mins=F.pmod(F.hash("event_id"), F.lit(40)) - 20), F.lit("2024-01-01"))  # some come a little early or late
+    rows = events.select(F.col("user_id").cast("string").alias("job"), "ts", "event_id", (F.floor(F.dayofmonth("ts") / 10) - (F.col("event_id") % 17 == 0).cast("int")).alias("generation"), F.expr(_KIND).alias("kind"), F.floor(F.greatest(F.lit(0), F.least(F.lit(34), day)) / 7).alias("part"))
+    for part in range(5):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    end = events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("string").alias("job"), (F.col("ts") + F.expr("INTERVAL 70 MINUTES")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(0).cast("long").alias("generation"), F.lit("tick").alias("kind"))
+    end.write.mode("append").parquet(f"{folder}/events")
+    stream = jobs.watched(own, f"{folder}/events", end.schema, 1)
+    states = jobs.into_files(JS.job_states(stream, "job", "ts", "event_id", F.col("generation"), F.col("kind")), f"{folder}/states", f"{folder}/checkpoint")
+    last = JS.last_states(spark.read.schema(states.schema).parquet(f"{folder}/states"))
+    return last.select("job", "generation", "state", "attempts", "next_try", "fired", "stale", "changes")

@@ -91,20 +91,32 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete"
 
 
 def attempts(events: DataFrame, key: str, at: str, most: int = 5) -> DataFrame:
-    """A durable state for each key: failures in a row and whether it is given up; needs a key, a time and a boolean `ok`."""
+    """A durable count for each key: failures since its last success, `most` at most; needs a key, a time and a boolean `ok`.
+
+    The order of times counts, not that of arrival: a key's rows come in frames and batches in any order. Its state is
+    the time of its last success and its `most` latest failures after that, which is all that later rows can change; at
+    one time a failure follows a success. Null times and outcomes count for nothing. job_states() has retries and ends.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(ident: tuple, frames, state: GroupState):
-        failures = state.get[0] if state.exists else 0
+        success, failures = state.get if state.exists else (None, [])
         for frame in frames:
-            for ok in frame.sort_values(at)["ok"]:
-                failures = 0 if ok else min(most, failures + 1)
-        state.update((failures,))
-        yield pd.DataFrame({key: [ident[0]], "failures": [failures], "state": ["failed" if failures >= most else "retry" if failures else "queued"]})
+            known = frame[frame["_us"].notna() & frame["ok"].notna()]
+            passed = known["ok"].astype(bool)
+            if passed.any():
+                last = int(known.loc[passed, "_us"].max())
+                success = last if success is None else max(success, last)
+            failed = known.loc[~passed, "_us"].astype("int64").nlargest(most).tolist()
+            failures = sorted((t for t in [*failures, *failed] if success is None or t >= success), reverse=True)[:most]
+        state.update((success, failures))
+        n = len(failures)
+        yield pd.DataFrame({key: [ident[0]], "failures": [n], "state": ["failed" if n >= most else "retry" if n else "queued"]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, failures int, state string", "failures int", "update", GroupStateTimeout.NoTimeout)
+    timed = events.select(key, "ok", F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, failures int, state string", "success long, failures array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def budget_left(requests: DataFrame, at: str, day: str, limit: int) -> DataFrame:
