@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.operators import quality as Q
 from sievework.plans.registry import query
 from sievework.plans.session import table, workspace
-from sievework.sources import readers, writers
+from sievework.sources import folders, readers, writers
 
 
 @query("SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS average FROM customer WHERE c_nationkey IN (1, 2, 3) AND c_acctbal > 100 GROUP BY 1")
@@ -40,13 +40,24 @@ def mirror_compare(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(n, r["a"], r["b"], r["match"], len(r["examples"])) for n, r in found.items()], "name string, a long, b long, match boolean, examples int")
 
 
-@query("SELECT true AS mirrored, true AS dropped, false AS there")
+@query("""
+SELECT s_nationkey, count(*) AS before, CAST(0 AS BIGINT) AS after, count(*) AS again FROM supplier GROUP BY 1""")
 def mirror_dropped(spark: SparkSession, sf: str) -> DataFrame:
-    """S14."""
-    folder = workspace(spark, "mirror")
-    writers.mirror({"nation": table(spark, sf, "nation")}, folder)
-    before, dropped = writers.exists(spark, f"{folder}/nation"), writers.drop_mirror(spark, folder)
-    return spark.createDataFrame([(before, dropped, writers.exists(spark, folder))], "mirrored boolean, dropped boolean, there boolean")
+    """Rows of a mirror by nation, what is left once it is dropped, and those of a new mirror in its place, which may not be there before."""
+    folder, own = workspace(spark, "mirror") + "/m", table(spark, sf, "supplier")
+
+    def held(name: str) -> DataFrame:
+        rows = readers.of_schema(spark, f"{folder}/supplier", own.schema) if writers.exists(spark, f"{folder}/supplier") else own.limit(0)
+        counts = rows.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias(name))
+        counts.write.parquet(f"{folder}-{name}")  # kept, as the mirror goes
+        return spark.read.schema(counts.schema).parquet(f"{folder}-{name}")
+
+    writers.mirror({"supplier": own}, folder)
+    before = held("before")
+    writers.drop_mirror(spark, folder)
+    after = held("after")
+    writers.mirror({"supplier": own}, folder)
+    return before.join(after, "s_nationkey", "left").join(held("again"), "s_nationkey", "left").select("s_nationkey", "before", F.coalesce("after", F.lit(0)).alias("after"), "again")
 
 
 @query("""
@@ -59,7 +70,9 @@ def text_files(spark: SparkSession, sf: str) -> DataFrame:
     rows.repartition("item_id").write.partitionBy("item_id").text(folder)
     item = F.regexp_extract("path", "item_id=(-?[0-9]+)/", 1).cast("long")
     listed = readers.listing(spark, folder, "*.txt", 1 << 20).select("path", "length")
-    texts = readers.text_documents(spark, folder).join(readers.unchanged(spark, folder, "*.txt"), "path", "left_semi")
+    read = f"{workspace(spark, 'read')}/texts"
+    same = readers.unchanged(spark, folder, lambda: readers.text_documents(spark, folder).write.parquet(read), "*.txt")
+    texts = spark.read.schema("path string, text string, error string").parquet(read).join(same, "path", "left_semi")
     return listed.join(texts, "path").select(item.alias("item_id"), F.sha2("text", 256).alias("hash"), "length", F.coalesce("error", F.lit("")).alias("error"))
 
 
@@ -118,3 +131,67 @@ def append_only(spark: SparkSession, sf: str) -> DataFrame:
     """Rows were added and none was changed; else an error."""
     before = table(spark, sf, "events")
     return Q.assert_append_only(before, before.unionByName(before.where("event_id % 10 = 0"))).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _files(rows: DataFrame) -> None:
+    """Writes, renames and removes files: dir, name, text (null: none), was (a name it had)."""
+
+    def act(batches):
+        for r in batches:
+            at, path = folders.opened(f"{r['dir']}/{r['name']}")
+            if r["was"]:
+                at.move(folders.opened(f"{r['dir']}/{r['was']}")[1], path)
+            elif r["text"] is None:
+                at.delete_file(path)
+            else:
+                at.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with at.open_output_stream(path) as f:
+                    f.write(r["text"].encode())
+
+    rows.foreachPartition(act)
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, s_suppkey % 6 AS m, s_name || chr(10) || s_suppkey AS text FROM supplier),
+c AS (SELECT 1 AS scan, 's' || k || '.txt' AS name, 'new' AS change, NULL AS was, text FROM s WHERE m <> 4
+  UNION ALL SELECT 2, CASE WHEN m = 3 THEN 'r' ELSE 's' END || k || '.txt', CASE m WHEN 1 THEN 'changed' WHEN 2 THEN 'removed' WHEN 3 THEN 'renamed' ELSE 'new' END, CASE WHEN m = 3 THEN 's' || k || '.txt' END, text || CASE WHEN m = 1 THEN '!' ELSE '' END FROM s WHERE m IN (1, 2, 3, 4))
+SELECT scan, name, change, was, md5(text) AS version, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM c""")
+def folder_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """A watched folder over three scans, the stream starting again for each: files that are new, changed,
+    removed and renamed; touched ones are not changed, and the third scan finds nothing."""
+    where = workspace(spark, "folder")
+    k = F.col("s_suppkey")
+    m = k % 6
+    text = F.concat("s_name", F.lit("\n"), k.cast("string"))
+    rows = table(spark, sf, "supplier").select(m.alias("m"), F.lit(f"{where}/in").alias("dir"), F.concat(F.lit("s"), k.cast("string"), F.lit(".txt")).alias("name"), text.alias("text"), F.lit(None).cast("string").alias("was"), k)
+    _files(rows.where("m <> 4"))
+    number = {}
+
+    def apply(batch: DataFrame, n: int) -> None:
+        number["scan"] = number.get("scan", 0) + 1
+        found = folders.with_renames(batch).select(F.lit(number["scan"]).alias("scan"), "name", "change", F.element_at(F.split("was", "/"), -1).alias("was"), "version", "length")
+        found.write.mode("overwrite").parquet(f"{where}/out/{n}")
+
+    def scan() -> None:
+        stream = folders.folder_stream(spark, f"{where}/in", f"{where}/state", suffixes=".txt")
+        stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    scan()
+    changed = rows.withColumn("text", F.when(m == 2, None).when(m == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    moved = changed.withColumns({"was": F.when(m == 3, F.col("name")), "name": F.when(m == 3, F.concat(F.lit("r"), k.cast("string"), F.lit(".txt"))).otherwise(F.col("name"))})
+    _files(moved)  # those of 0 and 5 are written again as they were
+    scan()
+    scan()
+    return spark.read.schema("scan int, name string, change string, was string, version string, length long").parquet(f"{where}/out/*")
+
+
+@query("""
+WITH l AS (SELECT event_type, event_id, '{"model":"' || event_type || '","tokens":' || event_id || '}' AS line FROM events),
+t AS (SELECT *, sum(octet_length(encode(line)) + 1) OVER (PARTITION BY event_type ORDER BY event_id DESC) AS reach FROM l)
+SELECT event_type AS model, count(*) AS lines, min(event_id) AS earliest FROM t WHERE reach <= 5000 GROUP BY 1""")
+def ledger_tails(spark: SparkSession, sf: str) -> DataFrame:
+    """The last 5,000 bytes of each file of a ledger, one a type; the line that the cut parts is left out."""
+    folder = workspace(spark, "ledger")
+    lines = table(spark, sf, "events").select(F.col("event_type").alias("kind"), "event_id", F.to_json(F.struct(F.col("event_type").alias("model"), F.col("event_id").alias("tokens"))).alias("value"))
+    lines.repartition("kind").sortWithinPartitions("kind", "event_id").select("kind", "value").write.partitionBy("kind").text(folder)
+    return folders.ledger_tail(spark, folder, most=5000).groupBy("model").agg(F.count(F.lit(1)).alias("lines"), F.min("tokens").alias("earliest"))

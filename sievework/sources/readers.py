@@ -38,15 +38,17 @@ def listing(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int |
     return found.where(F.col("length") <= max_bytes) if max_bytes else found
 
 
-def unchanged(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int | None = None, between=None) -> DataFrame:
-    """Files of a folder whose size and time are the same before and after `between()` has read them; by default
-    their bytes are read through. Those above the limit, changed, removed or new ones are left out."""
-    before = spark.createDataFrame(listing(spark, path, pattern, max_bytes).toArrow())  # names and sizes, taken now
-    if between:
-        between()
-    else:
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select(F.max(F.length("content"))).collect()
-    return before.join(listing(spark, path, pattern, max_bytes), ["path", "modificationTime", "length"], "left_semi")
+def unchanged(spark: SparkSession, path: str, between: Callable[[], None], pattern: str = "*", max_bytes: int | None = None) -> DataFrame:
+    """Files of a folder whose size and time are the same before and after `between()`, which reads them. Those above
+    the limit, changed, removed or new ones are left out. The listing before is a table in the shared folder; a scan of
+    sources.folders checks each file around its own read."""
+    from sievework.plans.session import workspace
+
+    before = workspace(spark, "listing") + "/before"
+    listing(spark, path, pattern, max_bytes).write.parquet(before)
+    between()
+    held = spark.read.schema("path string, modificationTime timestamp, length long").parquet(before)
+    return held.join(listing(spark, path, pattern, max_bytes), ["path", "modificationTime", "length"], "left_semi")
 
 
 def settings(spark: SparkSession, path: str) -> DataFrame:

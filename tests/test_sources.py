@@ -109,8 +109,8 @@ def test_versions_around_a_read(spark, tmp_path):
         (tmp_path / "b.txt").unlink()
         (tmp_path / "d.txt").write_text("d")
 
-    kept = lambda **x: [r.path[-5] for r in readers.unchanged(spark, str(tmp_path), **x).collect()]
-    assert kept(between=meanwhile) == ["c"] and sorted(kept()) == ["a", "c", "d"] and sorted(kept(max_bytes=3)) == ["c", "d"]
+    kept = lambda between, **x: [r.path[-5] for r in readers.unchanged(spark, str(tmp_path), between, **x).collect()]
+    assert kept(meanwhile) == ["c"] and sorted(kept(lambda: None)) == ["a", "c", "d"] and sorted(kept(lambda: None, max_bytes=3)) == ["c", "d"]
 
 
 def test_settings(spark, tmp_path):
