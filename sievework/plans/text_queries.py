@@ -14,6 +14,7 @@ from sievework.operators import chunking as K
 from sievework.operators import joins as J
 from sievework.operators import reports as REP
 from sievework.operators import search as S
+from sievework.operators.nearest import nearest_for_each
 from sievework.operators.contacts import with_contacts
 from sievework.operators.ranking import ranked
 from sievework.plans.registry import query
@@ -332,6 +333,18 @@ def knn_scoped(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("vec_id", F.round("similarity", 6).alias("similarity"), F.round(X.cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])), 6).alias("distance"))
 
 
+@query("""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS question, b.vec_id, list_cosine_similarity(a.e, b.e) AS s FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY s DESC, vec_id) AS rank FROM p)
+SELECT question, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 6) AS similarity FROM r WHERE rank <= 8""")
+def knn_each(spark: SparkSession, sf: str) -> DataFrame:
+    """The eight nearest of each of a set of questions, within its label."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    found, _ = nearest_for_each(e.where("vec_id % 50 = 0"), e)
+    return found.select("question", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("""
 WITH v AS (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN [] WHEN 1 THEN list_append(CAST(embedding AS DOUBLE[]), 'nan'::DOUBLE) WHEN 2 THEN list_append(CAST(embedding AS DOUBLE[]), 'inf'::DOUBLE) ELSE CAST(embedding AS DOUBLE[]) END AS e FROM embeddings)
 SELECT vec_id, len(e) > 0 AND len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AS valid FROM v""")
