@@ -2,41 +2,108 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORDS = 3
-#: Keys of quotes that may go to every task, 8 bytes each; and short quotes that are compared with all texts at once.
-_MOST_KEYS, _BLOCK = 1 << 20, 4096
+#: Keys of quotes that may go to every task, 8 bytes each; with more of them texts send all of their keys.
+_MOST_KEYS = 1 << 20
+#: What stands for an empty quote, which is in every text.
+_EMPTY = -(1 << 62)
+
+
+def grams_of(text: str, sizes: tuple[int, ...]) -> np.ndarray:
+    """The different runs of 1, 2 or 3 characters of a text, each as one number; exactly, as a character has 21 bits. 0 asks for the empty one."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    found = [np.array([_EMPTY])] if 0 in sizes else []
+    if 3 in sizes and len(c) >= 3:
+        found.append(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+    if 2 in sizes and len(c) >= 2:
+        found.append(-1 - (c[:-1] << 21 | c[1:]))
+    if 1 in sizes and len(c):
+        found.append(-1 - (c | 1 << 43))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _grams(sizes: tuple[int, ...], known=None):
+    """Rows (ident, text) as (ident, gram): all grams of these sizes, or those that are `known` (a broadcast sorted array)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = known.value if known is not None else None
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            at, found, held = [], [], 0
+            for k in range(batch.num_rows):
+                body = texts[k].as_py()
+                if body is not None:
+                    g = grams_of(body.decode("utf-8", "replace"), sizes)
+                    if asked is not None:
+                        g = g[np.isin(g, asked, assume_unique=True)]
+                    at.append(np.full(len(g), k))
+                    found.append(g)
+                    held += len(g)
+                if at and (held > 1 << 18 or k == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(found))], ["ident", "gram"])
+                    at, found, held = [], [], 0
+
+    return run
+
+
+def _anchored(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(_t, _q) of texts (_t, _text) that hold the rarest gram of a quote (_q, _quote).
+
+    Texts are read twice: to count in how many of them each gram of a quote is, and to find the grams that were chosen.
+    """
+    spark = texts.sparkSession
+    kinds = [f"ident {x.schema[c].dataType.simpleString()}, gram long" for x, c in ((texts, "_t"), (quotes, "_q"))]
+    size = F.least(F.lit(3), F.length("_quote"))
+    sizes = tuple(r[0] for r in quotes.select(size).distinct().collect())  # at most 0 to 3
+    own = quotes.repartition("_q").select("_q", "_quote", size.alias("_n"))
+    parts = [own.where(F.col("_n") == n).select("_q", "_quote").mapInArrow(_grams((n,)), kinds[1]) for n in sizes]
+    asked = reduce(DataFrame.unionByName, parts).withColumnRenamed("ident", "_q")
+
+    def in_texts(wanted: DataFrame) -> DataFrame:
+        """Grams of the texts; where those wanted are few by their count, no other leaves a task."""
+        few = wanted.limit(_MOST_KEYS + 1).toArrow().column(0).to_numpy() if wanted.count() <= _MOST_KEYS else None
+        known = spark.sparkContext.broadcast(np.sort(few)) if few is not None else None
+        return texts.select("_t", "_text").mapInArrow(_grams(sizes, known), kinds[0]).withColumnRenamed("ident", "_t")
+
+    held = in_texts(asked.select("gram").distinct()).groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
+    rated = asked.join(held, "gram", "left")
+    anchors = rated.groupBy("_q").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "gram")).alias("_a")).where("_a.df > 0").select("_q", F.col("_a.gram").alias("gram"))
+    return in_texts(anchors.select("gram").distinct()).join(anchors, "gram").select("_t", "_q")
 
 
 def quotes_in(texts: DataFrame, quotes: DataFrame, text_id: str, text: str, quote_id: str, quote: str) -> DataFrame:
-    """(text_id, quote_id) where the quote is a substring of the text, case and all. An empty quote is in every text.
+    """(text_id, quote_id) where the quote is a substring of the text, case and all. An empty quote is in every text; null is in none.
 
-    A quote of five or more blank-separated words holds its second to fourth as whole words, so those are joined on,
-    and `contains` only checks what meets there: no text is compared with every quote. Where the quotes are few enough
-    by their count, tasks know their keys and drop all other word triples before the shuffle. Shorter quotes are
-    compared with all texts, in blocks of a bounded number, however many there are.
+    A quote of five or more blank-separated words holds its second to fourth as whole words, so those are joined on. A
+    shorter one is anchored at its rarest run of three characters, by how many texts hold each. `contains` only checks
+    what meets there: no text is compared with every quote, and the plan is the same however many quotes there are. Where
+    keys are few enough by their count, tasks know them and drop all others before the shuffle. Pairs are identifiers;
+    texts and quotes are fetched for the check.
     """
-    q = quotes.select(F.col(quote_id).alias("_q"), F.col(quote).alias("_quote"), F.split(quote, " ", -1).alias("_w"))
+    q = quotes.where(F.col(quote).isNotNull()).select(F.col(quote_id).alias("_q"), F.col(quote).alias("_quote"), F.split(quote, " ", -1).alias("_w"))
     short, long = F.size("_w") < _WORDS + 2, F.size("_w") >= _WORDS + 2
     n = q.agg(F.count_if(short).alias("short"), F.count_if(long).alias("long")).first()
-    keyed = q.where(long).withColumn("_key", F.xxhash64(*[F.get("_w", F.lit(1 + k)) for k in range(_WORDS)]))
-    words = F.split(F.col(text), " ", -1)
-    grams = texts.select(F.col(text_id).alias("_t"), words.alias("_w")).where(F.size("_w") >= _WORDS)
-    # Keys of a text; then the pairs that share one, each once; only these fetch their text.
-    keys = grams.select("_t", F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - _WORDS), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(_WORDS)]))).alias("_key"))
-    if n["long"] <= _MOST_KEYS:
-        keys = keys.join(F.broadcast(keyed.select("_key").distinct()), "_key", "left_semi")
-    pairs = keys.join(keyed.select("_key", "_q", "_quote"), "_key").select("_t", "_q", "_quote").distinct()
-    body = texts.select(F.col(text_id).alias("_t"), F.col(text).alias("_text"))
-    found = pairs.join(body, "_t").where(F.contains("_text", F.col("_quote"))).select("_t", "_q")
-    blocks = -(-n["short"] // _BLOCK)
-    for k in range(blocks):
-        block = q.where(short & (F.pmod(F.xxhash64("_q"), F.lit(blocks)) == k)).select("_q", "_quote")
-        found = found.unionByName(body.join(F.broadcast(block), F.contains("_text", F.col("_quote"))).select("_t", "_q"))
+    body = texts.where(F.col(text).isNotNull()).select(F.col(text_id).alias("_t"), F.col(text).alias("_text"))
+    kinds = ", ".join(f"{c} {f.schema[c].dataType.simpleString()}" for f, c in ((body, "_t"), (q, "_q")))
+    pairs = texts.sparkSession.createDataFrame([], kinds)
+    if n["long"]:
+        keyed = q.where(long).select("_q", F.xxhash64(*[F.get("_w", F.lit(1 + k)) for k in range(_WORDS)]).alias("_key"))
+        grams = body.select("_t", F.split("_text", " ", -1).alias("_w")).where(F.size("_w") >= _WORDS)
+        keys = grams.select("_t", F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - _WORDS), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(_WORDS)]))).alias("_key"))
+        if n["long"] <= _MOST_KEYS:
+            keys = keys.join(F.broadcast(keyed.select("_key").distinct()), "_key", "left_semi")
+        pairs = pairs.unionByName(keys.join(keyed, "_key").select("_t", "_q").distinct())
+    if n["short"]:
+        pairs = pairs.unionByName(_anchored(body, q.where(short).select("_q", "_quote")))
+    found = pairs.join(q.select("_q", "_quote"), "_q").join(body, "_t").where(F.contains("_text", F.col("_quote")))
     return found.select(F.col("_t").alias(text_id), F.col("_q").alias(quote_id))
 
 

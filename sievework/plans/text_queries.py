@@ -521,3 +521,17 @@ def report_log(spark: SparkSession, sf: str) -> DataFrame:
     records = users.withColumn("file_id", F.col("id").cast("string"))
     done = users.where("id < 50").select(F.col("id").alias("application_id"), F.lit("v0").alias("version"), F.lit(1).alias("rubric_id"), F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("model"))
     return REP.log_sheet(jobs, records, done, 7)
+
+
+@query("""
+WITH q AS (SELECT item_id, 1 AS words, string_split(text, ' ')[3] AS quote FROM benchmark UNION ALL SELECT item_id, 2, array_to_string(string_split(text, ' ')[4:5], ' ') FROM benchmark
+  UNION ALL SELECT item_id, 4, substr(array_to_string(string_split(text, ' ')[2:5], ' '), 2) FROM benchmark)
+SELECT d.doc_id, q.item_id, CAST(q.words AS INTEGER) AS words FROM documents d JOIN q ON contains(d.text, q.quote)""")
+def short_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotes of one to four words, of which some begin inside a word."""
+    docs, benchmark = tables(spark, sf, "documents", "benchmark")
+    w = F.split("text", " ", -1)
+    kinds = [(1, F.get(w, F.lit(2))), (2, F.array_join(F.slice(w, 4, 2), " ")), (4, F.substring(F.array_join(F.slice(w, 2, 4), " "), 2, 1 << 20))]
+    quotes = benchmark.select("item_id", F.explode(F.array(*[F.struct(F.lit(n).alias("words"), q.alias("quote")) for n, q in kinds])).alias("q")).select((F.col("item_id") * 10 + F.col("q.words")).alias("quote_id"), F.col("q.quote").alias("quote"))
+    found = J.quotes_in(docs, quotes, "doc_id", "text", "quote_id", "quote")
+    return found.select("doc_id", F.floor(F.col("quote_id") / 10).alias("item_id"), (F.col("quote_id") % 10).cast("int").alias("words"))

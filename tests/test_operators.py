@@ -222,6 +222,35 @@ def test_many_short_quotes(spark):
     assert set(rows(J.quotes_in(texts, quotes, "t", "text", "q", "quote"))) == {(i, i) for i in range(30)}
 
 
+@given(st.lists(st.text(alphabet="ab é\U0001f600", max_size=12), max_size=6))
+@settings(max_examples=40, deadline=None)
+def test_grams(texts):
+    for t in texts:
+        for n in (1, 2, 3):
+            runs = {t[i : i + n] for i in range(len(t) - n + 1)}
+            assert len(J.grams_of(t, (n,))) == len(runs)
+            assert all(set(J.grams_of(r, (n,))) <= set(J.grams_of(t, (1, 2, 3))) for r in runs)
+
+
+def test_short_quotes(spark):
+    texts = ["the cat sat", "The cat", "a\nb c", "caté\U0001f600x", "", None, "aaaa", "of the cat of"] * 2
+    quotes = ["cat", "e c", "t", "é\U0001f600", "", None, "\U0001f600", "aaa", "aaaaa", "zz", "the cat", "of", "a\nb", "the cat sat on", "q", "cat"]
+    t = spark.createDataFrame(list(enumerate(texts)), "t int, text string").repartition(3)
+    q = spark.createDataFrame(list(enumerate(quotes)), "q long, quote string")
+    found = J.quotes_in(t, q, "t", "text", "q", "quote")
+    assert sorted(rows(found)) == sorted((i, j) for i, x in enumerate(texts) for j, y in enumerate(quotes) if x is not None and y is not None and y in x)
+    shown = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in shown and "Cartesian" not in shown
+    assert J.quotes_in(t.limit(0), q, "t", "text", "q", "quote").count() == 0 and J.quotes_in(t, q.limit(0), "t", "text", "q", "quote").count() == 0
+
+
+def test_more_keys_than_tasks_may_know(spark, monkeypatch):
+    monkeypatch.setattr(J, "_MOST_KEYS", 3)
+    t = spark.createDataFrame([(i, f"word{i} and more of it") for i in range(40)], "t int, text string")
+    q = spark.createDataFrame([(i, f"word{i} and") for i in range(40)] + [(100 + i, f"word{i} and more of it") for i in range(9)], "q int, quote string")
+    assert sorted(rows(J.quotes_in(t, q, "t", "text", "q", "quote"))) == sorted([(i, i) for i in range(40)] + [(i, 100 + i) for i in range(9)])
+
+
 def test_blocks_meet_all(spark):
     a, b = spark.range(7).toDF("x"), spark.range(50).toDF("y")
     assert sorted(rows(J.in_blocks(a, b, "x", "y", block=3, chunk=8))) == [(i, j) for i in range(7) for j in range(50)]
