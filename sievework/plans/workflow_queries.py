@@ -201,3 +201,48 @@ def job_states(spark: SparkSession, sf: str) -> DataFrame:
     states = jobs.into_files(JS.job_states(stream, "job", "ts", "event_id", F.col("generation"), F.col("kind")), f"{folder}/states", f"{folder}/checkpoint")
     last = JS.last_states(spark.read.schema(states.schema).parquet(f"{folder}/states"))
     return last.select("job", "generation", "state", "attempts", "next_try", "fired", "stale", "changes")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) - 1 AS i FROM events),
+t AS (SELECT event_type, event_id, i, us AS admitted FROM e WHERE i < 10
+  UNION ALL SELECT e.event_type, e.event_id, e.i, greatest(e.us, t.admitted + 21600000000) FROM t JOIN e ON e.event_type = t.event_type AND e.i = t.i + 10)
+SELECT event_type, event_id, admitted FROM t""")
+def admission_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    """When requests start if ten of a kind may start in six hours; most wait."""
+    requests = table(spark, sf, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return jobs.admission_times(requests, "event_type", "at", "event_id", 10, 21600).select("event_type", "event_id", "admitted")
+
+
+def _daily(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Events in five batches by week, of which every fiftieth event comes with the last one."""
+    folder = workspace(spark, "daily")
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts")
+    week = F.floor(F.greatest(F.lit(0), F.least(F.lit(34), F.datediff("ts", F.lit("2024-01-01")))) / 7)
+    rows = events.withColumn("part", F.when(F.col("event_id") % 50 == 0, 4).otherwise(week))
+    for part in range(5):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    kind = F.col("event_type")
+    stream = jobs.watched(spark, f"{folder}/in", events.schema, 1)
+    return jobs.daily_activity(stream, "ts", {"assessments": kind == "purchase", "views": kind == "view"}, folder, "1 day")
+
+
+_DAILY = """
+WITH e AS (SELECT event_id, event_type, ts, CASE WHEN event_id % 50 = 0 THEN 4 ELSE least(4, greatest(0, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7)) END AS part FROM events),
+w AS (SELECT p.part, (SELECT max(ts) FROM e WHERE e.part < p.part) - INTERVAL 1 DAY AS mark FROM (SELECT DISTINCT part FROM e) p),
+l AS (SELECT e.*, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late FROM e JOIN w USING (part))"""
+
+
+@query(_DAILY + """
+SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS assessments, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS views FROM l
+WHERE NOT late AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM l WHERE NOT late) - INTERVAL 1 DAY GROUP BY 1""")
+def daily_closed(spark: SparkSession, sf: str) -> DataFrame:
+    """Days that are over; their state is gone."""
+    return _daily(spark, sf)[0].select(F.date_format("start", "yyyy-MM-dd").alias("day"), "assessments", "views")
+
+
+@query(_DAILY + """
+SELECT event_id, event_type FROM l WHERE late""")
+def daily_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that came when their day was over are kept beside it."""
+    return _daily(spark, sf)[1].select("event_id", "event_type")

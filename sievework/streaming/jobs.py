@@ -23,6 +23,35 @@ def daily_counts(events: DataFrame, at: str, measures: dict[str, Column], late:
     return timed.groupBy(F.window("_at", duration)).agg(*[F.count(F.when(test, 1)).alias(n) for n, test in measures.items()]).select(F.col("window.start").alias("start"), *measures)
 
 
+def daily_activity(events: DataFrame, at: str, measures: dict[str, Column], folder: str, late: str = "1 day", duration: str = "1 day") -> tuple[DataFrame, DataFrame]:
+    """(windows that are over with their measures, rows that came too late for theirs), from a stream run to its end.
+
+    A row is too late if its window ended by the watermark: `late` before the latest time of all batches before its own.
+    Such rows go to a side table; the others to windows in append mode, whose state goes when the watermark passes them.
+    So a row is in one or the other or in a window that is still open. Both are tables under `folder`, which all tasks
+    share; a batch that is sent again writes the same rows in the same place. Rows without a time count as late.
+    """
+    spark, schema = events.sparkSession, events.schema
+    timed = F.col(at).cast("timestamp")
+
+    def split(batch: DataFrame, n: int) -> None:
+        marks = spark.read.schema("batch long, latest timestamp").parquet(f"{folder}/marks") if n else None
+        mark = marks.where(F.col("batch") < n).agg((F.max("latest") - F.expr(f"INTERVAL {late}")).alias("m")).first()["m"] if n else None  # a row a batch
+        over = F.coalesce(F.window(timed, duration)["end"] <= F.lit(mark), F.lit(False)) if mark is not None else F.lit(False)
+        marked = batch.withColumn("_late", over | timed.isNull()).persist()
+        try:
+            marked.where("_late").drop("_late").write.mode("overwrite").parquet(f"{folder}/late/batch={n}")
+            marked.where("NOT _late").drop("_late").write.mode("overwrite").parquet(f"{folder}/kept/{n}")
+            marked.agg(F.max(timed).alias("latest")).write.mode("overwrite").parquet(f"{folder}/marks/batch={n}")
+        finally:
+            marked.unpersist()
+
+    events.writeStream.foreachBatch(split).option("checkpointLocation", f"{folder}/checkpoint-split").trigger(availableNow=True).start().awaitTermination()
+    own = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{folder}/kept/*")
+    windows = into_files(daily_counts(own, at, measures, late, duration), f"{folder}/windows", f"{folder}/checkpoint-windows")
+    return windows, spark.read.schema(schema).parquet(f"{folder}/late")
+
+
 def without_repeats(events: DataFrame, keys: list[str], at: str, late: str = "1 hour") -> DataFrame:
     """The first of each key within the watermark; its state is dropped afterwards."""
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
@@ -135,3 +164,44 @@ def request_rate(requests: DataFrame, key: str, seconds: Column, ident: str, spa
     recent = Window.partitionBy(key).orderBy("_at").rangeBetween(-(span - 1), Window.currentRow)
     placed = counts.withColumn("in_span", F.sum("_n").over(recent))
     return join_counted(timed, placed, [key, "_at"], "_n", ident).select(*requests.columns, "in_span")
+
+
+#: Seconds of a key in a stretch: prefix sums run over the seconds of a stretch, and over stretches.
+_STRETCH = 3600
+#: Requests of a key in a range, in rounds of its limit: running maxima run over a range, and over ranges.
+_ROUNDS = 4096
+
+
+def _numbered(requests: DataFrame, key: str, at: str, ident: str) -> DataFrame:
+    """`_i`: the 0-based place of each request among its key's by (`at`, `ident`). Requests of one second meet in a task, those of a key do not."""
+    second = F.floor(F.col(at) / 1_000_000)
+    counts = requests.groupBy(F.col(key).alias("_k"), second.alias("_s")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.floor(F.col("_s") / _STRETCH))
+    hours = counts.groupBy("_k", "_h").agg(F.sum("_n").alias("_m"))
+    before = hours.select(F.col("_k").alias("_k2"), F.col("_h").alias("_h2"), F.coalesce(F.sum("_m").over(Window.partitionBy("_k").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    inside = counts.withColumn("_c", F.coalesce(F.sum("_n").over(Window.partitionBy("_k", "_h").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = inside.join(before, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2"))).select("_k", "_s", (F.col("_b") + F.col("_c")).alias("_start"))
+    row = F.row_number().over(Window.partitionBy(key, "_second").orderBy(at, ident))
+    placed = requests.withColumn("_second", second).withColumn("_row", row)
+    return placed.join(starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_second") == F.col("_s"))).withColumn("_i", F.col("_start") + F.col("_row") - 1).drop("_k", "_s", "_start", "_second", "_row")
+
+
+def admission_times(requests: DataFrame, key: str, at: str, ident: str, limit: int, span: int = 60) -> DataFrame:
+    """When each request may start if at most `limit` of a key start in any `span` seconds: all rows with `admitted`.
+
+    `at` and `admitted` are microseconds, `ident` orders requests of one time; a null key is a key, requests without a
+    time have none. The i-th request starts at max(at, start of the (i - limit)-th + span). So requests fall into `limit`
+    chains, and the k-th of a chain starts at k spans + the largest (at - k spans) up to it: a running maximum, which
+    ranges of a key share. Each range adds the largest of those before it; a key may hold any share of all requests.
+    """
+    if limit < 1:
+        raise ValueError("a limit is at least 1")
+    wide = span * 1_000_000
+    placed = _numbered(requests.where(F.col(at).isNotNull()), key, at, ident)
+    k, chain = F.floor(F.col("_i") / limit), F.pmod("_i", F.lit(limit))
+    chained = placed.withColumns({"_k": k, "_chain": chain, "_free": F.col(at) - k * wide}).withColumn("_range", F.floor(F.col("_k") / max(1, _ROUNDS // limit)))
+    most = chained.groupBy(F.col(key).alias("_key"), F.col("_chain").alias("_c"), F.col("_range").alias("_r")).agg(F.max("_free").alias("_most"))
+    ranges = most.withColumn("_before", F.max("_most").over(Window.partitionBy("_key", "_c").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))).drop("_most")
+    running = chained.withColumn("_up", F.max("_free").over(Window.partitionBy(key, "_range", "_chain").orderBy("_k")))
+    joined = running.join(ranges, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chain") == F.col("_c")) & (F.col("_range") == F.col("_r")))
+    timed = joined.select(*requests.columns, (F.greatest("_up", F.coalesce("_before", F.col("_up"))) + F.col("_k") * wide).alias("admitted"))
+    return timed.unionByName(requests.where(F.col(at).isNull()).withColumn("admitted", F.lit(None).cast("long")))

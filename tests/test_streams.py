@@ -72,3 +72,29 @@ def test_attempts_keep_few(spark, tmp_path, most):
     put(spark, path, [(1, float(k), False) for k in range(1000)], schema)
     jobs.run_to_end(jobs.attempts(jobs.watched(spark, path, schema, 1), "id", "at", most), f"tried_{most}", str(tmp_path / "c"), "update")
     assert [tuple(r) for r in spark.table(f"tried_{most}").collect()] == [(1, most, "failed")]
+
+
+@pytest.mark.parametrize(("limit", "rounds"), [(1, 2), (3, 9), (7, 4096)])
+def test_admissions(spark, monkeypatch, limit, rounds):
+    monkeypatch.setattr(jobs, "_ROUNDS", rounds)
+    monkeypatch.setattr(jobs, "_STRETCH", 20)
+    rng = random.Random(limit)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(400) * 500_000, i) for i in range(300)] + [("a", None, 900), ("c", 5, 901)] + [("b", 7, 1000 + i) for i in range(20)]
+    df = spark.createDataFrame(rows, "kind string, at long, id long").repartition(5)
+    want = {}
+    for kind in ("a", "b", "c", None):
+        started = []
+        for at, i in sorted((at, i) for k, at, i in rows if k == kind and at is not None):
+            started.append(max(at, started[-limit] + 60_000_000) if len(started) >= limit else at)
+            want[i] = started[-1]
+    got = {r.id: r.admitted for r in jobs.admission_times(df, "kind", "at", "id", limit).collect()}
+    assert got == want | {900: None}
+    assert jobs.admission_times(df.limit(0), "kind", "at", "id", limit).count() == 0
+
+
+def test_admissions_of_one_key_are_shared(spark):
+    df = spark.range(20_000).select(F.lit("a").alias("kind"), (F.col("id") * 1000).alias("at"), "id")
+    timed = jobs.admission_times(df, "kind", "at", "id", 10)
+    assert timed.agg(F.max("admitted")).first()[0] == 9000 + 1_999 * 60_000_000
+    windows = [line for line in timed._jdf.queryExecution().executedPlan().toString().split("\n") if " Window " in line and "_free" in line]
+    assert windows and all("_range" in line for line in windows if "max(_free" in line)
