@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,12 @@ from sievework.operators import chunking as K
 from sievework.operators import joins as J
 from sievework.operators import reports as REP
 from sievework.operators import search as S
-from sievework.operators.nearest import nearest_for_each
 from sievework.operators.contacts import with_contacts
+from sievework.operators.nearest import nearest_for_each
 from sievework.operators.ranking import ranked
+from sievework.operators.search_index import SearchIndex
 from sievework.plans.registry import query
-from sievework.plans.session import table, tables
+from sievework.plans.session import table, tables, workspace
 
 
 @query(r"""
@@ -535,3 +538,27 @@ def short_quotes(spark: SparkSession, sf: str) -> DataFrame:
     quotes = benchmark.select("item_id", F.explode(F.array(*[F.struct(F.lit(n).alias("words"), q.alias("quote")) for n, q in kinds])).alias("q")).select((F.col("item_id") * 10 + F.col("q.words")).alias("quote_id"), F.col("q.quote").alias("quote"))
     found = J.quotes_in(docs, quotes, "doc_id", "text", "quote_id", "quote")
     return found.select("doc_id", F.floor(F.col("quote_id") / 10).alias("item_id"), (F.col("quote_id") % 10).cast("int").alias("words"))
+
+
+#: Questions: terms, and whether one is enough.
+_ASKED = {"word": (["then"], False), "and": (["then", "onal"], False), "or": (["onal", "password"], True), "phrase": (["apache license"], False), "case": (["THE"], False), "mark": (["@example", "license,"], True), "none": (["xylophone"], False)}
+
+
+def _holds(term: str) -> str:
+    quoted = "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in term)
+    return rf"regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]){quoted}($|[^\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}])')"
+
+
+@query("WITH t AS (SELECT doc_id, CASE WHEN doc_id % 9 = 1 THEN 'an Apache License, v. 2 then' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 3 OR doc_id % 9 = 1)\n" + "\nUNION ALL ".join(
+    f"SELECT '{name}' AS question, doc_id FROM t WHERE " + (" OR " if any_term else " AND ").join(_holds(t) for t in terms) for name, (terms, any_term) in _ASKED.items()))
+def search_index(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of all documents after some were taken away, some changed, a batch came twice and segments were merged."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    index = SearchIndex(spark, workspace(spark, "index"), 16)
+    gone, changed = docs.where("doc % 11 = 3").select("doc", F.lit(None).cast("string").alias("text")), docs.where("doc % 9 = 1").select("doc", F.lit("an Apache License, v. 2 then").alias("text"))
+    for n, batch in enumerate((docs, gone, changed, changed)):
+        index.apply(batch, min(n, 2))
+    index.merge(3)
+    now = docs.join(gone.select("doc"), "doc", "left_anti").join(changed.select("doc"), "doc", "left_anti").unionByName(changed)
+    found = [index.search(terms, any_term, now).select(F.lit(name).alias("question"), F.col("doc").alias("doc_id")) for name, (terms, any_term) in _ASKED.items()]
+    return reduce(DataFrame.unionByName, found)
