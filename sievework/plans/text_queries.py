@@ -260,15 +260,44 @@ def chunks_structure(spark: SparkSession, sf: str) -> DataFrame:
     return K.chunked(_titled(spark, sf)).select("doc_id", "chunk_id", "start", "end", "heading", F.sha2("chunk_text", 256).alias("hash"))
 
 
-@query()
+def _paragraphed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a title before every fortieth line and a blank line after every third."""
+    lines = F.split("text", "\n", -1)
+    text = F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i % 40 == 3, "Skills:\n").otherwise(""), x, F.when(i % 3 == 2, "\n").otherwise(""))), "\n")
+    return table(spark, sf, "documents").select("doc_id", text.alias("text"), F.lit(1).alias("page"))
+
+
+_WORDS = ("the", "der", "le", "que")
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 40 = 3 THEN 'Skills:' || chr(10) ELSE '' END || x || CASE WHEN (i - 1) % 3 = 2 THEN chr(10) ELSE '' END), chr(10)) AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p, length(text) AS whole FROM t),
+o AS (SELECT doc_id, line = 'Skills:' AS h, p, regexp_full_match(line, '\\s*') AS blank, whole, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos, length(line) AS n FROM l),
+b AS (SELECT doc_id, pos, h FROM o WHERE h OR p = 1),
+s AS (SELECT b.doc_id, b.pos, lead(b.pos, 1, length(t.text)) OVER (PARTITION BY b.doc_id ORDER BY b.pos) AS stop, CASE WHEN b.h THEN 'Skills' END AS heading, t.text FROM b JOIN t ON t.doc_id = b.doc_id),
+e AS (SELECT s.doc_id, s.pos, least(o.pos + o.n + 1, o.whole) AS fin FROM s JOIN o ON o.doc_id = s.doc_id AND o.blank AND least(o.pos + o.n + 1, o.whole) > s.pos AND least(o.pos + o.n + 1, o.whole) < s.stop WHERE s.stop - s.pos > 1200 UNION SELECT doc_id, pos, stop FROM s WHERE stop - pos > 1200),
+g AS (SELECT e.doc_id, e.pos, e.fin, lag(e.fin, 1, e.pos) OVER (PARTITION BY e.doc_id, e.pos ORDER BY e.fin) AS a, row_number() OVER (PARTITION BY e.doc_id, e.pos ORDER BY e.fin) AS i FROM e),
+w AS (SELECT g.*, lower(substr(t.text, g.a + 1, g.fin - g.a)) AS x FROM g JOIN t ON t.doc_id = g.doc_id),
+v AS (SELECT *, [""" + ", ".join(f"CAST((length(x) - length(replace(x, '{w}', ''))) / {len(w)} AS DOUBLE)" for w in _WORDS) + """, 1.0::DOUBLE] AS v FROM w),
+k AS (SELECT *, coalesce(list_inner_product(v, lag(v) OVER q) / sqrt(list_inner_product(v, v) * list_inner_product(lag(v) OVER q, lag(v) OVER q)) >= 0.6, false) AS alike FROM v WINDOW q AS (PARTITION BY doc_id, pos ORDER BY i)),
+f AS (SELECT doc_id, pos, i, pos AS grp, fin AS before FROM k WHERE i = 1
+  UNION ALL SELECT k.doc_id, k.pos, k.i, CASE WHEN k.fin - f.grp <= 1600 AND (k.alike OR f.before - f.grp < 200) THEN f.grp ELSE f.before END, k.fin FROM f JOIN k ON k.doc_id = f.doc_id AND k.pos = f.pos AND k.i = f.i + 1),
+u AS (SELECT DISTINCT doc_id, pos, grp FROM f UNION SELECT doc_id, pos, pos FROM s WHERE pos < stop),
+r AS (SELECT s.doc_id, s.heading, s.text, u.grp AS pos, lead(u.grp, 1, s.stop) OVER (PARTITION BY u.doc_id, u.pos ORDER BY u.grp) AS stop FROM u JOIN s ON s.doc_id = u.doc_id AND s.pos = u.pos AND s.pos < s.stop),
+c AS (
+  SELECT doc_id, heading, text, stop, pos AS "start", CASE WHEN stop - pos <= 1600 THEN stop WHEN strpos(reverse(substr(text, pos + 2, 1599)), chr(10)) > 0 THEN pos + 1601 - strpos(reverse(substr(text, pos + 2, 1599)), chr(10)) ELSE pos + 1600 END AS "end" FROM r WHERE pos < stop
+  UNION ALL
+  SELECT doc_id, heading, text, stop, "end", CASE WHEN stop - "end" <= 1600 THEN stop WHEN strpos(reverse(substr(text, "end" + 2, 1599)), chr(10)) > 0 THEN "end" + 1601 - strpos(reverse(substr(text, "end" + 2, 1599)), chr(10)) ELSE "end" + 1600 END FROM c WHERE "end" < stop)
+SELECT doc_id, 'p1-' || "start" AS chunk_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", heading, sha256(substr(text, "start" + 1, "end" - "start")) AS hash FROM c""")
 def chunks_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """C3, C4, V7, with a bag of words as the embedder."""
+    """Paragraphs are embedded once each, by a bag of words in batches; what is embedded goes to the cache."""
 
-    def embed(text: str) -> list[float]:
-        low = text.lower()
-        return [float(low.count(w)) for w in ("the", "der", "le", "que")] + [1.0]
+    def embed(texts: list[str]) -> list[list[float]]:
+        return [[float(t.lower().count(w)) for w in _WORDS] + [1.0] for t in texts]
 
-    return K.chunked(_titled(spark, sf), "hybrid", embed=embed).select("doc_id", "chunk_id", "start", "end", "heading", "strategy")
+    none = spark.createDataFrame([], "key string, embedding array<double>")
+    return K.hybrid_chunks(_paragraphed(spark, sf), ["doc_id"], none, embed, "bag")[0].select("doc_id", "chunk_id", "start", "end", "heading", F.sha2("chunk_text", 256).alias("hash"))
 
 
 @query("SELECT doc_id, true AS exact FROM documents")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -110,6 +111,30 @@ def test_passages_are_the_text(text, alike):
     assert all(0 < b - a <= 1600 for a, b, _ in made)
 
 
+def test_hybrid_in_two_phases(spark):
+    rng = random.Random(4)
+    parts = ["Skills\n", "summary:\n", "\n", " \n", "alpha " * 30 + "\n", "beta " * 20, "x" * 1700, "é" * 90 + "\n", "\n\n", "beta alpha\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(60)] + ["", None] + ["alpha " * 300 + "\n\n" + "beta " * 40 + "\n\n"] * 3
+
+    def vector(t):
+        return [1.0 + t.count("alpha"), 1.0 + 3 * t.count("beta")]
+
+    df = spark.createDataFrame([(i, 1 + i % 2, t, "x") for i, t in enumerate(texts)], "id int, page int, text string, chunk_text string").repartition(3).drop("chunk_text")
+    none = spark.createDataFrame([], "key string, embedding array<double>")
+    found, fresh = K.hybrid_chunks(df, ["id"], none, lambda ts: [vector(t) for t in ts], "m", batch=7)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.id, []).append((r.start, r.end, r.heading.lower() if r.heading else None, r.chunk_text))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == [(a, b, h.lower() if h else None, t[a:b]) for a, b, h in plain_passages(t or "", vector)]
+    keys = [r.key for r in fresh.collect()]
+    assert keys and len(keys) == len(set(keys))  # each paragraph once
+    again, more = K.hybrid_chunks(df, ["id"], fresh, lambda ts: 1 / 0, "m")  # all are in the cache: nothing is embedded
+    assert more.count() == 0 and again.count() == found.count()
+    apart = K.hybrid_chunks(df, ["id"], none, lambda ts: [None if k % 2 else [] for k in range(len(ts))], "n")[0]
+    assert sorted((r.id, r.start) for r in apart.collect()) == sorted((i, a) for i, t in enumerate(texts) for a, _, _ in plain_passages(t or "", lambda _, n=iter(range(10**6)): [1.0, 0.0] if next(n) % 2 else [0.0, 1.0]))
+
+
 def test_passage_shapes():
     flat = "first line 14c\n" + "x" * 10201
     assert [b - a for a, b, _ in cut(flat)] == [15] + [1600] * 6 + [601]
