@@ -4,9 +4,11 @@ A ledger is a folder. Every batch of changes adds one part to it: what the batch
 that it is gone), and the signed change of the totals that follows: new counts come in, and what earlier batches had
 counted for the same documents goes out. Totals are additive, so reading them adds up small tables and never recounts.
 
-Parts are split into buckets of documents, sorted, and a batch opens only the buckets that it touches. Every MERGE
-batches the parts are merged into one that has each living document once, so a look-up opens a bounded number of parts,
-however many batches there were.
+Parts are sorted by document and cut into files by their size. A batch looks up its documents in the stretches of
+identifiers that it covers, and files and row groups outside these are skipped by their statistics: new and neighbouring
+documents read a share of the state, documents from everywhere all of its narrow rows (some tens of bytes a document,
+never a text). Every MERGE batches the parts are merged into one that has each living document once, so a look-up opens
+a bounded number of parts, however many batches there were.
 
 A batch counts only once its marker is there, which is written last; so does a merged part. Applying a committed batch
 again does nothing; applying one that was broken off writes its parts anew. Both leave the same totals, so a driver that
@@ -29,8 +31,10 @@ from sievework.llm.langid import remainder
 from sievework.llm.packing import byte_bpe
 
 TOKENIZERS = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
-#: Buckets of documents, and parts that are merged into one.
-BUCKETS, MERGE = 256, 8
+#: Parts that are merged into one.
+MERGE = 8
+#: Stretches of identifiers that a look-up asks for at most, and bytes of a row group, which is what they skip.
+STRETCHES, GROUP_BYTES = 64, 4 << 20
 _STATE = "key string, source string, lang string, version string, tokens long, live boolean, place long"
 
 
@@ -57,10 +61,10 @@ def _count(paths: dict[str, str]):
 
 
 class TokenLedger:
-    """A ledger at `path`, a folder that all executors share. One writer at a time, always with the same `buckets`."""
+    """A ledger at `path`, a folder that all executors share. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, path: str, tokenizers: list[str], *, buckets: int = BUCKETS, merge: int = MERGE):
-        self.spark, self.path, self.buckets, self.merge_after = spark, path.rstrip("/"), buckets, merge
+    def __init__(self, spark: SparkSession, path: str, tokenizers: list[str], *, merge: int = MERGE):
+        self.spark, self.path, self.merge_after = spark, path.rstrip("/"), merge
         self.versions = {version_of(p): p for p in tokenizers}
 
     def _marked(self, folder: str) -> list[str]:
@@ -107,8 +111,7 @@ class TokenLedger:
         now = self._state([name])
         changed = now.withColumn("sign", F.lit(1))
         if before:
-            touched = [r["bucket"] for r in now.select("bucket").distinct().collect()]  # no more than there are buckets
-            ours = self._state(before, touched).join(now.select("key", "version"), ["key", "version"], "left_semi")
+            ours = self._state(before, self.stretches(name)).join(now.select("key", "version"), ["key", "version"], "left_semi")
             changed = changed.unionByName(self._latest(ours).withColumn("sign", F.lit(-1)))
         self._write_totals(changed.where("live"), name)
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
@@ -122,23 +125,31 @@ class TokenLedger:
         if not n:
             return
         names, part = self.parts(), f"{n:08d}"
-        self._write_state(self._latest(self._state(names)).where("live").drop("bucket"), f"merged-{part}")
+        self._write_state(self._latest(self._state(names)).where("live"), f"merged-{part}")
         self._write_totals(self._state([f"merged-{part}"]).withColumn("sign", F.lit(1)), f"merged-{part}")
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/merges/{part}")
 
     def _write_state(self, state: DataFrame, name: str) -> None:
-        bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
-        dealt = state.withColumn("bucket", bucket).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/{name}")
+        dealt = state.repartitionByRange("key", "version").sortWithinPartitions("key", "version")  # as many files as the size asks for
+        dealt.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{self.path}/state/{name}")
+
+    def stretches(self, name: str, most: int = STRETCHES) -> list[tuple[str, str]]:
+        """The identifiers of a part, as at most so many stretches: one or more for each of its files, which are sorted."""
+        pieces = self._state([name]).groupBy("_metadata.file_path", F.floor(F.col("_metadata.row_index") / (1 << 17))).agg(F.min("key").alias("a"), F.max("key").alias("b")).select("a", "b")
+        found = sorted((r["a"], r["b"]) for r in pieces.collect())  # a row for each 131,072 of a batch
+        step = -(-len(found) // most) or 1
+        return [(found[k][0], max(b for _, b in found[k : k + step])) for k in range(0, len(found), step)]
 
     def _write_totals(self, changed: DataFrame, name: str) -> None:
         deltas = changed.groupBy("source", "lang", "version").agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens")).where("docs <> 0 or tokens <> 0")
         deltas.write.mode("overwrite").parquet(f"{self.path}/totals/{name}")
 
-    def _state(self, names: list[str], buckets: list[int] | None = None) -> DataFrame:
-        schema = "key string, version string, source string, lang string, tokens long, live boolean, batch long, bucket int"
+    def _state(self, names: list[str], stretches: list[tuple[str, str]] | None = None) -> DataFrame:
+        schema = "key string, version string, source string, lang string, tokens long, live boolean, batch long"
         rows = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self.path}/state/{n}") for n in names])
-        return rows if buckets is None or len(buckets) == self.buckets else rows.where(F.col("bucket").isin(buckets))
+        if stretches is None:
+            return rows
+        return rows.where(reduce(lambda x, y: x | y, [F.col("key").between(a, b) for a, b in stretches], F.lit(False)))
 
     @staticmethod
     def _latest(rows: DataFrame) -> DataFrame:

@@ -255,6 +255,40 @@ def test_ledger(spark, tmp_path, nothing):
     assert totals() == expected(state.values())
 
 
+def test_ledger_looks_up_stretches(spark, tmp_path, monkeypatch):
+    """A batch of neighbours reads a share of the state, whatever lies elsewhere; a batch from everywhere reads no more than all."""
+    import public_tokenizers
+
+    monkeypatch.setattr(token_counts, "GROUP_BYTES", 1 << 10)
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "ledger"), [public_tokenizers.path("byte_bpe_50k.tiktoken")])
+    rows = [(i, f"text {i}", "en", "a") for i in range(20_000, 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    ledger.apply("all", docs)
+    state = ledger.parts()
+
+    def scanned(stretches):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            plan = ledger._state(state, stretches)._jdf.queryExecution().executedPlan()
+            plan.execute().count()
+            return plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    ledger.apply("near", docs.where("doc_id BETWEEN 30000 AND 30399").withColumn("text", F.lit("other")))
+    near = ledger.stretches(ledger.committed()[-1])
+    assert near == [("30000", "30399")] and scanned(near) < 0.3 * len(rows)
+    ledger.apply("far", docs.where("doc_id % 100 = 7"))
+    far = ledger.stretches(ledger.committed()[-1])
+    assert len(far) <= token_counts.STRETCHES and scanned(far) <= len(rows)
+    assert ledger.stretches(ledger.committed()[-1], 1) == [("20007", "59907")]
+    tokens = ledger.totals().first()
+    encoding = packing.byte_bpe(packing.default_ranks())
+    assert tokens.n_docs == len(rows) and tokens.n_tokens == sum(len(encoding.encode("other" if 30000 <= i <= 30399 and i % 100 != 7 else t)) for i, t, *_ in rows)
+    ledger.apply("none", docs.limit(0))
+    assert ledger.stretches(ledger.committed()[-1]) == [] and ledger.totals().first() == tokens
+
+
 def test_token_query(spark, sf):
     got = QUERIES["op4_token_counts"](spark, sf).collect()
     n = spark.read.parquet(f"{sf}/documents.parquet").count()

@@ -173,7 +173,7 @@ def test_ledger_merges_parts(spark, tmp_path):
 
     rng, path = random.Random(2), public_tokenizers.path(token_counts.TOKENIZERS[0])
     encoding = packing.byte_bpe(path)
-    ledger = token_counts.TokenLedger(spark, str(tmp_path / "l"), [path], buckets=4, merge=2)
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "l"), [path], merge=2)
     state: dict = {}
     for k in range(5):
         changes = {i: None if rng.random() < 0.3 else ("word " * rng.randint(0, 9), rng.choice("ab")) for i in rng.sample(range(30), 12)}
