@@ -90,3 +90,13 @@ def is_offline(heartbeat: Column, now: Column, seconds: float = 650) -> Column:
 def missed_scan(last: Column, now: Column, interval: float) -> Column:
     """More than two intervals since the last scan."""
     return F.coalesce(now - last > 2 * interval, F.lit(True))
+
+
+def by_language(name: Column, language: str = "UNICODE_CI_AI") -> Column:
+    """A name that compares and is searched as its language does: by default whatever its case and accents."""
+    return F.collate(name, language)
+
+
+def named_like(name: Column, part: str, language: str = "UNICODE_CI_AI") -> Column:
+    """names that hold a part, whatever its case and accents."""
+    return F.contains(F.collate(name, language), F.collate(F.lit(part.strip()), language))

@@ -29,6 +29,12 @@ def level_pivot(df: DataFrame, keys: list[str], level: Column, levels: Iterable[
     return df.groupBy(*keys).agg(*[F.count(F.when(level == v, 1)).alias(v) for v in levels])
 
 
+def criteria_counts(criteria: DataFrame, findings: DataFrame, key: str, level: Column, levels: Iterable[str] = tuple(V.LEVEL_FACTORS)) -> DataFrame:
+    """A row for each criterion of the rubric with all its columns and the counts of each level, zeros where there are no findings."""
+    counts = level_pivot(findings, [key], level, levels)
+    return criteria.join(counts, key, "left").select(*criteria.columns, *[F.coalesce(v, F.lit(0)).alias(v) for v in levels])
+
+
 def first_findings(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Of several findings on one key the first counts."""
     rest = [c for c in df.columns if c not in keys]
@@ -109,7 +115,17 @@ def evaluated(actual: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     wanted = expected.select(key, "statuses", F.col("score").alias("expected_score"))
     joined = wanted.join(actual, key, "left")
     passed = F.array_contains("statuses", F.col("status")) & (F.coalesce("errors", F.lit(0)) == 0) & (F.col("expected_score").isNull() | F.col("score").eqNullSafe(F.col("expected_score")))
-    return joined.select(key, "status", "score", F.coalesce(passed, F.lit(False)).alias("passed"))
+    more = [c for c in actual.columns if c not in (key, "status", "score", "errors")]
+    return joined.select(key, "status", "score", *more, F.coalesce(passed, F.lit(False)).alias("passed"))
+
+
+def acceptance(results: DataFrame, tokens: str | None = None) -> DataFrame:
+    """A20, one row: cases, how many passed and are there at all, and whether all did and are; with `tokens` their sum, and
+    whether each case that is there reports them. Of no cases all pass, as of none fails."""
+    there = F.col("status").isNotNull()
+    n, passed, complete = F.count(F.lit(1)), F.count_if("passed"), F.count_if(there)
+    sums = [F.sum(tokens).alias("tokens"), (F.count_if(there & F.col(tokens).isNull()) == 0).alias("tokens_reported")] if tokens else []
+    return results.agg(n.alias("cases"), passed.alias("passed"), complete.alias("found"), (n == passed).alias("all_passed"), (n == complete).alias("complete"), *sums)
 
 
 def size_stats(chunks: DataFrame, keys: list[str], text: str, most: int = V.MAX_CHARS) -> DataFrame:

@@ -98,3 +98,8 @@ def running_heading(lines: DataFrame, partition: list[str], position: str, headi
     """The number of headings up to each line: which segment it lies in."""
     before = Window.partitionBy(*partition).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return lines.withColumn("segment", F.count(heading).over(before))
+
+
+def in_name_order(df: DataFrame, name: str, ident: str, language: str = "UNICODE") -> DataFrame:
+    """By name as a dictionary has it (accents and case decide only between names that are alike without), no name last, ties by identifier."""
+    return df.orderBy(F.collate(F.col(name), language).asc_nulls_last(), ident)

@@ -206,5 +206,19 @@ def tie_beyond_limit(ranking: DataFrame, most: int = 3) -> DataFrame:
 
 
 def numbered_passages(cited: DataFrame, *order: str) -> DataFrame:
-    """Citations with running identifiers c1, c2 and so on; an answer has a few dozen of them."""
-    return cited.withColumn("citation_id", F.concat(F.lit("c"), F.row_number().over(Window.orderBy(*order)).cast("string")))
+    """Citations with running identifiers c1, c2 and so on, by `order`, which tells them apart.
+
+    Rows are dealt to ranges of the order, numbered within, and a range starts where the counts of those before it end;
+    so no task sees all of them. `cited` is stored in a folder that all tasks share, as ranges are to stay what they are.
+    """
+    from sievework.plans.session import workspace
+
+    spark, path = cited.sparkSession, workspace(cited.sparkSession, "citations") + "/rows"
+    dealt = cited.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    held = spark.read.schema(dealt.schema).parquet(path)
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    starts = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    numbered = held.withColumn("_i", within).join(starts, F.col("_part") == F.col("_p"))
+    return numbered.withColumn("citation_id", F.concat(F.lit("c"), (F.col("_start") + F.col("_i")).cast("string"))).select(*cited.columns, "citation_id")

@@ -113,6 +113,18 @@ def criteria_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return A.level_pivot(A.first_findings(rows, ["l_orderkey", "l_linestatus"], "at"), ["l_linestatus"], F.col("level"))
 
 
+@query(f"""
+WITH f AS (SELECT l_orderkey, l_suppkey, arg_min({_LEVEL}, (l_linenumber, l_partkey)) AS level FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1, 2)
+SELECT s_suppkey AS id, s_name AS description, CAST(count(*) FILTER (WHERE level = 'supported') AS BIGINT) AS supported, CAST(count(*) FILTER (WHERE level = 'partial') AS BIGINT) AS partial,
+       CAST(count(*) FILTER (WHERE level = 'not_demonstrated') AS BIGINT) AS not_demonstrated FROM supplier LEFT JOIN f ON l_suppkey = s_suppkey GROUP BY 1, 2""")
+def criteria_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as criteria; those without findings have zeros."""
+    supplier, lineitem = tables(spark, sf, "supplier", "lineitem")
+    rows = lineitem.where("l_suppkey % 3 <> 0").select("l_orderkey", F.col("l_suppkey").alias("id"), _level().alias("level"), F.struct("l_linenumber", "l_partkey").alias("at"))
+    criteria = supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("description"))
+    return A.criteria_counts(criteria, A.first_findings(rows, ["l_orderkey", "id"], "at"), "id", F.col("level"))
+
+
 @query("""
 SELECT l_orderkey, round(sum(l_quantity * CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE WHEN 'N' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 4) AS score
 FROM lineitem GROUP BY l_orderkey""")
@@ -227,6 +239,22 @@ def eval_expected(spark: SparkSession, sf: str) -> DataFrame:
     return A.evaluated(actual, wanted, "doc_id")
 
 
+_CASES = """
+WITH a AS (SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'review' ELSE 'completed' END AS status, CASE WHEN d.doc_id % 17 <> 0 THEN n_chars END AS tokens FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+r AS (SELECT x.doc_id, x.source, a.status, a.tokens, coalesce(CASE WHEN x.doc_id % 2 = 0 THEN a.status = 'completed' ELSE a.status IN ('completed', 'review') END, false) AS passed FROM documents x LEFT JOIN a ON a.doc_id = x.doc_id WHERE x.doc_id % 3 = 0)"""
+
+
+@query(_CASES + """
+SELECT count(*) AS cases, CAST(count(*) FILTER (WHERE passed) AS BIGINT) AS passed, CAST(count(status) AS BIGINT) AS found, bool_and(passed) AS all_passed, count(*) = count(status) AS complete,
+       CAST(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (WHERE status IS NOT NULL AND tokens IS NULL) = 0 AS tokens_reported FROM r""")
+def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether all cases are there and passed, with their tokens."""
+    docs, labels = tables(spark, sf, "documents", "labels")
+    actual = docs.join(labels, "doc_id").select("doc_id", F.when(F.col("toxic") == 1, "review").otherwise("completed").alias("status"), F.lit(0.0).alias("score"), F.lit(0).alias("errors"), F.when(F.col("doc_id") % 17 != 0, F.col("n_chars")).alias("tokens"))
+    wanted = docs.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("completed"))).otherwise(F.array(F.lit("completed"), F.lit("review"))).alias("statuses"), F.lit(None).cast("double").alias("score"))
+    return A.acceptance(A.evaluated(actual, wanted, "doc_id"), "tokens")
+
+
 @query("""
 WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents), c AS (SELECT doc_id, t, p % 12 * 9 - 9 AS conf FROM w WHERE trim(t) <> '')
 SELECT doc_id, round(sum(conf * length(t)) / sum(length(t)), 6) AS confidence FROM c WHERE conf >= 0 GROUP BY 1""")

@@ -14,6 +14,7 @@ from sievework.operators import chunking as K
 from sievework.operators import joins as J
 from sievework.operators import quality as Q
 from sievework.operators import ranking as R
+from sievework.functions import predicates as P
 from sievework.functions.text import general_number
 from sievework.operators import search as S
 
@@ -371,3 +372,31 @@ def test_citations_and_fallback(frames):
     assert [r.citation_id for r in S.numbered_passages(cited, "record_id").orderBy("record_id").collect()] == ["c1", "c2"]
     cards, cited, _ = S.answer(S.parse_question("python supported"), frames)
     assert [r.quote for r in cited.collect()] == ["Python"]
+
+
+def test_names_in_order_of_a_language(spark):
+    names = ["Zoë", "zoe", "Émile", "emil", "Ångström", "angst", "Bo", "bo", None, "Öz", "oz", "ä", "Zoe"]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, name string").repartition(3)
+    got = [r.name for r in R.in_name_order(df, "name", "id").collect()]
+    assert got == ["ä", "angst", "Ångström", "bo", "Bo", "emil", "Émile", "oz", "Öz", "zoe", "Zoe", "Zoë", None]
+    ties = spark.createDataFrame([(3, "Bo"), (1, "Bo"), (2, "Bo")], "id int, name string")
+    assert [r.id for r in R.in_name_order(ties, "name", "id").collect()] == [1, 2, 3]
+    assert sorted(r.id for r in df.where(P.named_like(F.col("name"), " ZOE ")).collect()) == [0, 1, 12]
+    assert sorted(r.id for r in df.where(P.by_language(F.col("name")) == F.lit("OZ")).collect()) == [9, 10]
+
+
+def test_dense_criteria_and_acceptance(spark):
+    criteria = spark.createDataFrame([("a", 60), ("b", 40), ("c", 0)], "id string, weight int")
+    found = spark.createDataFrame([("a", "supported"), ("a", "partial"), ("b", "partial"), ("zz", "partial")], "id string, level string")
+    assert rows(A.criteria_counts(criteria, found, "id", F.col("level")), "id") == [("a", 60, 1, 1, 0), ("b", 40, 0, 1, 0), ("c", 0, 0, 0, 0)]
+    assert rows(A.criteria_counts(criteria, found.limit(0), "id", F.col("level")), "id") == [("a", 60, 0, 0, 0), ("b", 40, 0, 0, 0), ("c", 0, 0, 0, 0)]
+    cases = spark.createDataFrame([(1, "done", True, 5), (2, None, False, None), (3, "done", True, None)], "id int, status string, passed boolean, tokens int")
+    assert rows(A.acceptance(cases, "tokens")) == [(3, 2, 2, False, False, 5, False)]
+    assert rows(A.acceptance(cases.where("id = 1"))) == [(1, 1, 1, True, True)]
+    assert rows(A.acceptance(cases.limit(0), "tokens")) == [(0, 0, 0, True, True, None, True)]
+
+
+def test_numbered_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7)
+    got = {r.k: r.citation_id for r in S.numbered_passages(df, "k").collect()}
+    assert got == {k: f"c{k + 1}" for k in range(1000)} and S.numbered_passages(df.limit(0), "k").count() == 0
