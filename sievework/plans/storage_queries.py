@@ -195,3 +195,41 @@ def ledger_tails(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "events").select(F.col("event_type").alias("kind"), "event_id", F.to_json(F.struct(F.col("event_type").alias("model"), F.col("event_id").alias("tokens"))).alias("value"))
     lines.repartition("kind").sortWithinPartitions("kind", "event_id").select("kind", "value").write.partitionBy("kind").text(folder)
     return folders.ledger_tail(spark, folder, most=5000).groupBy("model").agg(F.count(F.lit(1)).alias("lines"), F.min("tokens").alias("earliest"))
+
+
+def docx_body(lines: list[str], header: str, kind: int) -> bytes:
+    """A small DOCX: paragraphs, of which the second lies in a table in a table, and a header; kind 1 has a text box, 2 is cut."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    paragraphs = [f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in lines]
+    if len(paragraphs) > 1:
+        paragraphs[1] = f"<w:tbl><w:tr><w:tc><w:tbl><w:tr><w:tc>{paragraphs[1]}</w:tc></w:tr></w:tbl></w:tc></w:tr></w:tbl>"
+    if kind == 1:
+        paragraphs.append("<w:p><w:txbxContent>box</w:txbxContent></w:p>")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("word/document.xml", f"<w:document {space}><w:body>{''.join(paragraphs)}</w:body></w:document>")
+        archive.writestr("word/header1.xml", f"<w:hdr {space}><w:p><w:r><w:t>{escape(header)}</w:t></w:r></w:p></w:hdr>")
+    return out.getvalue()[: 60 if kind == 2 else None]
+
+
+@query("""
+SELECT item_id, CASE WHEN item_id % 7 NOT IN (1, 2) THEN sha256(text || chr(10) || 'item ' || item_id) END AS hash, CASE item_id % 7 WHEN 1 THEN 'DOCX has content that cannot be read in full' WHEN 2 THEN 'not a DOCX' ELSE '' END AS error
+FROM (SELECT item_id, regexp_replace(text, ' ', chr(10)) AS text FROM benchmark)""")
+def docx_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as DOCX files with nested tables and headers, read back; some have a text box, some are cut off."""
+    folder = workspace(spark, "docx")
+
+    def write(rows) -> None:
+        for r in rows:
+            at, path = folders.opened(f"{folder}/{r['item_id']}.docx")
+            at.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with at.open_output_stream(path) as f:
+                f.write(docx_body(r["text"].split(" ", 1), f"item {r['item_id']}", r["item_id"] % 7))
+
+    table(spark, sf, "benchmark").select("item_id", "text").foreachPartition(write)
+    item = F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("long")
+    return readers.docx_documents(spark, folder).select(item.alias("item_id"), F.sha2("text", 256).alias("hash"), F.coalesce("error", F.lit("")).alias("error"))

@@ -63,29 +63,36 @@ class MergedTable:
     Rows lie in buckets of their keys. A batch writes only the buckets that it touches, and then a manifest that says
     which batch wrote each bucket last; a table is what the manifest of its last batch names. A batch that is sent again
     starts from the manifest before its own and leaves the same rows. Of several changes of a key in a batch the last by
-    `order` holds.
+    `order` holds. Null keys are equal to each other. What neither of the last two manifests names is deleted.
+
+    There are as many buckets as it takes for `bucket_rows` rows in each, a power of two; a table that outgrows them is
+    dealt anew with its next batch. A bucket is written by several tasks.
     """
 
-    def __init__(self, spark: SparkSession, path: str, start: DataFrame, keys: list[str], order: str, buckets: int = 64):
-        self.spark, self.path, self.keys, self.order, self.buckets = spark, path.rstrip("/"), keys, order, buckets
+    PARTS = 4
+
+    def __init__(self, spark: SparkSession, path: str, start: DataFrame, keys: list[str], order: str, bucket_rows: int = 1 << 20):
+        self.spark, self.path, self.keys, self.order, self.bucket_rows = spark, path.rstrip("/"), keys, order, bucket_rows
         self.schema, self.start = start.schema, start
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+    def _bucket(self, of: int) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(of)).cast("int")
 
-    def manifest(self, n: int) -> dict[int, int]:
-        """The batch that wrote each bucket last, after batch n."""
-        return {r["bucket"]: r["batch"] for r in self.spark.read.schema("bucket int, batch int").parquet(f"{self.path}/manifests/{n}").collect()}  # a row a bucket
+    def manifest(self, n: int) -> dict[int, tuple[int, int]]:
+        """By bucket the batch that wrote it last and its rows, after batch n; the number of buckets is that of the entries."""
+        return {r["bucket"]: (r["batch"], r["rows"]) for r in self.spark.read.schema("bucket int, batch int, rows long").parquet(f"{self.path}/manifests/{n}").collect()}  # a row a bucket
+
+    def _fs(self, name: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def batches(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(int(p.getName()) for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def _rows(self, held: dict[int, int]) -> DataFrame:
-        paths = [f"{self.path}/data/batch={n}/_bucket={b}" for b, n in held.items()]
+        root, fs = self._fs("manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n) for n in names if fs.exists(self._fs(f"manifests/{n}/_SUCCESS")[0]))
+
+    def _rows(self, held: dict[int, tuple[int, int]]) -> DataFrame:
+        paths = [f"{self.path}/data/batch={n}/_bucket={b}" for b, (n, rows) in held.items() if rows]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.start.where(F.lit(False))
 
     def read(self) -> DataFrame:
@@ -97,13 +104,35 @@ class MergedTable:
         before = self.manifest(done[-1]) if done else {}
         rest = [c for c in self.start.columns if c not in self.keys]
         last = batch.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), self.order).alias("_r")).select(*self.keys, "_r.*")
-        touched = {r["b"] for r in batch.select(self._bucket().alias("b")).distinct().collect()}  # no more than there are buckets
-        old = self._rows({b: k for b, k in before.items() if b in touched}) if done else self.start
-        rows = upserted(old, last, self.keys).withColumn("_bucket", self._bucket())
-        rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/data/batch={n}")
-        written = touched if done else {r["_bucket"] for r in self.spark.read.parquet(f"{self.path}/data/batch={n}").select("_bucket").distinct().collect()}
-        held = before | dict.fromkeys(written, n)
-        self.spark.createDataFrame(sorted(held.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifests/{n}")
+        many = sum(rows for _, rows in before.values()) if done else self.start.count() + batch.count()
+        of = max(len(before), 1)
+        while of * self.bucket_rows < many:
+            of *= 2
+        if of == len(before):
+            touched = {r["b"] for r in batch.select(self._bucket(of).alias("b")).distinct().collect()}  # no more than there are buckets
+            old = self._rows({b: k for b, k in before.items() if b in touched})
+        else:  # the first batch, or too few buckets
+            touched, old = set(range(of)), self._rows(before) if done else self.start
+        rows = upserted(old, last, self.keys).withColumn("_bucket", self._bucket(of))
+        data = f"{self.path}/data/batch={n}"
+        rows.repartition("_bucket", F.pmod(F.xxhash64(*self.keys, F.lit(1)), F.lit(self.PARTS))).write.mode("overwrite").partitionBy("_bucket").parquet(data)
+        counted = {r["_bucket"]: r["count"] for r in self.spark.read.schema("_bucket int").parquet(data).groupBy("_bucket").count().collect()} if touched else {}  # a row a bucket
+        held = (before if of == len(before) else {}) | {b: (n, counted.get(b, 0)) for b in touched}
+        self.spark.createDataFrame([(b, k, c) for b, (k, c) in sorted(held.items())], "bucket int, batch int, rows long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifests/{n}")
+        self._drop({k for m in (held, before) for k in m.items()}, n)
+
+    def _drop(self, named: set[tuple[int, tuple[int, int]]], n: int) -> None:
+        """Deletes buckets of earlier batches that are not among those named, and their manifests but the last."""
+        kept = {(k, b) for b, (k, _) in named}
+        root, fs = self._fs("data")
+        for folder in fs.listStatus(root):
+            k = int(folder.getPath().getName().partition("=")[2])
+            for own in fs.listStatus(folder.getPath()) if k < n else ():
+                name = own.getPath().getName()
+                if name.startswith("_bucket=") and (k, int(name.partition("=")[2])) not in kept:
+                    fs.delete(own.getPath(), True)
+        for k in [k for k in self.batches() if k < n][:-1]:
+            fs.delete(self._fs(f"manifests/{k}")[0], True)
 
 
 def into_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:

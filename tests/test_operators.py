@@ -143,6 +143,25 @@ def test_passage_shapes():
     assert len(cut("x" * 300_000)) > 160
 
 
+def test_published_shapes(spark):
+    """Chunks, their mean and largest size, and headed ones, of a page with five sections and of one without, as published
+    for pages of these section sizes."""
+    structured = "n" * 19 + "\n\n" + "Summary\n" + "s" * 47 + "\n\n" + "Experience\n" + ("e" * 51 + "\n") * 40 + "\nSkills\n" + "k" * 39 + "\n\n" + "Education\n" + "d" * 22 + "\n\n" + "Projects\n" + "p" * 34 + "\n"
+    flat = "first line 14c\n" + "x" * 10200 + "\n"
+    want = {"structured": (len(structured), (2, 1600, 0), (7, 1571, 6)), "flat": (10216, (7, 1600, 0), (8, 1600, 0))}
+    assert abs(len(structured) - 2295) <= 2
+    df = spark.createDataFrame([("structured", structured, 1), ("flat", flat, 1)], "name string, text string, page int")
+
+    def shapes(found):
+        n = F.length("chunk_text")
+        return {r.name: (r.n, r.most, r.headed) for r in found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max(n).alias("most"), F.count("heading").alias("headed"), F.sum(n).alias("all")).collect()}
+
+    assert shapes(K.chunked(df, "fixed")) == {k: v[1] for k, v in want.items()}
+    assert shapes(K.chunked(df)) == {k: v[2] for k, v in want.items()}
+    none = spark.createDataFrame([], "key string, embedding array<double>")
+    assert shapes(K.hybrid_chunks(df, ["name"], none, lambda ts: [[float("e" in t), 1.0] for t in ts], "m")[0]) == {k: v[2] for k, v in want.items()}
+
+
 def test_hybrid_merges_what_is_alike():
     text = "Skills\n" + "".join(("alpha " if i % 2 else "beta ") * 60 + "\n\n" for i in range(8))
     assert cut(text) != cut(text, lambda t: [float("alpha" in t), float("beta" in t)])

@@ -89,7 +89,7 @@ def test_stream_merge(spark, tmp_path):
     source = str(tmp_path / "in")
     start = spark.createDataFrame([(1, "a", 0), (9, "z", 0)], schema)
     spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "x", 1)], schema).coalesce(1).write.parquet(source)
-    merged = jobs.MergedTable(spark, str(tmp_path / "out"), start, ["id"], "at", buckets=4)
+    merged = jobs.MergedTable(spark, str(tmp_path / "out"), start, ["id"], "at", bucket_rows=1)
     stream = jobs.watched(spark, source, schema)
     stream.writeStream.foreachBatch(merged.apply).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     merged.apply(spark.read.schema(schema).parquet(source), 0)  # sent again
@@ -97,7 +97,24 @@ def test_stream_merge(spark, tmp_path):
     for _ in range(2):
         merged.apply(spark.createDataFrame([(2, "y", 5), (3, "n", 5)], schema), 1)
     assert sorted(tuple(r) for r in merged.read().collect()) == [(1, "c", 2), (2, "y", 5), (3, "n", 5), (9, "z", 0)]
-    assert sum(n == 1 for n in merged.manifest(1).values()) <= 2  # other buckets are as they were
+    assert len(merged.manifest(1)) == 8 and sum(n == 1 for n, _ in merged.manifest(1).values()) <= 2  # other buckets are as they were
+
+
+def test_merged_table_grows_and_cleans_up(spark, tmp_path):
+    schema, path = "id long, k string, v long", str(tmp_path / "t")
+    merged = jobs.MergedTable(spark, path, spark.createDataFrame([(None, None, 0), (1, "a", 0)], schema), ["id", "k"], "v", bucket_rows=50)
+    want = {(None, None): 0, (1, "a"): 0}
+    for n in range(4):
+        rows = [(i, "a", n) for i in range(n * 60)] + [(None, None, n), (None, "a", n), (1, None, n)]
+        for _ in range(2):
+            merged.apply(spark.createDataFrame(rows, schema), n)
+        want |= {(i, k): v for i, k, v in rows}
+        assert {(r.id, r.k): r.v for r in merged.read().collect()} == want and merged.read().count() == len(want)
+    assert len(merged.manifest(3)) == 4  # of 123 rows before the batch, 50 a bucket
+    assert merged.batches() == [2, 3]
+    left = {(int(p.parent.name.split("=")[1]), int(p.name.split("=")[1])) for p in (tmp_path / "t" / "data").glob("batch=*/_bucket=*")}
+    named = {(n, b) for m in (2, 3) for b, (n, rows) in merged.manifest(m).items() if rows}
+    assert left == named
 
 
 def test_versions_around_a_read(spark, tmp_path):
