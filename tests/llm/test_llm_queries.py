@@ -72,6 +72,21 @@ def test_op1(spark, sf, docs):
     assert len(sequences) == len(bins) and own.keys() == ids.keys()
 
 
+def test_op5_rows(spark, sf, docs):
+    """Every row of the query against a plain count of all training words."""
+    lower = str.maketrans({c: c + 32 for c in range(65, 91)})
+    tokens = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(lower)), None] for r in docs}
+    c = Counter(t for i, ts in tokens.items() if crc(i, 10) for t in ts)
+    n, v = sum(c.values()), len(c)
+    got = QUERIES["op5_lm_score"](spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        ts = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(r.doc_id, 10) == 0, len(ts), sum(c[t] > 0 for t in ts), n)
+        assert abs(r.base_score - sum(np.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts)) < 1e-6 * max(1.0, -r.base_score)
+        assert r.score <= 0
+
+
 def test_op2(spark, sf, docs):
     got = {r.doc_id: r for r in QUERIES["op2_language_id"](spark, sf).collect()}
     assert got.keys() == {r.doc_id for r in docs}
