@@ -104,7 +104,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty, blank and null texts form one group. Of equal texts the row with most code points in the original text,
     then the smallest identifier, stays; a null identifier comes last. Of wholly repeated rows exactly one is kept. Rows of
     one identifier, or of none, are as many as they are: a row's place among them also cuts partitions. Long texts are read whole.
-    An empty table gives an empty result. Other columns of `df` are ignored.
+    Identifiers are whole numbers, or strings of such. An empty table gives an empty result. Other columns of `df` are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.length(text).cast("long").alias("n_chars"), F.regexp_replace(text, SPACE_CLASS + "+", "").alias("norm"))
@@ -130,6 +130,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_groups() of all documents; a null text is empty."""
     return exact_groups(documents(spark, sf_dir))
 
 

@@ -174,6 +174,11 @@ def train(rows: list, *, dim: int = 16, epochs: int = 40, batch: int = 32, rate:
 
 
 def fit_language_model(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> LanguageModel:
+    """A model of the languages of `df`, from a sample of `max_rows` rows about, dealt evenly to the languages.
+
+    Rows without a language, or whose text has no letter, are left out; rows alike count once. Only the three columns are read. An
+    empty table, or one without labels, gives a model that rejects everything.
+    """
     return train(labelled_sample(df, id_col=id_col, text_col=text_col, lang_col=lang_col, max_rows=max_rows))
 
 
@@ -211,6 +216,7 @@ def remainder(column: str, of: int) -> Column:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from labelled ones that are not held out; a null text, or one without a letter, is `und`."""
     docs = documents(spark, sf_dir)
     model = fit_language_model(docs.where(remainder("doc_id", 4) != 2))
     found = identify(docs.select("doc_id", "text").withColumn("held_out", remainder("doc_id", 4) == 2).select("doc_id", "held_out", "text"), model)

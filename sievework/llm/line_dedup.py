@@ -84,7 +84,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     Keys of at least `min_key` code points that are in at least `min_docs` different documents lose all their lines
     except in the document with the largest identifier. A null or empty text is one empty line. Rows with one
     identifier are one document; a null identifier is a document too, the smallest. A document whose lines all go
-    keeps an empty text. Long texts are read whole; a text's lines are held at once. An empty table gives an empty result.
+    keeps an empty text. Long texts are read whole; a text's lines are held at once. Identifiers are whole numbers, or
+    strings of such. Columns of any names travel in `row`. An empty table gives an empty result.
 
     The hash has 128 bits. Counting goes through (key, document), so a line that is everywhere is counted by many
     tasks; the join back to its documents is one that adaptive execution splits.
@@ -108,6 +109,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lines() of all documents; a null text is one empty line."""
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -245,7 +245,8 @@ def _packed(least: int):
 def count_grams(train: DataFrame, text_col: str = "text", *, shards: int | None = None, min_count: int = MIN_COUNT, bits_per_entry: int = BITS_PER_ENTRY) -> Counts:
     """Exact unigram counts of all training texts, and the filter's slices, by hash range.
 
-    N-grams seen fewer than `min_count` times are not in the filter.
+    N-grams seen fewer than `min_count` times are not in the filter. A null or empty text counts one end. Texts are read
+    whole, repeated rows count each time, other columns are not looked at. An empty table has no words and no tokens.
     """
     least = 4 * int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if not shards:
@@ -436,6 +437,7 @@ def score_texts(df: DataFrame, counts: Counts, id_col: str = "doc_id", text_col:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the words and pairs of those that are not held out; a null text is empty, its end a token."""
     docs = documents(spark, sf_dir)
     held = remainder("doc_id", 10) == 0
     counts = count_grams(docs.where(~held))

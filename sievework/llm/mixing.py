@@ -157,6 +157,8 @@ def in_mix_order(df: DataFrame, weights: dict[str, float] | None = None, *, sour
     """All columns of `df`, a table, with rows and partitions in the order of mix().
 
     Slots are dense, so their number and the number of partitions tell where a row goes; nothing has to be sampled.
+    Null sources are a source, null identifiers come in any order, repeated rows stay, and columns may have any names, those
+    of mix() too: rows travel whole. Texts are not looked at. An empty table gives an empty result.
     """
     placed, slots = _placed(df, weights, source_col, id_col, order_cols, block_rows, period, exponent)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -165,5 +167,6 @@ def in_mix_order(df: DataFrame, weights: dict[str, float] | None = None, *, sour
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() of all documents by source, a null source being one; target weights are rows to the power 0.7."""
     docs = stored(documents(spark, sf_dir).select("doc_id", "source"), "sources")
     return mix(docs)

@@ -228,5 +228,6 @@ def pack_in_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents() of all documents into sequences of 1024 ids; a null text is empty."""
     packed = pack_documents(documents(spark, sf_dir))
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

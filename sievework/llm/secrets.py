@@ -274,6 +274,7 @@ def _joined(spans):
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents, base ones and those that the tests add; a null text has none."""
     found = secret_spans(documents(spark, sf_dir))
     plain = F.transform("random", lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), t.kind.alias("kind")))
     # By start, then kind as listed: base spans are so already, and `random` is the last kind and never begins where one does.

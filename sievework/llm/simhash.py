@@ -110,7 +110,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents link when their fingerprints differ in at most `distance` bits. Texts of fewer words than a shingle hash
     whole; texts without words, null or empty ones too, share fingerprint 0 and link like any other. A null identifier
     is never the smallest unless a component has no other. Repeated rows link with each other. Long texts are hashed
-    whole. Other columns, whatever their names, are ignored. An empty table gives an empty result.
+    whole. Identifiers are whole numbers, or strings of such. Other columns, whatever their names, are ignored. An empty
+    table gives an empty result.
     """
     marked = stored(fingerprints(df, id_col, text_col, words=words), "fingerprints")
     found = _components_of(marked, distance).select(F.col("fp").alias("_fp"), F.col("best.id").alias("component_id"))
@@ -131,4 +132,5 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents: four-word shingles, four bits."""
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
