@@ -40,8 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicates: five-word shingles alike by 0.8 or more; the document with the smallest identifier stays for its group,
-    one without an identifier only where all are. Texts without words are one group."""
+    """Near-duplicates by SimHash, checked exactly, and by MinHash what SimHash cannot reach: five-word shingles alike by
+    0.8 or more; the document with the smallest identifier stays for its group, one without an identifier only where all are. Texts without words are one group."""
     return drop_similar(docs)
 
 

@@ -46,6 +46,15 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of the 64-bit hashes of a set of shingles; 0 of none."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        raw = hashes[lo : lo + (1 << 16)].astype(">u8").view(np.uint8)
+        counts += np.unpackbits(raw.reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,11 +96,16 @@ def _close(distance: int):
     return close
 
 
-def fingerprint_components(fps: DataFrame, *, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """(node, root) for every fingerprint that links with another: those of `fps` (fp long, distinct; stored)."""
+def fingerprint_links(fps: DataFrame, *, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) that connect the fingerprints that differ in at most `distance` bits: those of `fps` (fp long, distinct; stored)."""
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(block_masks(distance, blocks))])
     members = fps.select(F.explode(keys).alias("key"), F.col("fp").alias("node"))
-    return connected_components(link_in_tiles(members, _close(distance), tile=tile))
+    return link_in_tiles(members, _close(distance), tile=tile)
+
+
+def fingerprint_components(fps: DataFrame, *, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+    """(node, root) for every fingerprint that links with another: those of `fps` (fp long, distinct; stored)."""
+    return connected_components(fingerprint_links(fps, distance=distance, blocks=blocks, tile=tile))
 
 
 def _components_of(marked: DataFrame, distance: int) -> DataFrame:
