@@ -15,6 +15,7 @@ from sievework.operators import joins as J
 from sievework.operators import quality as Q
 from sievework.operators import ranking as R
 from sievework.functions import predicates as P
+from sievework.functions import vectors as X
 from sievework.functions.text import general_number
 from sievework.operators import search as S
 
@@ -419,3 +420,17 @@ def test_numbered_over_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7)
     got = {r.k: r.citation_id for r in S.numbered_passages(df, "k").collect()}
     assert got == {k: f"c{k + 1}" for k in range(1000)} and S.numbered_passages(df.limit(0), "k").count() == 0
+
+
+def test_cosine_stats(spark):
+    """Each pair once, in tiles that give a row for a query, as vectors.cosine() has it; before, each pair was a row of a join."""
+    v = [[1.0, 2.0], [2.0, 1.0], [-1.0, 0.5], [0.0, 0.0], None, [], [1.0, None], [1.0, 2.0, 3.0], [float("nan"), 1.0], [3.0, 2.0, 1.0], [1e-200, 1e-200]]
+    df = spark.createDataFrame([(i, v[i % len(v)]) for i in range(40)] + [(None, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    q = df.where("vec_id % 3 = 0")
+    pairs = q.alias("a").join(df.alias("b"), F.expr("a.vec_id <> b.vec_id")).select("a.vec_id", X.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("s"))
+    want = pairs.groupBy("vec_id").agg(F.max("s").alias("best"), F.min("s").alias("least"), F.avg("s").alias("mean"), F.count("*").alias("others"))
+    shown = lambda x: sorted(str([None if c is None else round(c, 9) + 0.0 for c in r]) for r in x.collect())
+    for block, chunk in ((4096, 4096), (3, 8)):
+        assert shown(J.cosine_stats(q, df, "vec_id", "embedding", block, chunk)) == shown(want)
+    one = df.where("vec_id = 0")
+    assert J.cosine_stats(one, one, "vec_id", "embedding").count() == 0 and J.cosine_stats(q.where("false"), df, "vec_id", "embedding").count() == 0
