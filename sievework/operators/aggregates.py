@@ -101,12 +101,20 @@ def weighted_confidence(words: DataFrame, page: list[str], text: str = "text", c
 
 
 def recognised_lines(words: DataFrame, page: list[str], line: list[str], position: str = "word_num", text: str = "text") -> DataFrame:
-    """Words of a page put back into lines and lines into a text, in their order."""
+    """Words of a page put back into lines and lines into a text, in their order. Words that lie by page, as those of
+    pages_dealt() do, are not shuffled."""
     kept = words.where(F.trim(text) != "")
     lines = kept.groupBy(*page, *line).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, text))), lambda w: w[text]), " ").alias("_line"))
     return lines.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*line, "_line"))), lambda x: x["_line"]), "\n").alias("text"))
 
 
+def pages_dealt(pages: DataFrame, page: list[str], text: str = "text", most: int = 8 << 20) -> DataFrame:
+    """Whole pages dealt to tasks by their keys, about `most` bytes of text to each: words split from them are grouped
+    where they are, and in memory."""
+    size = pages.agg(F.sum(F.octet_length(text))).first()[0] or 0  # one row
+    return pages.repartition(max(1, -(-size // most)), *page)
+
+
 def evaluated(actual: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Passed where the status is among those allowed, nothing is wrong with the evidence, and an expected score is met.
 

@@ -135,7 +135,7 @@ w AS (SELECT doc_id, p, trim(regexp_replace(line, ' +', ' ', 'g')) AS line FROM
 SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY p)) AS hash FROM w WHERE line <> '' GROUP BY 1""")
 def recognised_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Words with their places become lines, and lines a text."""
-    docs = table(spark, sf, "documents")
+    docs = A.pages_dealt(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_num", "line"))
     words = lines.select("doc_id", "line_num", F.posexplode(F.split("line", " ", -1)).alias("word_num", "text"))
     return A.recognised_lines(words, ["doc_id"], ["line_num"]).select("doc_id", F.sha2("text", 256).alias("hash"))
