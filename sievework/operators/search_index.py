@@ -11,8 +11,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,13 +36,32 @@ def folded(word: Column) -> Column:
     return F.lower(word)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc, token, after: lists in the order of the text) as postings; a document's words never leave its task."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            words = part.column("token").flatten().dictionary_encode()
+            doc, sizes = pc.list_parent_indices(part.column("token")).to_numpy().astype(np.int64), pc.list_value_length(part.column("token")).to_numpy()
+            pos = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            code = words.indices.to_numpy().astype(np.int64)
+            order = np.argsort(doc * max(1, len(words.dictionary)) + code, kind="stable")
+            doc, code, pos = doc[order], code[order], pos[order]
+            first = np.ones(len(doc), bool)
+            first[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
+            at = np.flatnonzero(first)
+            gaps = np.where(first, pos, pos - np.roll(pos, 1)).astype(np.int32)
+            ends = pa.array(np.append(at, len(doc)), pa.int32())
+            after = part.column("after").flatten().take(pa.array(order))
+            lists = (pa.ListArray.from_arrays(ends, x) for x in (pa.array(gaps), after))
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[at])), part.column("doc").take(pa.array(doc[at])), *lists], ["token", "doc", "gaps", "after"])
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(token, doc, gaps, after) of documents (doc, text): a row for each different word of each."""
-    words = docs.select("doc", F.regexp_extract_all("text", F.lit(_WORD), 1).alias("w"), F.regexp_extract_all("text", F.lit(_WORD), 2).alias("s"))
-    each = words.select("doc", F.posexplode(F.arrays_zip("w", "s")).alias("pos", "x")).select("doc", "pos", folded(F.col("x.w")).alias("token"), F.xxhash64("x.s").alias("after"))
-    own = each.groupBy("token", "doc").agg(F.array_sort(F.collect_list(F.struct("pos", "after"))).alias("at"))
-    gaps = F.transform("at", lambda e, i: F.when(i == 0, e["pos"]).otherwise(e["pos"] - F.get("at", i - 1)["pos"]))
-    return own.select("token", "doc", gaps.alias("gaps"), F.col("at.after").alias("after"))
+    """(token, doc, gaps, after) of documents (doc long, text): a row for each different word of each. Nothing is shuffled."""
+    words, between = (F.regexp_extract_all("text", F.lit(_WORD), i) for i in (1, 2))
+    lists = docs.where("text IS NOT NULL").select("doc", F.transform(words, folded).alias("token"), F.transform(between, lambda s: F.xxhash64(s)).alias("after"))
+    return lists.mapInArrow(_grouped, "token string, doc long, gaps array<int>, after array<bigint>")
 
 
 class SearchIndex:

@@ -62,3 +62,15 @@ def test_only_asked_postings_are_read(spark, index):
     assert "PushedFilters: [In(token" in plan._jdf.queryExecution().executedPlan().toString() or "EqualTo(token,w7)" in plan._jdf.queryExecution().executedPlan().toString()
     assert len(plan.inputFiles()) > 0 and plan.select(F.input_file_name()).distinct().count() <= I.PARTS
     assert holding(index.holding("w7")) == list(range(7, 500, 50))
+
+
+def test_postings_without_a_shuffle(spark):
+    """A document's words are grouped where it is; before, each word of each text was shuffled."""
+    docs = spark.createDataFrame([(3, "To be, or not to be"), (1, "a a A"), (2, ""), (4, None), (5, "?!"), (6, "ÉTÉ été x_1")], "doc long, text string")
+    found = I.postings(docs)
+    places = {(r.token, r.doc): [sum(r.gaps[: k + 1]) for k in range(len(r.gaps))] for r in found.collect()}
+    assert places == {("to", 3): [0, 4], ("be", 3): [1, 5], ("or", 3): [2], ("not", 3): [3], ("a", 1): [0, 1, 2], ("été", 6): [0, 1], ("x_1", 6): [2]}
+    after = {(r.token, r.doc): r.after for r in found.collect()}
+    h = {s: spark.range(1).select(F.xxhash64(F.lit(s))).first()[0] for s in (" ", ", ", "")}
+    assert after["be", 3] == [h[", "], h[""]] and after["a", 1] == [h[" "], h[" "], h[""]]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and I.postings(docs.where("false")).count() == 0
