@@ -167,6 +167,8 @@ def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
     return merged.read()
 
 
+#: Events in a file that a stream reads, and of the jobs of a bucket in all.
+_FILE_ROWS, _BUCKET_ROWS = 1 << 18, 1 << 14
 #: Of an event: the job's generation, now and then an old one, and what it says.
 _KIND = "CASE WHEN event_type = 'purchase' THEN 'ok' WHEN event_type = 'view' AND event_id % 10 = 0 THEN 'done' WHEN event_type = 'view' THEN 'seen' ELSE 'error' END"
 
@@ -188,17 +190,26 @@ w AS (SELECT max(epoch_us(ts) // 1000) + 600000 AS ms FROM events),
 l AS (SELECT f.*, f.state = 'retry' AND next_try <= w.ms AS due FROM f, w WHERE (job, n) IN (SELECT (job, max(n)) FROM e GROUP BY job))
 SELECT CAST(job AS VARCHAR) AS job, gen AS generation, CASE WHEN due THEN 'queued' ELSE state END AS state, attempts, next_try, fired + CAST(due AS BIGINT) AS fired, stale, n AS changes FROM l""")
 def job_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Jobs by their events, in five batches that overlap, until ten minutes after the last; each retry fires by a timer."""
+    """Jobs by their events, in five batches that overlap, until ten minutes after the last; each retry fires by a timer.
+
+    A batch is the same number of files for each part, so that no part is divided: the watermark would pass its rest. A
+    task deals its rows in turns, so every file is written if some task has as many rows of the part as there are files.
+    """
     own, folder = JS.stream_session(spark), workspace(spark, "job-states")
     events = table(own, sf, "events")
     day = F.datediff(F.col("ts") + F.make_dt_interval(mins=F.pmod(F.hash("event_id"), F.lit(40)) - 20), F.lit("2024-01-01"))  # some come a little early or late
     rows = events.select(F.col("user_id").cast("string").alias("job"), "ts", "event_id", (F.floor(F.dayofmonth("ts") / 10) - (F.col("event_id") % 17 == 0).cast("int")).alias("generation"), F.expr(_KIND).alias("kind"), F.floor(F.greatest(F.lit(0), F.least(F.lit(34), day)) / 7).alias("part"))
-    for part in range(5):
-        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    sizes = rows.groupBy("part", F.spark_partition_id().alias("task")).count().groupBy("part").agg(F.sum("count").alias("rows"), F.max("count").alias("most")).orderBy("part").collect()  # a row a part
+    files = max(1, min([max((r["rows"] for r in sizes), default=0) // _FILE_ROWS, *(r["most"] for r in sizes)]))
+    for r in sizes:
+        rows.where(F.col("part") == r["part"]).drop("part").repartition(files).write.mode("append").parquet(f"{folder}/events")
     end = events.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("string").alias("job"), (F.col("ts") + F.expr("INTERVAL 70 MINUTES")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(0).cast("long").alias("generation"), F.lit("tick").alias("kind"))
     end.write.mode("append").parquet(f"{folder}/events")
-    stream = jobs.watched(own, f"{folder}/events", end.schema, 1)
-    states = jobs.into_files(JS.job_states(stream, "job", "ts", "event_id", F.col("generation"), F.col("kind")), f"{folder}/states", f"{folder}/checkpoint")
+    buckets = max(16, sum(r["rows"] for r in sizes) // _BUCKET_ROWS)
+    tasks = min(int(own.conf.get("spark.sql.shuffle.partitions")), max(own.sparkContext.defaultParallelism, buckets // 16))  # a task with state takes most of a second, whatever it holds
+    own.conf.set("spark.sql.shuffle.partitions", tasks)
+    stream = jobs.watched(own, f"{folder}/events", end.schema, files)
+    states = jobs.into_files(JS.job_states(stream, "job", "ts", "event_id", F.col("generation"), F.col("kind"), buckets=buckets), f"{folder}/states", f"{folder}/checkpoint")
     last = JS.last_states(spark.read.schema(states.schema).parquet(f"{folder}/states"))
     return last.select("job", "generation", "state", "attempts", "next_try", "fired", "stale", "changes")
 

@@ -3,22 +3,33 @@
 Events of a job may come in any order within the watermark's delay: they wait in the job's state until the watermark has
 passed them, and are then applied in the order of their times. A retry is a timer on the same clock. So the states are
 those of a fold over all events in order, however these are dealt to batches and frames, and after a restart too.
+
+A call to the state store from Python costs far more than an event does. So jobs are dealt to buckets, and a bucket's jobs, its events that wait and its next timer are read and written together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, astuple, dataclass, replace
+from dataclasses import astuple, dataclass, replace
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 BASE_SECONDS, MOST_SECONDS, MOST_ATTEMPTS = 15, 3600, 5
 #: Processors keep their state in this store; the one that Spark uses by default cannot hold timers.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_STATE = "generation long, state string, attempts int, next_try long, fired long, stale long, changes long"
+#: Events in a row of the state.
+CHUNK = 1000
+
+#: A bucket's state by columns: all of its jobs in one row, the events that wait in rows of up to CHUNK.
+_JOBS = "job array<string>, generation array<long>, state array<string>, attempts array<int>, next_try array<long>, fired array<long>, stale array<long>, changes array<long>"
+_WAITING = "at array<long>, seq array<long>, generation array<long>, kind array<string>, job array<string>"
 STATES = "job string, at long, generation long, state string, attempts int, next_try long, fired long, stale long, changes long"
 
 
@@ -46,78 +57,102 @@ class Job:
         attempt: the n-th in a row waits min(3600, 15 * 2^n) seconds, the fifth ends the job. `ok` is a checkpoint: no
         failures, to be run on. `done` ends it. Nothing but a new generation follows an end; other kinds change nothing.
         """
-        job = replace(self.by(at), changes=self.changes + 1)
+        job, changes = self.by(at), self.changes + 1
         if generation < job.generation:
-            return replace(job, stale=job.stale + 1)
-        if generation > job.generation:
-            job = replace(job, generation=generation, state="queued", attempts=0, next_try=0)
-        if job.state in ("failed", "done"):
-            return job
-        if kind == "error":
-            n = job.attempts + 1
-            return replace(job, attempts=n, state="failed" if n >= MOST_ATTEMPTS else "retry", next_try=at + 1000 * min(MOST_SECONDS, BASE_SECONDS * 2**n))
-        if kind == "ok":
-            return replace(job, attempts=0, state="queued", next_try=0)
-        return replace(job, state="done") if kind == "done" else job
+            return replace(job, stale=job.stale + 1, changes=changes)
+        state, attempts, next_try = (job.state, job.attempts, job.next_try) if generation == job.generation else ("queued", 0, 0)
+        if state not in ("failed", "done"):
+            if kind == "error":
+                attempts += 1
+                state, next_try = "failed" if attempts >= MOST_ATTEMPTS else "retry", at + 1000 * min(MOST_SECONDS, BASE_SECONDS * 2**attempts)
+            elif kind == "ok":
+                state, attempts, next_try = "queued", 0, 0
+            elif kind == "done":
+                state = "done"
+        return Job(generation, state, attempts, next_try, job.fired, job.stale, changes)
+
+
+_NEW = Job()
+
+
+def _columns(rows: list[tuple]) -> tuple[list, ...]:
+    return tuple(list(c) for c in zip(*rows))
+
+
+def _chunks(rows: list[tuple]) -> list[tuple[list, ...]]:
+    return [_columns(rows[k : k + CHUNK]) for k in range(0, len(rows), CHUNK)]
 
 
 class JobStates(StatefulProcessor):
-    """Rows of a job (at, seq, generation, kind) to its states; see job_states()."""
+    """Rows of a bucket's jobs (job, at_ms, seq, generation, kind) to their states; see job_states()."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", _STATE)
-        self.waiting = handle.getListState("waiting", "at long, seq long, generation long, kind string")
+        self.jobs = handle.getValueState("jobs", _JOBS)
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.settled: dict[tuple, int] = {}  # by bucket of this task, the time up to which all is applied
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
-        part: list[tuple] = []
-        for r in rows:
-            part.append((r["at_ms"], r["seq"], r["generation"], r["kind"]))
-            earliest = r["at_ms"] if earliest is None else min(earliest, r["at_ms"])
-            if len(part) == 1000:
-                self.waiting.appendList(part)
-                part = []
-        if part:
-            self.waiting.appendList(part)
+        for frame in rows:
+            names = [j if isinstance(j, str) else None for j in frame["job"].tolist()]  # pandas may have NaN for null
+            self.waiting.appendList(_chunks(list(zip(*(frame[c].tolist() for c in ("at_ms", "seq", "generation", "kind")), names))))
+            first = int(frame["at_ms"].min())
+            earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
             self.handle.registerTimer(earliest)
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         now = timerValues.getCurrentWatermarkInMs()
-        events = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-        due, later = sorted(e for e in events if e[0] <= now), [e for e in events if e[0] > now]
-        job = Job(*self.job.get()) if self.job.exists() else Job()
-        before = job
-        for at, _, generation, kind in due:
-            job = job.after(at, generation, kind)
-        job = job.by(now)
+        if self.settled.get(key) == now:  # by another timer of the bucket
+            return
+        self.settled[key] = now
+        events = [e for chunk in self.waiting.get() for e in zip(*chunk)]
+        due, later = sorted((e for e in events if e[0] <= now), key=lambda e: e[:4]), [e for e in events if e[0] > now]
+        held = self.jobs.get()
+        before = {name: Job(*rest) for name, *rest in zip(*held)} if held else {}
+        states = dict(before)
+        for at, _, generation, kind, name in due:
+            states[name] = states.get(name, _NEW).after(at, generation, kind)
+        states = {name: job.by(now) for name, job in states.items()}
         if due:
             self.waiting.clear()
             if later:
-                self.waiting.put(later)
-        timers = [e[0] for e in later] + ([job.next_try] if job.state == "retry" else [])
-        if timers and min(timers) > now:
+                self.waiting.put(_chunks(later))
+        timers = [e[0] for e in later] + [job.next_try for job in states.values() if job.state == "retry"]
+        if timers:
             self.handle.registerTimer(min(timers))
-        if job != before:
-            self.job.update(astuple(job))
-            yield Row(job=key[0], at=now, **asdict(job))
+        changed = [(name, now, *astuple(job)) for name, job in states.items() if job != before.get(name, _NEW)]
+        if changed:
+            self.jobs.update(_columns([(name, *astuple(job)) for name, job in states.items()]))
+            yield pd.DataFrame(changed, columns=[c.split()[0] for c in STATES.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def job_states(events: DataFrame, job: str, at: str, seq: str, generation: Column, kind: Column, delay: str = "1 hour") -> DataFrame:
+def job_states(events: DataFrame, job: str, at: str, seq: str, generation: Column, kind: Column, delay: str = "1 hour", buckets: int = 1024) -> DataFrame:
     """A stream of STATES: a row for a job whenever its state changed, when the watermark had passed what changed it.
 
     `events` is a stream; `at` its time, `seq` orders events of one time, `kind` is error, ok, done or what changes
     nothing. Events later than the watermark by more than `delay` are dropped by Spark before they get here. A null job is
-    a job. A job's events that wait for the watermark lie in its state; a task reads those of one job at a time.
+    a job. Events without a time count for nothing, those without a `seq` come first at their time, those without a
+    generation are of the one before all others.
+
+    Jobs are dealt to `buckets` by their hash; a bucket's jobs and its events that wait for the watermark are its state,
+    and a task reads those of one bucket at a time. So there should be as many as keep these to some ten thousand; a
+    stream keeps the number that it began with.
     """
-    timed = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", delay)
-    rows = timed.select(F.col(job).cast("string").alias("job"), "_at", F.unix_millis("_at").alias("at_ms"), F.col(seq).cast("long").alias("seq"), generation.cast("long").alias("generation"), kind.alias("kind"))
-    return rows.groupBy("job").transformWithState(JobStates(), STATES, "append", "EventTime")
+    timed = events.withColumn("_at", F.col(at).cast("timestamp")).where(F.col("_at").isNotNull()).withWatermark("_at", delay)
+    name = F.col(job).cast("string")
+    rows = timed.select(
+        F.pmod(F.xxhash64(name), F.lit(buckets)).alias("bucket"), name.alias("job"), "_at", F.unix_millis("_at").alias("at_ms"),
+        F.coalesce(F.col(seq).cast("long"), F.lit(-(2**63))).alias("seq"), F.coalesce(generation.cast("long"), F.lit(-1).cast("long")).alias("generation"), F.coalesce(kind, F.lit("")).alias("kind"),
+    )
+    return rows.groupBy("bucket").transformWithStateInPandas(JobStates(), STATES, "append", "EventTime")
 
 
 def stream_session(spark: SparkSession) -> SparkSession:

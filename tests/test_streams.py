@@ -54,6 +54,37 @@ def test_states_in_any_order(spark, tmp_path):
     assert got["hot"][1:3] in (("retry", 3), ("queued", 3)) and any(j.fired for j in want.values()) and any(j.stale for j in want.values())
 
 
+def test_states_are_kept_by_bucket(spark, tmp_path):
+    own, path = JS.stream_session(spark), str(tmp_path / "in")
+    events = [(f"j{i % 500}" if i % 500 else None, float(1 + i * 7 % 3000), i, i % 3 // 2, ("error", "ok", "error", "done")[i % 4]) for i in range(4000)]
+    put(own, path, events + [("late", None, 1, 0, "error"), ("bare", 5.0, None, None, None)])
+    put(own, path, [("end", 20_000.0, -1, 0, "tick")])
+    stream = JS.job_states(jobs.watched(own, path, EVENTS, 1), "job", "at", "seq", F.col("generation"), F.col("kind"), buckets=5)
+    query = jobs.run_to_end(stream, "by_bucket", str(tmp_path / "checkpoint"), "append")
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(held) < 60  # of 501 jobs: what is read and written at once is a bucket's
+    want = {}
+    for e in sorted(events, key=lambda e: (e[1], e[2])):
+        want[e[0]] = want.get(e[0], JS.Job()).after(int(e[1] * 1000), e[3], e[4])
+    want = {k: j.by(16_400_000) for k, j in want.items()} | {"bare": JS.Job(changes=1)}
+    got = {r["job"]: tuple(r)[2:] for r in JS.last_states(own.table("by_bucket")).collect()}
+    assert got == {k: tuple(vars(j).values()) for k, j in want.items()}
+
+
+@pytest.mark.parametrize("most", [40, 1 << 18])
+def test_job_batches_are_written_by_several_tasks(spark, sf, tmp_path, monkeypatch, most):
+    from sievework.plans import workflow_queries as W
+
+    want = {tuple(r) for r in W.job_states(spark, sf).collect()}
+    monkeypatch.setattr(W, "workspace", lambda *_: str(tmp_path / "w"))
+    monkeypatch.setattr(W, "_FILE_ROWS", most)
+    taken = []
+    monkeypatch.setattr(W.jobs, "watched", lambda s, p, schema, n, f=jobs.watched: taken.append(n) or f(s, p, schema, n))
+    assert {tuple(r) for r in W.job_states(spark, sf).collect()} == want
+    files = [p for p in (tmp_path / "w" / "events").iterdir() if p.suffix == ".parquet"]
+    assert (len(files), taken[0] > 1) == (5 * taken[0] + 1, most == 40)
+
+
 def test_attempts_over_frames_and_batches(spark, tmp_path):
     path, schema = str(tmp_path / "in"), "id long, at timestamp, ok boolean"
     rows = [(1, float(k), True) for k in range(19_997)] + [(1, 20_000.0 + k, False) for k in range(3)]
